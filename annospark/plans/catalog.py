@@ -129,3 +129,7 @@ def q_enrich_many(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_enrich_gate(spark, sf_dir)
+
+
+# the remaining query families register themselves on import
+from annospark.plans import queries_graph, queries_intervals, queries_table  # noqa: E402,F401
