@@ -110,8 +110,8 @@ def parse_ranges(c: Column) -> Column:
     """
     parts = F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x) != "")
     return F.transform(parts, lambda x: F.struct(
-        F.split(F.trim(x), r"\.\.").getItem(0).cast("int").alias("start"),
-        F.split(F.trim(x), r"\.\.").getItem(1).cast("int").alias("end")))
+        F.get(F.split(F.trim(x), r"\.\."), F.lit(0)).try_cast("int").alias("start"),
+        F.get(F.split(F.trim(x), r"\.\."), F.lit(1)).try_cast("int").alias("end")))
 
 
 def to_positions(df: DataFrame, start: str = "seq_start", end: str = "seq_end", out: str = "pos",

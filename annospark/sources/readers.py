@@ -78,11 +78,11 @@ def read_obograph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     nodes = (graph.select(F.explode("g.nodes").alias("n"))
              .where(F.col("n.id").contains("GO_"))
              .where(F.col("n.meta.deprecated").isNull() if _has_deprecated(raw) else F.lit(True))
-             .select(F.split(F.col("n.id"), "_").getItem(1).alias("term"), F.col("n.lbl").alias("label")))
+             .select(F.get(F.split(F.col("n.id"), "_"), F.lit(1)).alias("term"), F.col("n.lbl").alias("label")))
     edges = (graph.select(F.explode("g.edges").alias("e"))
              .where(F.col("e.pred") == "is_a")
-             .select(F.split(F.col("e.sub"), "_").getItem(1).alias("child"),
-                     F.split(F.col("e.obj"), "_").getItem(1).alias("parent")))
+             .select(F.get(F.split(F.col("e.sub"), "_"), F.lit(1)).alias("child"),
+                     F.get(F.split(F.col("e.obj"), "_"), F.lit(1)).alias("parent")))
     return nodes, edges
 
 
@@ -120,7 +120,7 @@ def read_obo(spark: SparkSession, path: str, prefix: str = "DOID") -> tuple[Data
 
 def read_entry_map(spark: SparkSession, path: str, key: str = "entry", value: str = "id") -> DataFrame:
     """JSON object {entry: [id, ...]} per file -> (entry, id) rows."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
     return (doc.select(F.explode(m).alias(key, "_ids"))
             .select(key, F.explode("_ids").alias(value)))
@@ -139,9 +139,9 @@ def read_domtblout(spark: SparkSession, path: str, raw: bool = False) -> DataFra
     the description is every word from the 25th column on."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     tok = F.split(F.trim(F.col("value")), r"\s+")
-    head = F.split(tok.getItem(0), r"\|")
+    head = F.split(F.get(tok, F.lit(0)), r"\|")
     fields = F.concat(head, F.slice(tok, 2, 1_000_000))
-    cols = [fields.getItem(i).alias(c) for i, c in enumerate(DOMTBL_COLUMNS[:-1])]
+    cols = [F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(DOMTBL_COLUMNS[:-1])]
     desc = F.array_join(F.slice(fields, len(DOMTBL_COLUMNS), 1_000_000), " ").alias("description")
     df = lines.select(*cols, desc)
     if raw:
@@ -187,7 +187,7 @@ def read_alignment_reports(spark: SparkSession, path: str) -> DataFrame:
     """Structure-alignment text reports (one per file) -> one row each:
     name/len/TM-score per chain, normalised TM-score (3rd), aligned length,
     RMSD and sequence identity."""
-    doc = spark.read.option("wholetext", True).text(path).select(
+    doc = spark.read.text(path, wholetext=True).select(
         F.col("value").alias("t"), F.col("_metadata.file_name").alias("file_name"))
     tms = F.regexp_extract_all("t", F.lit(r"TM-score= ([\d.]+)"), 1)
     return doc.select(
@@ -196,9 +196,9 @@ def read_alignment_reports(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("t", r"Length of Chain_1: (\d+)", 1).try_cast("int").alias("len_1"),
         F.trim(F.regexp_extract("t", r"Name of Chain_2:(.+?)\n", 1)).alias("name_2"),
         F.regexp_extract("t", r"Length of Chain_2: (\d+)", 1).try_cast("int").alias("len_2"),
-        tms.getItem(0).try_cast("double").alias("tm_1"),
-        tms.getItem(1).try_cast("double").alias("tm_2"),
-        tms.getItem(2).try_cast("double").alias("tm_score"),
+        F.get(tms, F.lit(0)).try_cast("double").alias("tm_1"),
+        F.get(tms, F.lit(1)).try_cast("double").alias("tm_2"),
+        F.get(tms, F.lit(2)).try_cast("double").alias("tm_score"),
         F.regexp_extract("t", r"Aligned length=\s+(\d+)", 1).try_cast("int").alias("align_len"),
         F.regexp_extract("t", r"RMSD=\s+([\d.]+)", 1).try_cast("double").alias("rmsd"),
         F.regexp_extract("t", r"Seq_ID=n_identical/n_aligned=\s+([\d.]+)", 1).try_cast("double").alias("seq_id"),
