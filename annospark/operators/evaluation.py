@@ -139,6 +139,53 @@ def position_confusion(pred_hits: DataFrame, truth_pos: DataFrame, entry: str =
     return metrics(conf)
 
 
+def truth_intervals(entries: DataFrame, matches: DataFrame, entry: str = "entry", length: str = "len",
+                    ranges: str = "matches") -> DataFrame:
+    """I6 as intervals: (entry, seq_start, seq_end) of the match ranges of known entries."""
+    m = matches.select(entry, F.explode(parse_ranges(F.col(ranges))).alias("_iv"))
+    return (m.join(entries.select(entry), entry, "left_semi")
+            .select(entry, F.col("_iv.start").alias("seq_start"), F.col("_iv.end").alias("seq_end")))
+
+
+def position_confusion_intervals(pred_hits: DataFrame, truth: DataFrame, entries: DataFrame, entry: str = "entry",
+                                 length: str = "len", group: Sequence[str] = ()) -> DataFrame:
+    """I4 without materialising positions (same result as ``position_confusion``).
+
+    With P = union of predicted intervals, T = union of truth intervals,
+    L = [1, len) and U = L ∪ T (all per entry):
+    tp = |P∩T|, fp = |P∩L| - |P∩T∩L|, fn = |T| - tp, tn = |L| - |T∩L| - fp.
+    Unions come from ``merge_intervals``; intersections from a bucketed
+    overlap join of the disjoint runs.  Entries unknown to ``entries`` have
+    empty U and therefore zero counts and null metrics.
+    """
+    from annospark.operators.intervals import interval_overlap_join, merge_intervals
+    g = list(group)
+    lens = entries.select(entry, F.col(length).alias("_len"))
+    P = merge_intervals(pred_hits, [*g, entry])
+    T = merge_intervals(truth.join(lens, entry, "left_semi"), [entry])
+    clip = lambda s, e: F.greatest(F.lit(0), F.least(e, F.col("_len")) - F.greatest(s, F.lit(1)))
+    p_stats = (P.join(lens, entry, "left")
+               .groupBy(*g, entry).agg(F.sum(F.coalesce(clip(F.col("s"), F.col("e")), F.lit(0))).alias("p_l")))
+    t_stats = (T.join(lens, entry)
+               .groupBy(entry).agg(F.sum(F.col("e") - F.col("s")).alias("t_all"),
+                                   F.sum(clip(F.col("s"), F.col("e"))).alias("t_l"), F.first("_len").alias("_len")))
+    pt = (interval_overlap_join(P, T, [entry])
+          .join(lens, entry)
+          .groupBy(*g, entry).agg(F.sum(F.col("hi") - F.col("lo")).alias("pt"),
+                                  F.sum(clip(F.col("lo"), F.col("hi"))).alias("pt_l")))
+    keys = pred_hits.select(*g, entry).distinct()
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    joined = (keys.join(p_stats, [*g, entry], "left").join(pt, [*g, entry], "left")
+              .join(t_stats, entry, "left").join(lens.withColumnRenamed("_len", "_len_e"), entry, "left"))
+    full_l = F.greatest(F.coalesce(F.col("_len_e"), F.lit(0)) - 1, F.lit(0)).cast("long")
+    conf = joined.select(*g, entry,
+                         z("pt").alias("tp"),
+                         (z("p_l") - z("pt_l")).alias("fp"),
+                         (full_l - z("t_l") - (z("p_l") - z("pt_l"))).alias("tn"),
+                         (z("t_all") - z("pt")).alias("fn"))
+    return metrics(conf)
+
+
 def metric_distribution(per_entry: DataFrame, metric_cols: Sequence[str] = ("precision", "recall", "accuracy",
                                                                             "weighted_accuracy"),
                         group: Sequence[str] = ("model",)) -> DataFrame:

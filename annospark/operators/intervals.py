@@ -173,6 +173,43 @@ def ensemble(dfs: Sequence[DataFrame], eps: float = 0.4, metric: str = "rows", e
     return voted.select(F.col("entry").alias(entry), "seq_start", "seq_end")
 
 
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "seq_start", end: str = "seq_end") -> DataFrame:
+    """Union of half-open intervals per key as disjoint, non-touching runs (keys..., s, e).
+
+    Gaps-and-islands: a run starts where an interval begins after the
+    furthest end seen so far in (start, end) order.
+    """
+    k = list(keys)
+    w = Window.partitionBy(*k).orderBy(start, end)
+    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (df.where(F.col(end) > F.col(start)).select(*k, start, end)
+            .withColumn("_new", F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0))
+            .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return runs.groupBy(*k, "_run").agg(F.min(start).alias("s"), F.max(end).alias("e")).drop("_run")
+
+
+def interval_overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int = OVERLAP_BUCKET) -> DataFrame:
+    """Overlapping pairs between two interval tables (keys..., s, e) on equal keys.
+
+    Bucketed like ``overlap_pairs``: each pair is emitted once, in the bucket
+    where the overlap begins.  Other columns of both sides are carried
+    (they must not collide).  Output: ..., s1, e1, s2, e2, lo, hi.
+    """
+    k = list(keys)
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        extra = [c for c in df.columns if c not in ("s", "e")]
+        return df.select(*extra, F.col("s").alias(f"s{tag}"), F.col("e").alias(f"e{tag}"),
+                         F.explode(F.sequence(F.floor(F.col("s") / bucket).cast("long"),
+                                              F.floor((F.col("e") - 1) / bucket).cast("long"))).alias("_b"))
+    lo = F.greatest(F.col("s1"), F.col("s2"))
+    hi = F.least(F.col("e1"), F.col("e2"))
+    return (side(a, "1").join(side(b, "2"), [*k, "_b"])
+            .where((lo < hi) & (F.floor(lo / bucket).cast("long") == F.col("_b")))
+            .select(*[c for c in a.columns if c not in ("s", "e")],
+                    *[c for c in b.columns if c not in ("s", "e") and c not in k],
+                    "s1", "e1", "s2", "e2", lo.alias("lo"), hi.alias("hi")))
+
+
 def interval_join(dom: DataFrame, struct: DataFrame, entry: str = "entry") -> DataFrame:
     """Domains x structures of the same entry with overlap length.
 

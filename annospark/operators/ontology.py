@@ -45,11 +45,11 @@ def closure_with_distance(edges: DataFrame, max_levels: int = 128) -> DataFrame:
     """
     step = (edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"))
             .where(F.col("descendant").isNotNull() & F.col("ancestor").isNotNull())
-            .groupBy("descendant", "ancestor").agg(F.lit(1).alias("dist")))
+            .groupBy("descendant", "ancestor").agg(F.min(F.lit(1)).alias("dist")))
     current = cut_lineage(step)
-    size, total = _size_and_sum(current)
+    size, total, _longest = _size_and_sum(current)
     rounds = max(1, math.ceil(math.log2(max(max_levels, 2)))) + 1
-    for _ in range(rounds):
+    for r in range(1, rounds + 1):
         left = current.alias("l")
         right = current.alias("r")
         composed = (left.join(right, F.col("l.ancestor") == F.col("r.descendant"))
@@ -59,9 +59,12 @@ def closure_with_distance(edges: DataFrame, max_levels: int = 128) -> DataFrame:
         merged = (current.unionByName(composed)
                   .groupBy("descendant", "ancestor").agg(F.min("dist").alias("dist")))
         merged = cut_lineage(merged)
-        new_size, new_total = _size_and_sum(merged)
+        new_size, new_total, longest = _size_and_sum(merged)
         current = merged
-        if new_size == size and new_total == total:
+        # After round r every shortest path of length <= 2**r is present.  A
+        # longer one would contain a pair at distance exactly 2**r, so a
+        # longest distance below 2**r (or no change at all) means done.
+        if longest < 2 ** r or (new_size == size and new_total == total):
             if not current.where(F.col("descendant") == F.col("ancestor")).isEmpty():
                 raise OntologyCycleError("is_a graph contains a cycle")
             return current
@@ -69,9 +72,9 @@ def closure_with_distance(edges: DataFrame, max_levels: int = 128) -> DataFrame:
     raise OntologyCycleError(f"closure did not converge within {max_levels} levels")
 
 
-def _size_and_sum(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("s")).first()
-    return int(row["n"]), int(row["s"] or 0)
+def _size_and_sum(df: DataFrame) -> tuple[int, int, int]:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("dist").alias("s"), F.max("dist").alias("m")).first()
+    return int(row["n"]), int(row["s"] or 0), int(row["m"] or 0)
 
 
 def ancestors(nodes: DataFrame, closure: DataFrame) -> DataFrame:

@@ -179,8 +179,9 @@ def _pos_conf(spark, sf_dir):
     tr = V.int_truth(spark, sf_dir)
     matches = tr.groupBy("entry").agg(F.concat_ws(",", F.collect_list(
         F.concat(F.col("seq_start").cast("string"), F.lit(".."), F.col("seq_end").cast("string")))).alias("matches"))
-    tpos = ev.truth_positions(V.int_entries(spark, sf_dir), matches)
-    return ev.position_confusion(V.int_hits(spark, sf_dir), tpos, "entry", ["model"])
+    entries = V.int_entries(spark, sf_dir)
+    truth = ev.truth_intervals(entries, matches)
+    return ev.position_confusion_intervals(V.int_hits(spark, sf_dir), truth, entries, "entry", "len", ["model"])
 
 
 @register("metric_distribution", f"""WITH {_TRUTH_POS.strip()},

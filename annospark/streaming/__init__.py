@@ -1,0 +1,2 @@
+"""Intentionally empty: the reference defines no stream, watermark, window or
+state semantics, so there is no streaming operator to match (see README)."""
