@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +51,11 @@ def contingency(target: DataFrame, background: DataFrame, term: str = "term",
     """
     tkeys = list(group_cols)
     bkeys = [g for g in group_cols if g in background.columns]
-    t = term_counts(target, term, tkeys, "tp")
-    b = term_counts(background, term, bkeys, "tn")
+    # The count tables are term-sized (groups x terms), not data-sized; each
+    # is used by the shared-term join and by the totals, so it is persisted to
+    # scan the annotation tables once.
+    t = term_counts(target, term, tkeys, "tp").persist(StorageLevel.MEMORY_AND_DISK)
+    b = term_counts(background, term, bkeys, "tn").persist(StorageLevel.MEMORY_AND_DISK)
     shared = shared_terms(t, b, term, bkeys)
     t_total = _with_total(t, "tp", tkeys, "t_total")
     b_total = _with_total(b, "tn", bkeys, "b_total")
@@ -82,6 +86,7 @@ def fisher_columns(table: DataFrame) -> DataFrame:
     cells = ["tp", "tn", "fp", "fn"]
     a, b, c, d = (F.col(x) for x in cells)
     n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)   # term-sized; read by distinct and by the join
     start, stop = fisher_support_window(a, b, c, d)
     tables = (table.select(*cells).distinct()
               .select(*cells, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r")))
@@ -150,8 +155,10 @@ def enrich(target: DataFrame, background: DataFrame, nodes: DataFrame, edges: Da
              .withColumnRenamed("term", term))
     res = fisher_test(target, background, term, group_cols).join(known, term)
     if propagate:
-        res = propagate_pvalue(res, onto.descendants(nodes, closure), term, group_cols)
-    return res
+        res = propagate_pvalue(res.persist(StorageLevel.MEMORY_AND_DISK), onto.descendants(nodes, closure),
+                               term, group_cols)
+    # term-sized result, read twice by the gate (group statistics + rows)
+    return res.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _score(p: Column) -> Column:

@@ -16,6 +16,7 @@ from annospark.operators import enrichment as enr
 from annospark.operators import ontology as onto
 from annospark.plans import bindings as V
 from annospark.plans.oracle_sql import enrich_ctes, fisher_ctes, gate_sql
+from annospark.session import cut_lineage
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -60,7 +61,7 @@ def dag(spark: SparkSession, sf_dir: str):
     edges = V.dag_edges(spark, sf_dir)
     if key not in _DAG_CACHE:
         closure = onto.closure_with_distance(edges)
-        depth = onto.depth(nodes, edges, closure)
+        depth = cut_lineage(onto.depth(nodes, edges, closure))
         _DAG_CACHE[key] = (closure, depth)
     closure, depth = _DAG_CACHE[key]
     return nodes, edges, closure, depth
