@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,24 +84,28 @@ def jaccard_pairs(nodes: DataFrame, bucket: int = OVERLAP_BUCKET) -> DataFrame:
 def eps_edges(nodes: DataFrame, eps: float = 0.4, metric: str = "rows",
               bucket: int = OVERLAP_BUCKET) -> DataFrame:
     """E3 graph: node pairs (entry, s1, e1, s2, e2) within ``eps``."""
-    jp = jaccard_pairs(nodes, bucket).cache()
+    jp = jaccard_pairs(nodes, bucket).persist(StorageLevel.MEMORY_AND_DISK)
     others = jp.where((F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2")))
     if metric == "precomputed":
         return others.where(F.col("dist") <= eps + EPS_SLACK).select("entry", "s1", "e1", "s2", "e2")
     if metric != "rows":
         raise ValueError("metric must be 'rows' or 'precomputed'")
+    # Exact prefilter: the k = i and k = j terms alone give
+    # d2(i,j) >= (w_i + w_j) * D_ij^2, so only strongly overlapping pairs can be
+    # within eps; the cross sums are computed for those candidates only.
+    cand = (others.where((F.col("w1") + F.col("w2")) * F.col("dist") * F.col("dist") <= eps * eps + EPS_SLACK)
+            .select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"),
+                    F.col("s2").alias("js"), F.col("e2").alias("je")))
     # S_i = sum_k w_k J_ik^2 (self included)
     self_sq = (jp.groupBy("entry", "s1", "e1")
                .agg(F.sum(F.col("w2") * F.col("jac") * F.col("jac")).alias("sq")))
     # cross_ij = sum_k w_k J_ik J_jk over k overlapping both (k = i and k = j included)
-    left = jp.select("entry", F.col("s2").alias("ks"), F.col("e2").alias("ke"), F.col("w2").alias("kw"),
-                     F.col("s1").alias("is"), F.col("e1").alias("ie"), F.col("jac").alias("ji"))
-    right = jp.select("entry", F.col("s2").alias("ks"), F.col("e2").alias("ke"),
-                      F.col("s1").alias("js"), F.col("e1").alias("je"), F.col("jac").alias("jj"))
-    cand = others.select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"),
-                         F.col("s2").alias("js"), F.col("e2").alias("je"))
-    cross = (left.join(right, ["entry", "ks", "ke"])
-             .join(cand, ["entry", "is", "ie", "js", "je"], "left_semi")
+    via_i = jp.select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"), F.col("s2").alias("ks"),
+                      F.col("e2").alias("ke"), F.col("w2").alias("kw"), F.col("jac").alias("ji"))
+    via_j = jp.select("entry", F.col("s1").alias("js"), F.col("e1").alias("je"), F.col("s2").alias("ks"),
+                      F.col("e2").alias("ke"), F.col("jac").alias("jj"))
+    cross = (cand.join(via_i, ["entry", "is", "ie"])
+             .join(via_j, ["entry", "js", "je", "ks", "ke"])
              .groupBy("entry", "is", "ie", "js", "je")
              .agg(F.sum(F.col("kw") * F.col("ji") * F.col("jj")).alias("cross")))
     si = self_sq.select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"), F.col("sq").alias("sqi"))
@@ -117,11 +122,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
 
     Output: entry, s, e, w, cs, ce (cluster = (entry, cs, ce)).
     """
-    labels = cut_lineage(nodes.select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
+    # the loop state (labels) is checkpointed every round; the edge list is
+    # not iterative, so it is only persisted
+    labels = nodes.select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce"))
     und = (edges.select("entry", "s1", "e1", "s2", "e2")
            .unionByName(edges.select("entry", F.col("s2").alias("s1"), F.col("e2").alias("e1"),
                                      F.col("s1").alias("s2"), F.col("e1").alias("e2"))))
-    und = cut_lineage(und)
+    und = und.persist(StorageLevel.MEMORY_AND_DISK)
     for _ in range(max_rounds):
         neigh = (und.join(labels.select("entry", F.col("s").alias("s2"), F.col("e").alias("e2"),
                                         F.struct("cs", "ce").alias("lab")), ["entry", "s2", "e2"])
@@ -142,7 +149,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
 def eps_clusters(hits: DataFrame, eps: float = 0.4, metric: str = "rows", entry: str = "entry",
                  start: str = "seq_start", end: str = "seq_end", bucket: int = OVERLAP_BUCKET) -> DataFrame:
     """Cluster label (cs, ce) of every distinct hit, with its multiplicity w."""
-    nodes = cut_lineage(collapse_hits(hits, entry, start, end))
+    nodes = collapse_hits(hits, entry, start, end).persist(StorageLevel.MEMORY_AND_DISK)
     return connected_components(nodes, eps_edges(nodes, eps, metric, bucket))
 
 

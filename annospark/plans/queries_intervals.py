@@ -285,3 +285,33 @@ def q_centroid_matrix(spark, sf_dir):
     long = mx.distance_matrix(cent.withColumn("g", F.lit(0)), "g", "label", "v", blocks=4)
     wide = mx.matrix_pivot(long.select("i", "j", "d"), _LABELS)
     return _r(wide, [str(k) for k in _LABELS])
+
+
+# ------------------------------------------------------------------ I3 on the interval models + ensemble
+_ENS_CTE = _ens_sql("rows").replace("WITH RECURSIVE ", "", 1)
+_ENS_BODY, _ENS_SELECT = _ENS_CTE.rsplit("\nSELECT entry, min(pos)", 1)
+
+
+@register("compare_domain_models", f"""WITH RECURSIVE {_ENS_BODY},
+ens AS (SELECT entry, min(pos)""" + _ENS_SELECT + f"""),
+pr AS (SELECT DISTINCT model, entry FROM hits UNION ALL SELECT DISTINCT 'ensemble', entry FROM ens),
+uni AS (SELECT o_orderkey AS entry FROM orders),
+pos AS (SELECT DISTINCT entry FROM ({V.SQL_INT_TRUTH}) WHERE entry IN (SELECT entry FROM uni)),
+c AS (SELECT model, count(*) FILTER (WHERE entry IN (SELECT entry FROM pos))::BIGINT AS tp,
+             count(*) FILTER (WHERE entry NOT IN (SELECT entry FROM pos))::BIGINT AS fp
+      FROM (SELECT DISTINCT model, entry FROM pr WHERE entry IN (SELECT entry FROM uni)) GROUP BY model),
+tot AS (SELECT (SELECT count(*) FROM pos) AS np, (SELECT count(*) FROM uni) - (SELECT count(*) FROM pos) AS nn)
+SELECT model, tp, fp, (nn - fp)::BIGINT AS tn, (np - tp)::BIGINT AS fn, {_rs(_MET)} FROM
+(SELECT model, tp, fp, nn, np, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(np, 0) AS recall,
+        (tp + nn - fp)::DOUBLE / nullif(np + nn, 0) AS accuracy,
+        (tp::DOUBLE / nullif(np, 0) + (nn - fp)::DOUBLE / nullif(nn, 0)) / 2 AS weighted_accuracy FROM c, tot)""")
+def q_compare_domain_models(spark, sf_dir):
+    """Entity level: an entry is predicted positive by a model when it has a hit
+    (for the ensemble: a voted range); truth = entries with a match."""
+    hits = V.int_hits(spark, sf_dir)
+    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in ("A", "N", "R")]
+    ens = iv.ensemble(models, 0.4, "rows").select(F.lit("ensemble").alias("model"), "entry")
+    preds = hits.select("model", "entry").unionByName(ens)
+    universe = V.int_entries(spark, sf_dir).select("entry")
+    truth = V.int_truth(spark, sf_dir).select("entry")
+    return _r(ev.compare_models(universe, truth, preds, "entry"), _MET)
