@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.operators.reshape import parse_ranges, to_positions
@@ -151,39 +151,45 @@ def position_confusion_intervals(pred_hits: DataFrame, truth: DataFrame, entries
                                  length: str = "len", group: Sequence[str] = ()) -> DataFrame:
     """I4 without materialising positions (same result as ``position_confusion``).
 
-    With P = union of predicted intervals, T = union of truth intervals,
-    L = [1, len) and U = L ∪ T (all per entry):
-    tp = |P∩T|, fp = |P∩L| - |P∩T∩L|, fn = |T| - tp, tn = |L| - |T∩L| - fp.
-    Unions come from ``merge_intervals``; intersections from a bucketed
-    overlap join of the disjoint runs.  Entries unknown to ``entries`` have
-    empty U and therefore zero counts and null metrics.
+    One coverage sweep per (group, entry) over three kinds of +/- events:
+    predicted intervals P, truth intervals T and the sequence range
+    L = [1, len).  Between consecutive event positions the membership is
+    constant, so each segment adds its length to exactly one of
+    tp (P∩T), fp (P∩L−T), fn (T−P) or tn (L−T−P) — the reference's sets with
+    U = L ∪ T.  Events are summed per position first, so the ordered window
+    per key holds at most one row per distinct endpoint (bounded by the
+    sequence length, whatever the number of hits).  Entries unknown to
+    ``entries`` contribute no T/L events: zero counts, null metrics.
     """
-    from annospark.operators.intervals import interval_overlap_join, merge_intervals
     g = list(group)
-    lens = entries.select(entry, F.col(length).alias("_len"))
-    P = merge_intervals(pred_hits, [*g, entry])
-    T = merge_intervals(truth.join(lens, entry, "left_semi"), [entry])
-    clip = lambda s, e: F.greatest(F.lit(0), F.least(e, F.col("_len")) - F.greatest(s, F.lit(1)))
-    p_stats = (P.join(lens, entry, "left")
-               .groupBy(*g, entry).agg(F.sum(F.coalesce(clip(F.col("s"), F.col("e")), F.lit(0))).alias("p_l")))
-    t_stats = (T.join(lens, entry)
-               .groupBy(entry).agg(F.sum(F.col("e") - F.col("s")).alias("t_all"),
-                                   F.sum(clip(F.col("s"), F.col("e"))).alias("t_l"), F.first("_len").alias("_len")))
-    pt = (interval_overlap_join(P, T, [entry])
-          .join(lens, entry)
-          .groupBy(*g, entry).agg(F.sum(F.col("hi") - F.col("lo")).alias("pt"),
-                                  F.sum(clip(F.col("lo"), F.col("hi"))).alias("pt_l")))
     keys = pred_hits.select(*g, entry).distinct()
-    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    joined = (keys.join(p_stats, [*g, entry], "left").join(pt, [*g, entry], "left")
-              .join(t_stats, entry, "left").join(lens.withColumnRenamed("_len", "_len_e"), entry, "left"))
-    full_l = F.greatest(F.coalesce(F.col("_len_e"), F.lit(0)) - 1, F.lit(0)).cast("long")
-    conf = joined.select(*g, entry,
-                         z("pt").alias("tp"),
-                         (z("p_l") - z("pt_l")).alias("fp"),
-                         (full_l - z("t_l") - (z("p_l") - z("pt_l"))).alias("tn"),
-                         (z("t_all") - z("pt")).alias("fn"))
-    return metrics(conf)
+    def ev_rows(df: DataFrame, s: str, e: str, kind: str) -> DataFrame:
+        d = {"P": (1, 0, 0), "T": (0, 1, 0), "L": (0, 0, 1)}[kind]
+        ok = df.where(F.col(e) > F.col(s))
+        cols = lambda sign, pos: [F.col(pos).alias("p"), *(F.lit(sign * v).alias(n) for v, n in zip(d, ("dp", "dt", "dl")))]
+        return ok.select(*g, entry, *cols(1, s)).unionByName(ok.select(*g, entry, *cols(-1, e)))
+    known = entries.select(entry, length).join(keys.select(entry).distinct(), entry, "left_semi")
+    t_keyed = keys.join(truth.join(known.select(entry), entry, "left_semi").select(entry, "seq_start", "seq_end"), entry)
+    l_keyed = keys.join(known.select(entry, F.lit(1).alias("_one"), F.col(length).alias("_len")), entry)
+    events = (ev_rows(pred_hits.select(*g, entry, "seq_start", "seq_end"), "seq_start", "seq_end", "P")
+              .unionByName(ev_rows(t_keyed, "seq_start", "seq_end", "T"))
+              .unionByName(ev_rows(l_keyed, "_one", "_len", "L"))
+              .groupBy(*g, entry, "p").agg(F.sum("dp").alias("dp"), F.sum("dt").alias("dt"), F.sum("dl").alias("dl")))
+    w = Window.partitionBy(*g, entry).orderBy("p")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    seg = (events.select(*g, entry, "p",
+                         F.sum("dp").over(run).alias("cp"), F.sum("dt").over(run).alias("ct"),
+                         F.sum("dl").over(run).alias("cl"), F.lead("p").over(w).alias("np"))
+           .where(F.col("np").isNotNull())
+           .withColumn("len_", (F.col("np") - F.col("p")).cast("long")))
+    in_p, in_t, in_l = F.col("cp") > 0, F.col("ct") > 0, F.col("cl") > 0
+    part = lambda c: F.sum(F.when(c, F.col("len_")).otherwise(F.lit(0).cast("long"))).cast("long")
+    conf = seg.groupBy(*g, entry).agg(part(in_p & in_t).alias("tp"), part(in_p & in_l & ~in_t).alias("fp"),
+                                      part(in_l & ~in_t & ~in_p).alias("tn"), part(in_t & ~in_p).alias("fn"))
+    zero = F.lit(0).cast("long")
+    full = (keys.join(conf, [*g, entry], "left")
+            .select(*g, entry, *[F.coalesce(F.col(c), zero).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+    return metrics(full)
 
 
 def metric_distribution(per_entry: DataFrame, metric_cols: Sequence[str] = ("precision", "recall", "accuracy",

@@ -181,18 +181,29 @@ def ensemble(dfs: Sequence[DataFrame], eps: float = 0.4, metric: str = "rows", e
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "seq_start", end: str = "seq_end") -> DataFrame:
-    """Union of half-open intervals per key as disjoint, non-touching runs (keys..., s, e).
+    """Union of half-open intervals per key as disjoint runs (keys..., s, e).
 
-    Gaps-and-islands: a run starts where an interval begins after the
-    furthest end seen so far in (start, end) order.
+    Coverage sweep: +1/-1 events are first summed per (key, position) (map-side
+    partial aggregation), so the ordered window per key sees at most two rows
+    per distinct endpoint -- bounded by the sequence length, not by the number
+    of hits of a hot key.  A run starts where coverage becomes positive and
+    ends where it returns to zero; touching intervals merge.
     """
     k = list(keys)
-    w = Window.partitionBy(*k).orderBy(start, end)
-    prev_end = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = (df.where(F.col(end) > F.col(start)).select(*k, start, end)
-            .withColumn("_new", F.when(prev_end.isNull() | (F.col(start) > prev_end), 1).otherwise(0))
-            .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return runs.groupBy(*k, "_run").agg(F.min(start).alias("s"), F.max(end).alias("e")).drop("_run")
+    nonempty = df.where(F.col(end) > F.col(start))
+    events = (nonempty.select(*k, F.col(start).alias("p"), F.lit(1).alias("d"))
+              .unionByName(nonempty.select(*k, F.col(end).alias("p"), F.lit(-1).alias("d")))
+              .groupBy(*k, "p").agg(F.sum("d").alias("d")))
+    w = Window.partitionBy(*k).orderBy("p")
+    cov = events.withColumn("cov", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cov = cov.withColumn("prev", F.coalesce(F.lag("cov").over(w), F.lit(0)))
+    opens = (F.col("prev") == 0) & (F.col("cov") > 0)
+    closes = (F.col("prev") > 0) & (F.col("cov") == 0)
+    marked = (cov.where(opens | closes)
+              .withColumn("_run", F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    return (marked.groupBy(*k, "_run")
+            .agg(F.min(F.when(opens, F.col("p"))).alias("s"), F.max(F.when(closes, F.col("p"))).alias("e"))
+            .drop("_run"))
 
 
 def interval_overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int = OVERLAP_BUCKET) -> DataFrame:

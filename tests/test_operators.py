@@ -146,3 +146,32 @@ def test_top_k_per_group_salted(spark):
     got = top_k_per_group(df, ["g"], [F.col("s").desc(), F.col("p")], 3, salt_buckets=16).collect()
     exp = sorted([r for r in rows if r[0] == "hot"], key=lambda r: (-r[2], r[1]))[:3] + [("cold", "x", 1.0)]
     assert sorted(tuple(r) for r in got) == sorted(exp)
+
+
+def test_merge_intervals_and_interval_confusion(spark):
+    from annospark.operators import evaluation as ev
+    rnd = random.Random(11)
+    hits = [(e, s, s + rnd.randint(0, 30)) for e in range(20) for s in rnd.sample(range(0, 150), rnd.randint(1, 8))]
+    df = spark.createDataFrame(hits, "entry long, seq_start int, seq_end int")
+    got = {}
+    for r in iv.merge_intervals(df, ["entry"]).collect():
+        got.setdefault(r.entry, set()).update(range(r.s, r.e))
+    exp = {}
+    for e, s, t in hits:
+        if t > s:
+            exp.setdefault(e, set()).update(range(s, t))
+    assert got == exp
+    truth = [(e, s, s + 20) for e in range(0, 25, 2) for s in (5, 60)]
+    tdf = spark.createDataFrame(truth, "entry long, seq_start int, seq_end int")
+    ents = spark.createDataFrame([(e, 120) for e in range(22)], "entry long, len int")
+    conf = {r.entry: (r.tp, r.fp, r.tn, r.fn) for r in
+            ev.position_confusion_intervals(df, tdf, ents, "entry", "len").collect()}
+    for e, pp in exp.items():
+        t = set()
+        for te, s, x in truth:
+            if te == e:
+                t.update(range(s, x))
+        u = set(range(1, 120)) | t
+        neg = u - t
+        pn = u - pp
+        assert conf[e] == (len(t & pp), len(neg & pp), len(neg & pn), len(t & pn)), e
