@@ -175,3 +175,11 @@ def test_merge_intervals_and_interval_confusion(spark):
         neg = u - t
         pn = u - pp
         assert conf[e] == (len(t & pp), len(neg & pp), len(neg & pn), len(t & pn)), e
+
+
+def test_closure_algorithms_agree(spark):
+    rows = [(k, k // 2) for k in range(1, 300)] + [(k, k // 3) for k in range(1, 300)] + [(7, 1)]
+    edges = spark.createDataFrame(rows, "child long, parent long").distinct()
+    a = {(r.descendant, r.ancestor, r.dist) for r in onto.closure_with_distance(edges).collect()}
+    b = {(r.descendant, r.ancestor, r.dist) for r in onto.closure_bfs(edges).collect()}
+    assert a == b and len(a) > 1000
