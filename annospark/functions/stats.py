@@ -99,6 +99,15 @@ def log_pmf_ratio(k: Column, a: Column, b: Column, c: Column, d: Column) -> Colu
             + log_factorial_diff(r - a, r - k) + log_factorial_diff(n2 - r + a, n2 - r + k))
 
 
+def log_table_probability(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """ln P([[a, b], [c, d]] | margins) = ln C(a+c, a) + ln C(b+d, b) - ln C(n, a+b),
+    written with ``log_factorial_diff`` so that large, close factorials cancel
+    without loss."""
+    return (log_factorial_diff(a + c, c) - log_factorial(a)
+            + log_factorial_diff(b + d, d) - log_factorial(b)
+            + log_factorial(a + b) - log_factorial_diff(a + b + c + d, c + d))
+
+
 def fisher_degenerate(a: Column, b: Column, c: Column, d: Column) -> Column:
     """A row or column total is zero: p = 1 and the odds ratio is NaN."""
     return ((a + b) == 0) | ((c + d) == 0) | ((a + c) == 0) | ((b + d) == 0)

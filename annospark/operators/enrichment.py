@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.functions.stats import (TIE_TOLERANCE, fisher_degenerate, fisher_support_window,
-                                       log_hypergeom_pmf, odds_ratio)
+                                       log_table_probability, odds_ratio)
 from annospark.operators import ontology as onto
 
 
@@ -91,9 +91,7 @@ def fisher_columns(table: DataFrame) -> DataFrame:
     tables = (table.select(*cells).distinct()
               .select(*cells, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r")))
     support = (tables
-               .select(*cells, "_n1", "_n2", "_r",
-                       log_hypergeom_pmf(a, n1, n2, r).alias("_lp_obs"),
-                       F.explode(F.sequence(start, stop)).alias("_k"))
+               .select(*cells, "_n1", "_n2", "_r", F.explode(F.sequence(start, stop)).alias("_k"))
                .withColumn("_step", F.log((n1 - k).cast("double")) + F.log((r - k).cast("double"))
                            - F.log((k + 1).cast("double")) - F.log((n2 - r + k + 1).cast("double"))))
     by_table = Window.partitionBy(*cells)
@@ -102,10 +100,10 @@ def fisher_columns(table: DataFrame) -> DataFrame:
            .withColumn("_cum", F.coalesce(F.sum("_step").over(running), F.lit(0.0)))
            .withColumn("_d", F.col("_cum") - F.max(F.when(k == a, F.col("_cum"))).over(by_table))
            .where(F.col("_d") <= TIE_TOLERANCE))
-    pvals = (rel.groupBy(*cells)
-             .agg(F.first("_lp_obs").alias("_lp_obs"), F.sum(F.exp(F.col("_d"))).alias("_s"))
+    # one row per table: observed log-probability (stable form) + summed ratio mass
+    pvals = (rel.groupBy(*cells).agg(F.sum(F.exp(F.col("_d"))).alias("_s"))
              .select(*cells, F.when(fisher_degenerate(a, b, c, d), F.lit(1.0))
-                     .otherwise(F.least(F.lit(1.0), F.exp(F.col("_lp_obs") + F.log(F.col("_s")))))
+                     .otherwise(F.least(F.lit(1.0), F.exp(log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
                      .alias("p_value")))
     return (table.join(pvals, on=cells, how="inner")
             .withColumn("odds_ratio", odds_ratio(a, b, c, d)))
