@@ -237,8 +237,12 @@ def interval_join(dom: DataFrame, struct: DataFrame, entry: str = "entry") -> Da
             .withColumn("inter", F.greatest(F.lit(0), F.least("seq_end", "s_end") - F.greatest("seq_start", "s_start"))))
 
 
-def pair_self_join(df: DataFrame, group: str, item: str) -> DataFrame:
-    """Unordered pairs (i < j) of items inside a group (quadratic output by definition)."""
-    a = df.select(group, F.col(item).alias("i"))
-    b = df.select(group, F.col(item).alias("j"))
-    return a.join(b, group).where(F.col("i") < F.col("j"))
+def pair_self_join(df: DataFrame, group: str, item: str, blocks: int = 8) -> DataFrame:
+    """Unordered pairs (i < j) of items inside a group.
+
+    The output is quadratic in the group size by definition; items are hashed
+    into ``blocks`` and each block pair is its own join key, so a large group
+    is paired by blocks*(blocks+1)/2 tasks instead of one.
+    """
+    from annospark.operators.matrix import pairs_blocked
+    return pairs_blocked(df.select(group, item, F.lit(0).alias("_v")), group, item, "_v", blocks).select(group, "i", "j")
