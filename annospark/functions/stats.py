@@ -90,6 +90,81 @@ def fisher_support_window(a: Column, b: Column, c: Column, d: Column) -> tuple[C
     return start, stop
 
 
+def fisher_window_scalars(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+    """Per-table support bounds, mode, half window and the 'far' flag (see ``fisher_windows``)."""
+    n1 = a + c
+    n2 = b + d
+    r = a + b
+    n = n1 + n2
+    nd = n.cast("double")
+    frac = n1.cast("double") / nd
+    var = (r.cast("double") * frac * (F.lit(1.0) - frac) * (nd - r.cast("double"))
+           / F.greatest(nd - 1.0, F.lit(1.0)))
+    half = (F.ceil(F.sqrt(F.greatest(var, F.lit(0.0))) * WINDOW_SIGMAS) + WINDOW_SLACK).cast("long")
+    mode = F.floor(((r + 1) * (n1 + 1)) / (n + 2)).cast("long")
+    return {"_lo": F.greatest(F.lit(0).cast("long"), r - n2), "_hi": F.least(r, n1), "_mode": mode,
+            "_half": half, "_far": F.abs(a - mode) > half * 2}
+
+
+def fisher_mirror_cell(a: Column, n1: Column, n2: Column, r: Column, lp_obs: Column, lo: Column, hi: Column,
+                       mode: Column, far: Column) -> Column:
+    """k*: the cell on the other side of the mode where the (log-concave) pmf
+    falls to the observed table's probability; found by a 64-step bisection
+    and only evaluated for tables far from the mode.  Null when no such cell.
+
+    Arguments are attributes (staged projections keep the lambda small).  The
+    search compares ln P(k) = const - [lf(k) + lf(n1-k) + lf(r-k) + lf(n2-r+k)]
+    with a short Stirling form: it only has to place k* within the
+    ``WINDOW_SLACK`` margin, because the mirror window is then anchored at k*
+    with an exact offset.
+    """
+    n = n1 + n2
+
+    def lf(m: Column) -> Column:
+        # short Stirling form (abs. error < 0.002): enough to place k* within the slack
+        x = m.cast("double") + F.lit(1.0)
+        return (x - 0.5) * F.log(x) - x + F.lit(_HALF_LOG_2PI) + F.lit(1.0) / (x * 12.0)
+    const = lf(n1) + lf(n2) - lf(n) + lf(r) + lf(n - r)
+    bound = lp_obs + F.lit(TIE_TOLERANCE) - const
+
+    def ok(k: Column) -> Column:
+        return -(lf(k) + lf(n1 - k) + lf(r - k) + lf(n2 - r + k)) <= bound
+
+    def step(rising: bool):
+        def f(acc, _):
+            mid = F.floor((acc["l"] + acc["h"]) / 2).cast("long")
+            low = ok(mid) if rising else ~ok(mid)
+            moved = F.when(low, F.struct(mid.alias("l"), acc["h"].alias("h"))).otherwise(
+                F.struct(acc["l"].alias("l"), mid.alias("h")))
+            return F.when(acc["h"] - acc["l"] <= 1, acc).otherwise(moved)
+        return f
+    iters = F.sequence(F.lit(1), F.lit(64))
+    rising = F.aggregate(iters, F.struct((lo - 1).alias("l"), mode.alias("h")), step(True))
+    falling = F.aggregate(iters, F.struct(mode.alias("l"), (hi + 1).alias("h")), step(False))
+    k = F.when(far & (a > mode), rising["l"]).when(far & (a < mode), falling["h"])
+    return F.when((k >= lo) & (k <= hi), k)
+
+
+def fisher_windows(a: Column, kstar: Column, lo: Column, hi: Column, mode: Column, half: Column,
+                   far: Column) -> list[Column]:
+    """Cells to sum for the two-sided p as two windows [a0, a1] (around the
+    observed cell ``a``) and [b0, b1] (around the mirror cell k*).
+
+    The pmf is unimodal (log-concave): the tables not more likely than the
+    observed one are the tail beyond ``a`` and the tail beyond k*.  When ``a``
+    is within two half-widths of the mode one window around both is used
+    (this also covers near-ties on flat distributions).  Otherwise each tail
+    gets its own window of ``WINDOW_SIGMAS`` standard deviations, so the work
+    no longer grows with the distance between the observed cell and the mode.
+    """
+    slack = F.lit(WINDOW_SLACK).cast("long")
+    a0 = F.when(far, F.when(a > mode, a - slack).otherwise(a - half)).otherwise(F.least(a, mode) - half)
+    a1 = F.when(far, F.when(a > mode, a + half).otherwise(a + slack)).otherwise(F.greatest(a, mode) + half)
+    b0 = F.when(a > mode, kstar - half).otherwise(F.greatest(kstar - slack, a + slack + 1))
+    b1 = F.when(a > mode, F.least(kstar + slack, a - slack - 1)).otherwise(kstar + half)
+    return [F.greatest(lo, a0), F.least(hi, a1), F.greatest(lo, b0), F.least(hi, b1)]
+
+
 def log_pmf_ratio(k: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
     """ln P(k) - ln P(a) for tables with the margins of ``[[a, b], [c, d]]``."""
     n1 = a + c

@@ -16,8 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.functions.stats import (TIE_TOLERANCE, fisher_degenerate, fisher_support_window,
-                                       log_table_probability, odds_ratio)
+from annospark.functions.stats import (TIE_TOLERANCE, WINDOW_SLACK, fisher_degenerate, fisher_mirror_cell,
+                                       fisher_window_scalars, fisher_windows, log_table_probability, odds_ratio)
 from annospark.operators import ontology as onto
 
 
@@ -72,43 +72,93 @@ def contingency(target: DataFrame, background: DataFrame, term: str = "term",
             .drop("t_total", "b_total"))
 
 
+CELLS = ["tp", "tn", "fp", "fn"]
+
+
+def _relative_mass(support: DataFrame, anchor: Column, offset: Column, win_cols: Sequence[str]) -> DataFrame:
+    """Sum of P(k)/P(observed) over the exploded cells ``_k`` that are not more
+    likely than the observed table.  ln P(k) relative to the window's
+    ``anchor`` is a running sum of ln P(k+1)/P(k) over a window partitioned by
+    (table, window); ``offset`` = ln P(anchor) - ln P(observed)."""
+    a = F.col("tp")
+    n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
+    support = support.withColumn(
+        "_step", F.log((n1 - k).cast("double")) + F.log((r - k).cast("double"))
+        - F.log((k + 1).cast("double")) - F.log((n2 - r + k + 1).cast("double")))
+    by_win = Window.partitionBy(*CELLS, *win_cols)
+    running = by_win.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    rel = (support
+           .withColumn("_cum", F.coalesce(F.sum("_step").over(running), F.lit(0.0)))
+           .withColumn("_d", F.col("_cum") - F.max(F.when(k == anchor, F.col("_cum"))).over(by_win) + offset)
+           .where(F.col("_d") <= TIE_TOLERANCE))
+    return rel.groupBy(*CELLS).agg(F.sum(F.exp(F.col("_d"))).alias("_s"))
+
+
 def fisher_columns(table: DataFrame) -> DataFrame:
     """G4 on a table with tp, tn, fp, fn: adds odds_ratio and p_value.
 
-    The p-value is computed once per distinct table.  Its support window
-    (``fisher_support_window``) is exploded into one row per cell count k; the
-    log-probability relative to the observed table comes from a running sum
-    of ln P(k+1)/P(k) = ln(n1-k) + ln(r-k) - ln(k+1) - ln(n2-r+k+1) over a
-    window partitioned by table (the rows are already hash-partitioned by the
-    table after ``distinct``, so the window and the final ``groupBy`` add no
-    shuffle).  Cells not more likely than the observed one are summed.
+    The p-value is computed once per distinct table (the distinct set is
+    term-sized and persisted).  Tables not more likely than the observed one
+    lie in the tail beyond the observed cell and the tail beyond its mirror
+    cell k* on the other side of the mode (the pmf is log-concave):
+
+    * observed cell near the mode (the common case): one window of
+      ``WINDOW_SIGMAS`` standard deviations around both is exploded into rows;
+    * observed cell far from the mode (a strongly enriched, heavily annotated
+      term): k* is found by bisection and only the two tails get windows, so
+      the work does not grow with the distance to the mode.  This branch is
+      planned only when such tables exist.
+
+    Relative log-probabilities come from running sums of ln P(k+1)/P(k) over a
+    window partitioned by table; the rows are already hash-partitioned by the
+    table after ``distinct``, so no extra shuffle is needed.
     """
-    cells = ["tp", "tn", "fp", "fn"]
-    a, b, c, d = (F.col(x) for x in cells)
+    a, b, c, d = (F.col(x) for x in CELLS)
     n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
     table = table.persist(StorageLevel.MEMORY_AND_DISK)   # term-sized; read by distinct and by the join
-    start, stop = fisher_support_window(a, b, c, d)
-    tables = (table.select(*cells).distinct()
-              .select(*cells, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r")))
-    support = (tables
-               .select(*cells, "_n1", "_n2", "_r", F.explode(F.sequence(start, stop)).alias("_k"))
-               .withColumn("_step", F.log((n1 - k).cast("double")) + F.log((r - k).cast("double"))
-                           - F.log((k + 1).cast("double")) - F.log((n2 - r + k + 1).cast("double"))))
-    by_table = Window.partitionBy(*cells)
-    running = by_table.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    rel = (support
-           .withColumn("_cum", F.coalesce(F.sum("_step").over(running), F.lit(0.0)))
-           .withColumn("_d", F.col("_cum") - F.max(F.when(k == a, F.col("_cum"))).over(by_table))
-           .where(F.col("_d") <= TIE_TOLERANCE))
-    # one row per table: observed log-probability (stable form) + summed ratio mass
-    pvals = (rel.groupBy(*cells).agg(F.sum(F.exp(F.col("_d"))).alias("_s"))
-             .select(*cells, F.when(fisher_degenerate(a, b, c, d), F.lit(1.0))
-                     .otherwise(F.least(F.lit(1.0), F.exp(log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
-                     .alias("p_value")))
-    return (table.join(pvals, on=cells, how="inner")
+    sc = fisher_window_scalars(a, b, c, d)
+    tables = (table.select(*CELLS).distinct()
+              .select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"),
+                      *[v.alias(n) for n, v in sc.items()])
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    lo, hi, mode, half, far = (F.col(x) for x in ("_lo", "_hi", "_mode", "_half", "_far"))
+    near = tables.where(~far).select(
+        *CELLS, "_n1", "_n2", "_r",
+        F.explode(F.sequence(F.greatest(lo, F.least(a, mode) - half), F.least(hi, F.greatest(a, mode) + half))).alias("_k"))
+    masses = [_relative_mass(near, a, F.lit(0.0), [])]
+    far_tables = tables.where(far)
+    if not far_tables.isEmpty():
+        masses.append(_far_mass(far_tables))
+    mass = masses[0] if len(masses) == 1 else masses[0].unionByName(masses[1])
+    pvals = mass.select(*CELLS, F.when(fisher_degenerate(a, b, c, d), F.lit(1.0))
+                        .otherwise(F.least(F.lit(1.0), F.exp(log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
+                        .alias("p_value"))
+    return (table.join(pvals, on=CELLS, how="inner")
             .withColumn("odds_ratio", odds_ratio(a, b, c, d)))
 
 
+def _far_mass(far_tables: DataFrame) -> DataFrame:
+    """Relative tail mass of tables whose observed cell is far from the mode."""
+    a, b, c, d = (F.col(x) for x in CELLS)
+    n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
+    lo, hi, mode, half, far = (F.col(x) for x in ("_lo", "_hi", "_mode", "_half", "_far"))
+    t = far_tables.select("*", log_table_probability(a, b, c, d).alias("_lp_obs"))
+    t = t.select("*", fisher_mirror_cell(a, n1, n2, r, F.col("_lp_obs"), lo, hi, mode, far).alias("_kstar"))
+    a0, a1, b0, b1 = fisher_windows(a, F.col("_kstar"), lo, hi, mode, half, far)
+    t = t.select("*", a0.alias("_a0"), a1.alias("_a1"), b0.alias("_b0"), b1.alias("_b1"))
+    has_b = F.col("_kstar").isNotNull() & (F.col("_b1") >= F.col("_b0"))
+    ks = F.col("_kstar")
+    t = t.withColumn("_delta", F.when(has_b, log_table_probability(ks, r - ks, n1 - ks, n2 - r + ks)
+                                      - F.col("_lp_obs")))
+    own = t.select(*CELLS, "_n1", "_n2", "_r", F.lit(0).alias("_win"), F.lit(None).cast("double").alias("_delta"),
+                   F.explode(F.sequence(F.col("_a0"), F.col("_a1"))).alias("_k"))
+    mirror = t.where(has_b).select(*CELLS, "_n1", "_n2", "_r", F.lit(1).alias("_win"), "_kstar", "_delta",
+                                   F.explode(F.sequence(F.col("_b0"), F.col("_b1"))).alias("_k"))
+    m_own = _relative_mass(own, a, F.lit(0.0), ["_win"])
+    m_mirror = _relative_mass(mirror, F.col("_kstar"), F.col("_delta"), ["_win"])
+    return m_own.unionByName(m_mirror).groupBy(*CELLS).agg(F.sum("_s").alias("_s"))
+
+
 def fisher_test(target: DataFrame, background: DataFrame, term: str = "term",
                 group_cols: Sequence[str] = ()) -> DataFrame:
     """G1-G4 composed."""

@@ -25,6 +25,9 @@ def test_fisher_matches_brute_force(spark):
     rnd = random.Random(7)
     tables = [(rnd.randint(0, 60), rnd.randint(0, 60), rnd.randint(0, 3000), rnd.randint(0, 3000)) for _ in range(300)]
     tables += [(500, 1, 10, 5000), (0, 900, 900, 0), (3, 3, 3, 3), (1, 0, 0, 1), (0, 0, 5, 5), (2000, 2100, 18000, 78000)]
+    # far from the mode on either side (two windows + mirror cell), and a symmetric tie
+    tables += [(9000, 1000, 11000, 79000), (100, 9000, 19900, 71000), (4000, 4000, 4000, 4000),
+               (30000, 20000, 30000, 120000), (200, 20000, 60000, 150000)]
     df = spark.createDataFrame(tables, "tp long, tn long, fp long, fn long")
     got = {(r.tp, r.tn, r.fp, r.fn): r for r in enr.fisher_columns(df).collect()}
     for t in set(tables):
