@@ -103,16 +103,34 @@ def truth_positions(entries: DataFrame, matches: DataFrame, entry: str = "entry"
 
 def truth_summary(entries: DataFrame, matches: DataFrame, entry: str = "entry", length: str = "len",
                   ranges: str = "matches") -> DataFrame:
-    """I6 per entry: numbers of positive / negative positions and the match flag."""
-    tp = truth_positions(entries, matches, entry, length, ranges)
-    s = tp.groupBy(entry).agg(F.sum("is_pos").cast("long").alias("n_positive"),
-                              F.sum(1 - F.col("is_pos")).cast("long").alias("n_negative"))
-    return (entries.select(entry).join(s, entry, "left")
-            .select(entry, F.coalesce("n_positive", F.lit(0).cast("long")).alias("n_positive"),
-                    F.coalesce("n_negative", F.lit(0).cast("long")).alias("n_negative"))
+    """I6 per entry: numbers of positive / negative positions and the match flag.
+
+    Interval arithmetic on the merged truth runs (no positions materialised):
+    positive = |T|, negative = |[1, len)| - |T ∩ [1, len)|.
+    """
+    from annospark.operators.intervals import merge_intervals
+    ents = entries.select(entry, F.col(length).alias("_len"))
+    runs = merge_intervals(truth_intervals(entries, matches, entry, length, ranges), [entry]).join(ents, entry)
+    inside = F.greatest(F.lit(0), F.least(F.col("e"), F.col("_len")) - F.greatest(F.col("s"), F.lit(1)))
+    s = runs.groupBy(entry).agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("_pos"),
+                                F.sum(inside).cast("long").alias("_in"))
+    full = F.greatest(F.col("_len") - 1, F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    return (ents.join(s, entry, "left")
+            .select(entry, F.coalesce("_pos", zero).alias("n_positive"),
+                    (full - F.coalesce("_in", zero)).alias("n_negative"))
             .withColumn("match", F.col("n_positive") > 0))
 
 
+def set_union_summary(hits: DataFrame, entry: str = "entry") -> DataFrame:
+    """J3 per entry without materialising positions: size, first and last
+    position of the union of the hits' position sets."""
+    from annospark.operators.intervals import merge_intervals
+    runs = merge_intervals(hits.select(entry, "seq_start", "seq_end"), [entry])
+    return runs.groupBy(entry).agg(F.sum(F.col("e") - F.col("s")).cast("long").alias("n_positions"),
+                                   F.min("s").alias("min_pos"), (F.max("e") - 1).alias("max_pos"))
+
+
 def set_union_positions(hits: DataFrame, entry: str = "entry") -> DataFrame:
     """Union of the position sets of all hits of an entry -> (entry, pos)."""
     return to_positions(hits.select(entry, "seq_start", "seq_end"), keep=[entry]).distinct()

@@ -60,7 +60,7 @@ hl AS (SELECT h.*, lab.cl FROM h JOIN lab USING (entry, id)),
 n AS (SELECT entry, cl, count(*) AS n FROM hl GROUP BY entry, cl),
 votes AS (SELECT entry, cl, pos, count(*) AS v FROM (SELECT entry, cl, unnest(range(s, e)) AS pos FROM hl) GROUP BY ALL),
 kept AS (SELECT votes.* FROM votes JOIN n USING (entry, cl) WHERE 2 * v >= n)
-SELECT entry, min(pos) AS seq_start, max(pos) AS seq_end FROM kept GROUP BY entry, cl"""
+SELECT entry, min(pos)::INTEGER AS seq_start, max(pos)::INTEGER AS seq_end FROM kept GROUP BY entry, cl"""
 
 
 @register("ensemble", _ens_sql("rows"))
@@ -246,13 +246,11 @@ def q_covering_structures(spark, sf_dir):
     return ev.covering_structures(_coverage(spark, sf_dir), 0.8)
 
 
-@register("set_union_positions", f"SELECT entry, count(*) AS n_positions, min(pos) AS min_pos, max(pos) AS max_pos FROM "
+@register("set_union_positions", f"SELECT entry, count(*) AS n_positions, min(pos)::INTEGER AS min_pos, max(pos)::INTEGER AS max_pos FROM "
           f"(SELECT DISTINCT entry, unnest(range(seq_start, seq_end)) AS pos FROM ({V.SQL_INT_HITS}) WHERE seq_end > seq_start) "
           "GROUP BY entry")
 def q_set_union_positions(spark, sf_dir):
-    u = ev.set_union_positions(V.int_hits(spark, sf_dir))
-    return u.groupBy("entry").agg(F.count(F.lit(1)).alias("n_positions"), F.min("pos").alias("min_pos"),
-                                  F.max("pos").alias("max_pos"))
+    return ev.set_union_summary(V.int_hits(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ K

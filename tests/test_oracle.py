@@ -34,6 +34,10 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(cols) == sorted(dcols)
+    types = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    stypes = dict(df.dtypes)
+    for d in cur.description:
+        assert types.get(str(d[1]), str(d[1])) == stypes[d[0]], (d[0], d[1], stypes[d[0]])
     assert len(rows) == len(drows)
     assert canon(rows, cols) == canon(drows, dcols)
 
