@@ -123,12 +123,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     Output: entry, s, e, w, cs, ce (cluster = (entry, cs, ce)).
     """
     # the loop state (labels) is checkpointed every round; the edge list is
-    # not iterative, so it is only persisted
-    labels = nodes.select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce"))
+    # not iterative, so it is only persisted.  Nodes without any edge are their
+    # own cluster and stay out of the loop.
     und = (edges.select("entry", "s1", "e1", "s2", "e2")
            .unionByName(edges.select("entry", F.col("s2").alias("s1"), F.col("e2").alias("e1"),
                                      F.col("s1").alias("s2"), F.col("e1").alias("e2"))))
     und = und.persist(StorageLevel.MEMORY_AND_DISK)
+    ends = und.select("entry", F.col("s1").alias("s"), F.col("e1").alias("e")).distinct()
+    singles = (nodes.join(ends, ["entry", "s", "e"], "left_anti")
+               .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
+    labels = (nodes.join(ends, ["entry", "s", "e"], "left_semi")
+              .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
     for _ in range(max_rounds):
         neigh = (und.join(labels.select("entry", F.col("s").alias("s2"), F.col("e").alias("e2"),
                                         F.struct("cs", "ce").alias("lab")), ["entry", "s2", "e2"])
@@ -141,7 +146,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
                            "changed"))
         updated = cut_lineage(updated)
         if updated.where("changed").isEmpty():
-            return updated.drop("changed")
+            return updated.drop("changed").unionByName(singles)
         labels = updated.drop("changed")
     raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
