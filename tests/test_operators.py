@@ -186,3 +186,28 @@ def test_closure_algorithms_agree(spark):
     a = {(r.descendant, r.ancestor, r.dist) for r in onto.closure_with_distance(edges).collect()}
     b = {(r.descendant, r.ancestor, r.dist) for r in onto.closure_bfs(edges).collect()}
     assert a == b and len(a) > 1000
+
+
+def test_position_and_interval_forms_agree(spark):
+    from annospark.operators import evaluation as ev
+    rnd = random.Random(17)
+    hits = [(m, e, s, s + rnd.randint(0, 25)) for m in ("x", "y") for e in range(15)
+            for s in rnd.sample(range(0, 110), rnd.randint(1, 5))]
+    pred = spark.createDataFrame(hits, "model string, entry long, seq_start int, seq_end int")
+    ents = spark.createDataFrame([(e, 100) for e in range(12)], "entry long, len int")
+    matches = spark.createDataFrame([(e, f"{5 + e}..{30 + e},{60}..{70 + e}") for e in range(0, 12, 3)],
+                                    "entry long, matches string")
+    by_pos = ev.position_confusion(pred, ev.truth_positions(ents, matches), "entry", ["model"])
+    by_iv = ev.position_confusion_intervals(pred, ev.truth_intervals(ents, matches), ents, "entry", "len", ["model"])
+    key = lambda r: (r.model, r.entry)
+    cols = ("tp", "fp", "tn", "fn")
+    a = {key(r): tuple(r[c] for c in cols) for r in by_pos.collect()}
+    b = {key(r): tuple(r[c] for c in cols) for r in by_iv.collect()}
+    assert a == b
+    pos = ev.set_union_positions(pred.select("entry", "seq_start", "seq_end"))
+    n = {r.entry: r["count"] for r in pos.groupBy("entry").count().collect()}
+    summ = {r.entry: r.n_positions for r in ev.set_union_summary(pred.select("entry", "seq_start", "seq_end")).collect()}
+    assert n == summ
+    tsum = {r.entry: (r.n_positive, r.n_negative) for r in ev.truth_summary(ents, matches).collect()}
+    tp = ev.truth_positions(ents, matches).groupBy("entry").agg(F.sum("is_pos").alias("p"), F.sum(1 - F.col("is_pos")).alias("n"))
+    assert tsum == {r.entry: (r.p, r.n) for r in tp.collect()}
