@@ -94,6 +94,21 @@ def _relative_mass(support: DataFrame, anchor: Column, offset: Column, win_cols:
     return rel.groupBy(*CELLS).agg(F.sum(F.exp(F.col("_d"))).alias("_s"))
 
 
+def contingency_flagged(ann: DataFrame, flag: Column, term: str = "term") -> DataFrame:
+    """G1-G3 when the target is the background rows satisfying ``flag``
+    (e.g. annotations of accepted entries vs all annotations): one scan and
+    one aggregation give both counts, tp = sum(flag), tn = count(*).
+    Same result as ``contingency(ann.where(flag), ann, term)``."""
+    counts = (ann.where(F.col(term).isNotNull())
+              .groupBy(term).agg(F.sum(F.when(flag, 1).otherwise(0)).cast("long").alias("tp"),
+                                 F.count(F.lit(1)).alias("tn"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    t_total = counts.select(F.sum("tp")).scalar()
+    b_total = counts.select(F.sum("tn")).scalar()
+    return (counts.where(F.col("tp") > 0)
+            .withColumn("fp", t_total - F.col("tp")).withColumn("fn", b_total - F.col("tn")))
+
+
 def fisher_columns(table: DataFrame) -> DataFrame:
     """G4 on a table with tp, tn, fp, fn: adds odds_ratio and p_value.
 
@@ -183,15 +198,18 @@ def propagate_pvalue(res: DataFrame, desc_table: DataFrame, term: str = "term",
             .drop("p_child"))
 
 
-def enrich(target: DataFrame, background: DataFrame, nodes: DataFrame, edges: DataFrame | None = None,
+def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None = None,
            term: str = "term", group_cols: Sequence[str] = (), propagate: bool = True,
-           closure: DataFrame | None = None, depth_table: DataFrame | None = None) -> DataFrame:
+           closure: DataFrame | None = None, depth_table: DataFrame | None = None,
+           table: DataFrame | None = None) -> DataFrame:
     """Fisher -> keep terms that are labelled and have depth > 0 (roots and
     terms without a path to a root are dropped) -> attach depth and label ->
     propagate p-values (G5).
 
     ``closure`` (from ``ontology.closure_with_distance``) and ``depth_table``
-    may be passed in to reuse them across calls.
+    may be passed in to reuse them across calls; ``table`` may be a ready
+    contingency table (e.g. from ``contingency_flagged``) instead of
+    target/background.
     """
     if closure is None or depth_table is None:
         if edges is None:
@@ -201,7 +219,8 @@ def enrich(target: DataFrame, background: DataFrame, nodes: DataFrame, edges: Da
     known = (depth_table.where(F.col("depth") > 0)
              .join(nodes.select("term", "label"), "term")
              .withColumnRenamed("term", term))
-    res = fisher_test(target, background, term, group_cols).join(known, term)
+    fis = fisher_columns(table) if table is not None else fisher_test(target, background, term, group_cols)
+    res = fis.join(known, term)
     if propagate:
         res = propagate_pvalue(res.persist(StorageLevel.MEMORY_AND_DISK), onto.descendants(nodes, closure),
                                term, group_cols)

@@ -91,12 +91,17 @@ def q_term_counts(spark, sf_dir):
     return enr.term_counts(V.ann_target(spark, sf_dir), "term")
 
 
+def ann_r_table(spark, sf_dir):
+    """Contingency of returned line items vs all line items in one scan."""
+    return enr.contingency_flagged(V.ann(spark, sf_dir), F.col("l_returnflag") == "R", "term")
+
+
 @register("enrich", f"WITH RECURSIVE {V.SQL_DAG_CTES.strip()}, {enrich_ctes(V.SQL_ANN_TARGET, V.SQL_ANN).strip()} "
           f"SELECT {round_sql(ENR_COLS)} FROM res")
 def q_enrich(spark, sf_dir):
     nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(V.ann_target(spark, sf_dir), V.ann(spark, sf_dir), nodes, edges, "term",
-                     closure=closure, depth_table=depth)
+    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+                     table=ann_r_table(spark, sf_dir))
     return rounded(res.select(*ENR_COLS))
 
 
@@ -104,8 +109,8 @@ def q_enrich(spark, sf_dir):
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, False)})")
 def q_enrich_gate(spark, sf_dir):
     nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(V.ann_target(spark, sf_dir), V.ann(spark, sf_dir), nodes, edges, "term",
-                     closure=closure, depth_table=depth)
+    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+                     table=ann_r_table(spark, sf_dir))
     return rounded(enr.significance_gate(res, 0.05, 4, False).select(*ENR_COLS, "score"))
 
 
@@ -113,8 +118,8 @@ def q_enrich_gate(spark, sf_dir):
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True)})")
 def q_enrich_bonferroni(spark, sf_dir):
     nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(V.ann_target(spark, sf_dir), V.ann(spark, sf_dir), nodes, edges, "term",
-                     closure=closure, depth_table=depth)
+    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+                     table=ann_r_table(spark, sf_dir))
     return rounded(enr.significance_gate(res, 0.05, 4, True).select(*ENR_COLS, "score"))
 
 

@@ -63,9 +63,10 @@ def q_ontology_table(spark, sf_dir):
 
 # ------------------------------------------------------------------ B7, G10-G12
 def _enriched(spark, sf_dir):
+    from annospark.plans.catalog import ann_r_table
     nodes, edges, closure, depth = dag(spark, sf_dir)
-    return enr.enrich(V.ann_target(spark, sf_dir), V.ann(spark, sf_dir), nodes, edges, "term",
-                      closure=closure, depth_table=depth)
+    return enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+                      table=ann_r_table(spark, sf_dir))
 
 
 @register("enrich_filter", f"{ENR} SELECT {round_sql(ENR_COLS + ['score'])} FROM "

@@ -211,3 +211,12 @@ def test_position_and_interval_forms_agree(spark):
     tsum = {r.entry: (r.n_positive, r.n_negative) for r in ev.truth_summary(ents, matches).collect()}
     tp = ev.truth_positions(ents, matches).groupBy("entry").agg(F.sum("is_pos").alias("p"), F.sum(1 - F.col("is_pos")).alias("n"))
     assert tsum == {r.entry: (r.p, r.n) for r in tp.collect()}
+
+
+def test_contingency_flagged_equals_two_table(spark):
+    rnd = random.Random(23)
+    rows = [(rnd.randint(0, 50), rnd.choice(["t1", "t2", "t3", "t4", None]), rnd.random() < 0.3) for _ in range(2000)]
+    ann = spark.createDataFrame(rows, "entry long, term string, f boolean")
+    a = {tuple(r) for r in enr.contingency_flagged(ann, F.col("f"), "term").select("term", "tp", "tn", "fp", "fn").collect()}
+    b = {tuple(r) for r in enr.contingency(ann.where("f"), ann, "term").select("term", "tp", "tn", "fp", "fn").collect()}
+    assert a == b
