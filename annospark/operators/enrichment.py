@@ -109,6 +109,23 @@ def contingency_flagged(ann: DataFrame, flag: Column, term: str = "term") -> Dat
             .withColumn("fp", t_total - F.col("tp")).withColumn("fn", b_total - F.col("tn")))
 
 
+def contingency_partitioned(ann: DataFrame, group: str, term: str = "term") -> DataFrame:
+    """G1-G3 for G9 when the target groups partition the background (every
+    annotation row carries exactly one group, background = all rows): one
+    aggregation per (group, term); the background counts are the per-term sums
+    of that term-sized table, so the annotations are scanned once.
+    Same result as ``contingency(ann, ann.drop(group), term, [group])``."""
+    tp = (ann.where(F.col(term).isNotNull() & F.col(group).isNotNull())
+          .groupBy(group, term).agg(F.count(F.lit(1)).alias("tp"))
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    tn = tp.groupBy(term).agg(F.sum("tp").alias("tn"))
+    t_total = tp.groupBy(group).agg(F.sum("tp").alias("_t_total"))
+    b_total = tp.select(F.sum("tp")).scalar()
+    return (tp.join(tn, term).join(t_total, group)
+            .withColumn("fp", F.col("_t_total") - F.col("tp")).withColumn("fn", b_total - F.col("tn"))
+            .drop("_t_total"))
+
+
 def fisher_columns(table: DataFrame) -> DataFrame:
     """G4 on a table with tp, tn, fp, fn: adds odds_ratio and p_value.
 
@@ -267,13 +284,16 @@ def enrich_filter(res: DataFrame, max_p: float = 0.05, max_depth: int = 5) -> Da
             .withColumn("score", _score(F.col("p_value"))))
 
 
-def enrich_many(target: DataFrame, background: DataFrame, nodes: DataFrame, edges: DataFrame | None,
+def enrich_many(target: DataFrame, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None,
                 group_col: str, term: str = "term", max_p: float = 0.05, max_depth: int = 4,
                 bonferroni: bool = True, closure: DataFrame | None = None,
                 depth_table: DataFrame | None = None) -> DataFrame:
     """``enrich`` + gate for every target group against one background,
-    as one job (the ontology is walked once)."""
-    res = enrich(target, background, nodes, edges, term, [group_col], True, closure, depth_table)
+    as one job (the ontology is walked once).  ``background=None`` means the
+    groups partition the background (the architecture case): counted in one
+    pass by ``contingency_partitioned``."""
+    table = contingency_partitioned(target, group_col, term) if background is None else None
+    res = enrich(target, background, nodes, edges, term, [group_col], True, closure, depth_table, table)
     return significance_gate(res, max_p, max_depth, bonferroni, [group_col])
 
 

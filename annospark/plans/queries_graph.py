@@ -163,8 +163,9 @@ def _arch(spark, sf_dir):
           f"SELECT {round_sql(['grp'] + ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True, 'grp')})")
 def q_enrich_by_architecture(spark, sf_dir):
     nodes, edges, closure, depth = dag(spark, sf_dir)
-    keyed, background = net.architecture_sets(V.ann(spark, sf_dir), _arch(spark, sf_dir))
-    res = enr.enrich_many(keyed.withColumnRenamed("architecture", "grp"), background, nodes, edges, "grp", "term",
+    keyed, _background = net.architecture_sets(V.ann(spark, sf_dir), _arch(spark, sf_dir))
+    # every entry has exactly one architecture: the groups partition the background
+    res = enr.enrich_many(keyed.withColumnRenamed("architecture", "grp"), None, nodes, edges, "grp", "term",
                           0.05, 4, True, closure, depth)
     return rounded(res.select("grp", *ENR_COLS, "score"))
 

@@ -220,3 +220,13 @@ def test_contingency_flagged_equals_two_table(spark):
     a = {tuple(r) for r in enr.contingency_flagged(ann, F.col("f"), "term").select("term", "tp", "tn", "fp", "fn").collect()}
     b = {tuple(r) for r in enr.contingency(ann.where("f"), ann, "term").select("term", "tp", "tn", "fp", "fn").collect()}
     assert a == b
+
+
+def test_contingency_partitioned_equals_general(spark):
+    rnd = random.Random(29)
+    rows = [(e, rnd.choice(["t1", "t2", "t3", None]), f"g{e % 4}") for e in range(300) for _ in range(rnd.randint(1, 4))]
+    ann = spark.createDataFrame(rows, "entry long, term string, grp string")
+    cols = ["grp", "term", "tp", "tn", "fp", "fn"]
+    a = {tuple(r) for r in enr.contingency_partitioned(ann, "grp", "term").select(*cols).collect()}
+    b = {tuple(r) for r in enr.contingency(ann, ann.drop("grp"), "term", ["grp"]).select(*cols).collect()}
+    assert a == b
