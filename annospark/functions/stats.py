@@ -1,5 +1,8 @@
 """Column expressions for Fisher's exact test (two-sided), JVM-side only.
 
+The DataFrame-level assembly (windows exploded into rows, running sums,
+per-table aggregation) is in ``annospark.operators.enrichment.fisher_columns``.
+
 Spark has no ``lgamma``; ``log_factorial`` uses exact ``ln(n!)`` up to 20 and
 the Stirling series above (absolute error far below 1e-10 for every n).
 """
@@ -31,14 +34,6 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 20, exact).otherwise(stirling)
 
 
-def log_hypergeom_pmf(k: Column, n1: Column, n2: Column, r: Column) -> Column:
-    """ln P(X=k), X ~ cells in column 1 among r draws; n1, n2 = column totals."""
-    n = n1 + n2
-    return (log_factorial(n1) - log_factorial(k) - log_factorial(n1 - k)
-            + log_factorial(n2) - log_factorial(r - k) - log_factorial(n2 - r + k)
-            - log_factorial(n) + log_factorial(r) + log_factorial(n - r))
-
-
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Sample odds ratio of ``[[a, b], [c, d]]``: a*d/(b*c), +inf when b*c = 0,
     NaN when a row or column total is 0."""
@@ -68,28 +63,6 @@ def log_factorial_diff(a: Column, b: Column) -> Column:
         main + _stirling_tail(x) - _stirling_tail(y))
 
 
-def fisher_support_window(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
-    """[start, stop] of the cells summed for the two-sided p-value of
-    ``[[a, b], [c, d]]``: the support clipped to a window reaching
-    ``WINDOW_SIGMAS`` standard deviations (+ slack) beyond both the mode and
-    the observed cell; every omitted table has negligible probability."""
-    n1 = a + c
-    n2 = b + d
-    r = a + b
-    n = n1 + n2
-    nd = n.cast("double")
-    lo = F.greatest(F.lit(0).cast("long"), r - n2)
-    hi = F.least(r, n1)
-    mode = F.floor(((r + 1) * (n1 + 1)) / (n + 2)).cast("long")
-    frac = n1.cast("double") / nd
-    var = (r.cast("double") * frac * (F.lit(1.0) - frac) * (nd - r.cast("double"))
-           / F.greatest(nd - 1.0, F.lit(1.0)))
-    half = (F.ceil(F.sqrt(F.greatest(var, F.lit(0.0))) * WINDOW_SIGMAS) + WINDOW_SLACK).cast("long")
-    start = F.greatest(lo, F.least(a, mode) - half)
-    stop = F.least(hi, F.greatest(a, mode) + half)
-    return start, stop
-
-
 def fisher_window_scalars(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Per-table support bounds, mode, half window and the 'far' flag (see ``fisher_windows``)."""
     n1 = a + c
@@ -165,15 +138,6 @@ def fisher_windows(a: Column, kstar: Column, lo: Column, hi: Column, mode: Colum
     return [F.greatest(lo, a0), F.least(hi, a1), F.greatest(lo, b0), F.least(hi, b1)]
 
 
-def log_pmf_ratio(k: Column, a: Column, b: Column, c: Column, d: Column) -> Column:
-    """ln P(k) - ln P(a) for tables with the margins of ``[[a, b], [c, d]]``."""
-    n1 = a + c
-    r = a + b
-    n2 = b + d
-    return (log_factorial_diff(a, k) + log_factorial_diff(n1 - a, n1 - k)
-            + log_factorial_diff(r - a, r - k) + log_factorial_diff(n2 - r + a, n2 - r + k))
-
-
 def log_table_probability(a: Column, b: Column, c: Column, d: Column) -> Column:
     """ln P([[a, b], [c, d]] | margins) = ln C(a+c, a) + ln C(b+d, b) - ln C(n, a+b),
     written with ``log_factorial_diff`` so that large, close factorials cancel
