@@ -16,7 +16,7 @@ Spark formulation (no all-pairs step):
 * with J the Jaccard similarity, the squared row distance is
   d2(i,j) = S_i + S_j - 2 * sum_k w_k J_ik J_jk  where  S_i = sum_k w_k J_ik^2,
   and only hits k overlapping both i and j contribute to the cross sum;
-* components: iterative min-label propagation, checkpointed each round;
+* components: min-label propagation with pointer jumping, checkpointed each round;
 * vote: +w/-w events at interval ends and a running sum per cluster.
 """
 
@@ -117,8 +117,9 @@ def eps_edges(nodes: DataFrame, eps: float = 0.4, metric: str = "rows",
                     F.col("js").alias("s2"), F.col("je").alias("e2")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Min-label propagation per entry; node key = (s, e); label = smallest (s, e) of the component.
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 256) -> DataFrame:
+    """Min-label propagation with pointer jumping; node key = (entry, s, e);
+    label = smallest (s, e) of the component.
 
     Output: entry, s, e, w, cs, ce (cluster = (entry, cs, ce)).
     """
@@ -139,8 +140,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
                                         F.struct("cs", "ce").alias("lab")), ["entry", "s2", "e2"])
                  .groupBy("entry", F.col("s1").alias("s"), F.col("e1").alias("e"))
                  .agg(F.min("lab").alias("nlab")))
+        # pointer jumping: also adopt the label currently held by one's label
+        # node, so a path of length L resolves in O(log L) rounds
+        jump = labels.select("entry", F.col("s").alias("cs"), F.col("e").alias("ce"),
+                             F.struct(F.col("cs").alias("cs"), F.col("ce").alias("ce")).alias("jlab"))
+        own = F.struct("cs", "ce")
         updated = (labels.join(neigh, ["entry", "s", "e"], "left")
-                   .withColumn("best", F.least(F.struct("cs", "ce"), F.coalesce("nlab", F.struct("cs", "ce"))))
+                   .join(jump, ["entry", "cs", "ce"], "left")
+                   .withColumn("best", F.least(own, F.coalesce("nlab", own), F.coalesce("jlab", own)))
                    .withColumn("changed", (F.col("best.cs") != F.col("cs")) | (F.col("best.ce") != F.col("ce")))
                    .select("entry", "s", "e", "w", F.col("best.cs").alias("cs"), F.col("best.ce").alias("ce"),
                            "changed"))

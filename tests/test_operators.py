@@ -230,3 +230,12 @@ def test_contingency_partitioned_equals_general(spark):
     a = {tuple(r) for r in enr.contingency_partitioned(ann, "grp", "term").select(*cols).collect()}
     b = {tuple(r) for r in enr.contingency(ann, ann.drop("grp"), "term", ["grp"]).select(*cols).collect()}
     assert a == b
+
+
+def test_long_chain_component(spark):
+    # 400 hits shifted by one position: one long chain under 'precomputed' eps
+    nodes = spark.createDataFrame([(1, i, i + 100, 1) for i in range(400)], "entry long, s int, e int, w long")
+    edges = iv.eps_edges(nodes, 0.4, "precomputed")
+    labels = iv.connected_components(nodes, edges)
+    got = {(r.cs, r.ce) for r in labels.collect()}
+    assert got == {(0, 100)}
