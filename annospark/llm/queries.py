@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import mixing, packing, quality_rules, simhash
+from annospark.llm import mixing, packing, pii, quality_rules, simhash
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return pairs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.get(kinds, c["kind_no"]), c["start"].cast("string"),
+                                                                     c["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda c: c["base"])
+
+    def count(no):
+        return F.size(F.filter("base", lambda c: c["kind_no"] == no)).cast("long")
+    counts = [count(no).alias(f"n_{kind}") for no, kind in enumerate(pii.KINDS)]
+    return found.withColumn("base", base).select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"))

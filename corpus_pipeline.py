@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annospark.llm import mixing, packing, quality_rules, simhash
+from annospark.llm import mixing, packing, pii, quality_rules, simhash
 from annospark.llm.common import table, written
 
 
@@ -22,6 +22,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.drop_near_duplicates(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
@@ -32,7 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(docs)
 
 
-STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("personal data", personal_data),
+          ("mixing", mix), ("packing", pack)]
 
 #: Tokenizers, fingerprints and trained models are beyond SQL.
 ORACLE_SQL = None
