@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import mixing, packing, pii, quality_rules, simhash, topk
+from annospark.llm import mixing, packing, pii, quality_rules, simhash, topk, toxicity
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+@register("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 TOP_K_SQL = """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
