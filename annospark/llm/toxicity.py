@@ -240,26 +240,28 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
 
 
-def fit(rows: list[tuple[np.ndarray, int]]) -> Scorer:
-    """Logistic regression with L2 over the buckets that go with a label."""
+def chosen_buckets(rows: DataFrame) -> np.ndarray:
+    """Buckets that go with label 1 in ``rows`` (label, found), counted by Spark."""
+    total = rows.agg(F.avg("label").alias("rate")).first()["rate"]
+    if total is None or not 0 < total < 1:
+        return np.zeros(0, np.int64)
+    n, n1, rate = F.col("n"), F.col("n1"), F.lit(total)
+    stands_out = (n1 - n * rate) / F.sqrt(n * rate * (1 - rate)) >= LEAST_Z
+    counted = (rows.select("label", F.explode("found").alias("bucket")).groupBy("bucket")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
+               .where((n >= LEAST_DOCS) & stands_out & ((n1 + rate) / (n + 1) > LEAST_SHARE * rate)))
+    return np.array(sorted(r["bucket"] for r in counted.select("bucket").collect()), np.int64)  # at most BUCKETS numbers
+
+
+def fit(chosen: np.ndarray, rows: list[tuple[np.ndarray, int]]) -> Scorer:
+    """Logistic regression with L2 over the chosen buckets."""
     y = np.array([label for _, label in rows], float)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Scorer(np.zeros(0, int), np.zeros(0), math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    size = np.array([len(x) for x, _ in rows])
-    flat = np.concatenate([x for x, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    n = np.bincount(flat, minlength=BUCKETS)
-    n1 = np.bincount(flat, y[owner], minlength=BUCKETS)
+    r = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    c = np.searchsorted(chosen, np.concatenate([x for x, _ in rows]))
     rate = y.mean()
-    z = (n1 - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
-    # a bucket must stand out by its count, and by its share of label 1
-    share = (n1 + rate) / (n + 1)
-    chosen = np.flatnonzero((n >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z) & (share > LEAST_SHARE * rate))
-    column = np.full(BUCKETS, -1)
-    column[chosen] = np.arange(len(chosen))
-    keep = column[flat] >= 0
-    r, c = owner[keep], column[flat[keep]]
     w, b = np.zeros(len(chosen)), math.log(rate / (1 - rate))
     m, g2 = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, 301):  # Adam on the whole sample
@@ -296,11 +298,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model)
         for batch in batches:
-            found = [features(t.as_py() or "").astype("<i4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "found"])
+            found = [features(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["label", "found"])
     train = training_rows(docs, labels, "toxic", out, sample).select("label", "text")
-    rows = written(train.mapInArrow(featured, "label int, found binary"), "toxicity-train").collect()
-    scorer = fit([(np.frombuffer(r["found"], "<i4"), r["label"]) for r in rows])
+    rows = written(train.mapInArrow(featured, "label int, found array<int>"), "toxicity-train")
+    chosen = chosen_buckets(rows)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.intersect1d(x, chosen).astype("<i4").tobytes() for x in batch.column("found").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.binary())], ["label", "found"])
+    few = rows.mapInArrow(picked, "label int, found binary").collect()
+    scorer = fit(chosen, [(np.frombuffer(r["found"], "<i4"), r["label"]) for r in few])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model, frozenset(scorer.weights))
