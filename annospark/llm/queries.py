@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import mixing, packing, pii, pu_quality, quality_rules, simhash, topk, toxicity
+from annospark.llm import html_content, mixing, packing, pii, pu_quality, quality_rules, simhash, topk, toxicity
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register("op9_html_content")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
 @register("op10_personal_data")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
