@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import html_content, mixing, packing, pii, pu_quality, quality_rules, simhash, topk, toxicity
+from annospark.llm import html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, simhash, topk, toxicity
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op6_licences", licenses.oracle_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op7_pu_quality")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
