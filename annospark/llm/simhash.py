@@ -75,6 +75,11 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    # counted without sign: of a negative number numpy counts the bits of its absolute value
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+
+
 def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within the radius connect, without listing all links."""
     a, b = [], []
@@ -83,7 +88,7 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             i = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
+            near = _near(fps[left], fps[i], radius)
             hit = left[near]
             if len(hit):
                 a.append(np.full(len(hit), i))
@@ -102,7 +107,7 @@ def _links(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
     end = np.repeat(start + size, size)
     for shift in range(1, int(min(size.max(), SMALL))):
         i = np.flatnonzero(small & (np.arange(len(group)) + shift < end))
-        i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= radius]
+        i = i[_near(fps[i], fps[i + shift], radius)]
         a.append(i)
         b.append(i + shift)
     for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
