@@ -60,7 +60,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, paths: tup
                 while at < n:
                     stop = at + ((n - 1) % capacity + 1 if piece == 0 else capacity)
                     own = ids[4 * at:4 * stop]
-                    rows.append((key, piece, at, stop - at, zlib.crc32(own), own))
+                    rows.append((key, piece, at, stop - at, zlib.crc32(own), own if with_ids else None))
                     at, piece = stop, piece + 1
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]

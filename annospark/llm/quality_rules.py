@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annospark.llm.tokens import RANKS, Ids, rank_encoder
+from annospark.llm.tokens import RANKS, parts_table
 
 PIECES = "piece_bpe_32k.model"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -95,8 +95,7 @@ class Fertility:
     """Measures of a text by the public vocabularies."""
 
     def __init__(self, ranks_path: str, pieces_path: str):
-        self.ids = Ids(lambda part: self.encode(part))
-        self.encode = rank_encoder(ranks_path)
+        self.ids = parts_table(ranks_path)
         self.pieces_path = pieces_path
 
     def __call__(self, text: bytes, words: list[bytes], histogram: np.ndarray, chars: int) -> tuple[str, float, float, float]:

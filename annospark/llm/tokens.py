@@ -14,8 +14,8 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Parts kept by a worker; beyond it the table starts anew (about 100 MB).
-PARTS = 400_000
+#: Parts kept by a worker; beyond it the table starts anew (about 30 MB).
+PARTS = 120_000
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 _UNUSUAL = re.compile("  |[^\x00-ɏ‐-‧€]")
@@ -35,7 +35,7 @@ class Ids(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def whole_tokenizer(path: str):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
@@ -43,7 +43,13 @@ def whole_tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
+def parts_table(ranks_path: str) -> Ids:
+    """The table of a worker, shared by the tasks and operators that it runs."""
+    return Ids(rank_encoder(ranks_path))
+
+
+@lru_cache(maxsize=1)
 def rank_encoder(path: str):
     import public_tokenizers
     import tiktoken
@@ -59,7 +65,7 @@ class TextIds:
     def __init__(self, tokenizer_path: str, ranks_path: str):
         self.path = tokenizer_path
         self.encode = rank_encoder(ranks_path)
-        self.parts = Ids(self.encode)
+        self.parts = parts_table(ranks_path)
 
     def __call__(self, text: str) -> bytes:
         if not text:
