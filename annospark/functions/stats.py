@@ -74,7 +74,8 @@ def fisher_window_scalars(a: Column, b: Column, c: Column, d: Column) -> dict[st
     var = (r.cast("double") * frac * (F.lit(1.0) - frac) * (nd - r.cast("double"))
            / F.greatest(nd - 1.0, F.lit(1.0)))
     half = (F.ceil(F.sqrt(F.greatest(var, F.lit(0.0))) * WINDOW_SIGMAS) + WINDOW_SLACK).cast("long")
-    mode = F.floor(((r + 1) * (n1 + 1)) / (n + 2)).cast("long")
+    # in doubles: the product of two longs overflows; the window's slack covers the rounding
+    mode = F.floor((r + 1).cast("double") * ((n1 + 1).cast("double") / (n + 2).cast("double"))).cast("long")
     return {"_lo": F.greatest(F.lit(0).cast("long"), r - n2), "_hi": F.least(r, n1), "_mode": mode,
             "_half": half, "_far": F.abs(a - mode) > half * 2}
 

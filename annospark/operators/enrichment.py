@@ -162,9 +162,10 @@ def fisher_columns(table: DataFrame) -> DataFrame:
     if not far_tables.isEmpty():
         masses.append(_far_mass(far_tables))
     mass = masses[0] if len(masses) == 1 else masses[0].unionByName(masses[1])
-    pvals = mass.select(*CELLS, F.when(fisher_degenerate(a, b, c, d), F.lit(1.0))
-                        .otherwise(F.least(F.lit(1.0), F.exp(log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
-                        .alias("p_value"))
+    # log_p stays finite where p itself is below the least double
+    log_p = (F.when(fisher_degenerate(a, b, c, d), F.lit(0.0))
+             .otherwise(F.least(F.lit(0.0), log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
+    pvals = mass.select(*CELLS, log_p.alias("log_p")).withColumn("p_value", F.exp("log_p"))
     return (table.join(pvals, on=CELLS, how="inner")
             .withColumn("odds_ratio", odds_ratio(a, b, c, d)))
 
@@ -206,13 +207,14 @@ def propagate_pvalue(res: DataFrame, desc_table: DataFrame, term: str = "term",
     descendants (the order of the in-place updates does not matter).
     """
     g = list(group_cols)
-    child_p = (res.select(*g, F.col(term).alias("descendant"), F.col("p_value").alias("p_child"))
+    ps = [c for c in ("p_value", "log_p") if c in res.columns]
+    child_p = (res.select(*g, F.col(term).alias("descendant"), *[F.col(c).alias(f"_child_{c}") for c in ps])
                .join(desc_table.select(F.col("term").alias("ancestor"), "descendant"), "descendant")
                .groupBy(*g, F.col("ancestor").alias(term))
-               .agg(F.min("p_child").alias("p_child")))
+               .agg(*[F.min(f"_child_{c}").alias(f"_child_{c}") for c in ps]))
     return (res.join(child_p, on=[*g, term], how="left")
-            .withColumn("p_value", F.least(F.col("p_value"), F.coalesce(F.col("p_child"), F.col("p_value"))))
-            .drop("p_child"))
+            .withColumns({c: F.least(F.col(c), F.coalesce(F.col(f"_child_{c}"), F.col(c))) for c in ps})
+            .drop(*[f"_child_{c}" for c in ps]))
 
 
 def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None = None,
@@ -245,7 +247,11 @@ def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFr
     return res.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _score(p: Column) -> Column:
+def _score(res: DataFrame) -> Column:
+    """ln(1/p), from log_p where the result has it (finite for the smallest p)."""
+    if "log_p" in res.columns:
+        return -F.col("log_p")
+    p = F.col("p_value")
     return F.when(p == 0, F.lit(float("inf"))).otherwise(-F.log(p))
 
 
@@ -274,14 +280,14 @@ def significance_gate(res: DataFrame, max_p: float = 0.05, max_depth: int = 4,
     passes = F.coalesce(pmin <= thr, F.lit(False))
     keep = (~passes) | ((F.col("p_value") < thr) & (F.col("depth") <= max_depth))
     out = (joined.where(keep)
-           .withColumn("score", F.when(passes, _score(F.col("p_value"))).otherwise(F.lit(-1.0))))
+           .withColumn("score", F.when(passes, _score(res)).otherwise(F.lit(-1.0))))
     return out.drop("_n", "_pmin")
 
 
 def enrich_filter(res: DataFrame, max_p: float = 0.05, max_depth: int = 5) -> DataFrame:
     """Rows with p < max_p and depth <= max_depth, score = ln(1/p)."""
     return (res.where((F.col("p_value") < max_p) & (F.col("depth") <= max_depth))
-            .withColumn("score", _score(F.col("p_value"))))
+            .withColumn("score", _score(res)))
 
 
 def enrich_many(target: DataFrame, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None,
@@ -311,6 +317,7 @@ def term_weights(res: DataFrame, k: int, label: str = "label", group_cols: Seque
 
 def top_terms(res: DataFrame, k: int, by: str = "score", term: str = "term") -> DataFrame:
     """Best ``k`` rows by score (descending) or p_value (ascending), term as tie-breaker."""
+    by = "log_p" if by == "p_value" and "log_p" in res.columns else by
     order = F.col(by).desc() if by == "score" else F.col(by).asc()
     return res.orderBy(order, F.col(term)).limit(k)
 

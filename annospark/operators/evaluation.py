@@ -76,6 +76,8 @@ def compare_models(universe: DataFrame, truth: DataFrame, preds: DataFrame, key:
     per_model = (preds.select(model, key).distinct().join(flagged, key)
                  .groupBy(model).agg(F.sum("_pos").cast("long").alias("tp"),
                                      F.sum(1 - F.col("_pos")).cast("long").alias("fp")))
+    # a model without a prediction inside the universe keeps its row
+    per_model = preds.select(model).distinct().join(per_model, model, "left").fillna(0, ["tp", "fp"])
     conf = per_model.select(model, "tp", "fp", (n_neg - F.col("fp")).alias("tn"),
                             (n_pos - F.col("tp")).alias("fn"))
     return metrics(conf)

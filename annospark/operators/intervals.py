@@ -117,7 +117,7 @@ def eps_edges(nodes: DataFrame, eps: float = 0.4, metric: str = "rows",
                     F.col("js").alias("s2"), F.col("je").alias("e2")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 256) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Min-label propagation with pointer jumping; node key = (entry, s, e);
     label = smallest (s, e) of the component.
 
@@ -135,7 +135,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
                .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
     labels = (nodes.join(ends, ["entry", "s", "e"], "left_semi")
               .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
-    for _ in range(max_rounds):
+    while True:  # labels only fall, and there are finitely many
         neigh = (und.join(labels.select("entry", F.col("s").alias("s2"), F.col("e").alias("e2"),
                                         F.struct("cs", "ce").alias("lab")), ["entry", "s2", "e2"])
                  .groupBy("entry", F.col("s1").alias("s"), F.col("e1").alias("e"))
@@ -155,7 +155,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         if updated.where("changed").isEmpty():
             return updated.drop("changed").unionByName(singles)
         labels = updated.drop("changed")
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
 
 def eps_clusters(hits: DataFrame, eps: float = 0.4, metric: str = "rows", entry: str = "entry",

@@ -82,18 +82,17 @@ def explode_list(df: DataFrame, col: str, sep: str = ";", out: str | None = None
     return df.select(*keep, F.explode(items).alias(out or col))
 
 
-def extract_bracketed(df: DataFrame, col: str, entry: str = "entry", id_pattern: str = r"\[(GO:.+?)\]",
-                      item_sep: str = "; ", id_out: str = "go_id", descr_out: str = "go_descr") -> DataFrame:
-    """D2: 'descr A [GO:1]; descr B [GO:2]' -> rows (entry, GO:1, descr A), ...
+def extract_bracketed(df: DataFrame, col: str, entry: str = "entry", prefix: str = "GO:",
+                      id_out: str = "go_id", descr_out: str = "go_descr") -> DataFrame:
+    """D2: 'descr A [GO:1]; descr B [GO:2]' -> rows (entry, 1, descr A), (entry, 2, descr B).
 
-    Ids come from the regular expression; descriptions are the ``item_sep``
-    items with the bracket removed; both are paired by position.
+    An item ends at its bracket, so a description may hold the separator; ids
+    come without the prefix; text without a bracketed id gives no row.
     """
-    ids = F.regexp_extract_all(F.col(col), F.lit(id_pattern), 1)
-    items = F.split(F.col(col), item_sep)
-    descr = F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"\s*\[[^\]]*\]\s*$", "")))
-    zipped = F.arrays_zip(ids.alias(id_out), descr.alias(descr_out))
-    return df.select(entry, F.inline(zipped))
+    item = rf"(?:^|;)\s*((?:(?!\[{prefix}).)*?)\s*\[{prefix}(.+?)\]"
+    descr = F.regexp_extract_all(F.col(col), F.lit(item), 1)
+    ids = F.regexp_extract_all(F.col(col), F.lit(item), 2)
+    return df.select(entry, F.inline(F.arrays_zip(ids.alias(id_out), descr.alias(descr_out))))
 
 
 def architecture_key(c: Column, sep: str = ";") -> Column:

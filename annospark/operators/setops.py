@@ -92,7 +92,7 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Co
     g = list(group_cols)
     if not g:
         return df.orderBy(*order).limit(k)
-    salt = (F.abs(F.xxhash64(*df.columns)) % salt_buckets).alias("_salt")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salt_buckets)).alias("_salt")
     staged = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*g, "_salt").orderBy(*order)
     w2 = Window.partitionBy(*g).orderBy(*order)

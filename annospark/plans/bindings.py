@@ -162,14 +162,16 @@ def order_bracketed(spark, sf_dir) -> DataFrame:
     """Per order: 'name [GO:0000123]; ...' over its line items (sorted items)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    item = F.concat(F.col("p_name"), F.lit(" [GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("]"))
+    descr = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.col("p_name"), F.lit("; type II"))).otherwise(F.col("p_name"))
+    item = F.concat(descr, F.lit(" [GO:"), F.lpad(F.col("p_partkey").cast("string"), 7, "0"), F.lit("]"))
     return (li.join(part, li.l_partkey == part.p_partkey)
             .groupBy(F.col("l_orderkey").alias("entry"))
             .agg(F.array_join(F.array_sort(F.collect_list(item)), "; ").alias("go")))
 
 
-SQL_ORDER_BRACKETED = ("SELECT l_orderkey AS entry, string_agg(p_name || ' [GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || ']', "
-                       "'; ' ORDER BY p_name || ' [GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || ']') AS go "
+SQL_GO_DESCR = "p_name || CASE WHEN p_partkey % 3 = 0 THEN '; type II' ELSE '' END"
+SQL_ORDER_BRACKETED = (f"SELECT l_orderkey AS entry, string_agg({SQL_GO_DESCR} || ' [GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || ']', "
+                       f"'; ' ORDER BY {SQL_GO_DESCR} || ' [GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') || ']') AS go "
                        "FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
 
 

@@ -51,12 +51,12 @@ ENR_COLS = FIS_COLS + ["depth", "label"]
 
 
 # ------------------------------------------------------------------ ontology cache per session
-_DAG_CACHE: dict[tuple[int, str], tuple[DataFrame, DataFrame]] = {}
+_DAG_CACHE: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def dag(spark: SparkSession, sf_dir: str):
     """(nodes, edges, closure, depth) of V_dag; the closure loop runs once per session."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     nodes = V.dag_nodes(spark, sf_dir)
     edges = V.dag_edges(spark, sf_dir)
     if key not in _DAG_CACHE:

@@ -63,17 +63,22 @@ kept AS (SELECT votes.* FROM votes JOIN n USING (entry, cl) WHERE 2 * v >= n)
 SELECT entry, min(pos)::INTEGER AS seq_start, max(pos)::INTEGER AS seq_end FROM kept GROUP BY entry, cl"""
 
 
+def _models(hits) -> list[str]:
+    """Names of the models in a hit table (one a prediction method)."""
+    return [r["model"] for r in hits.select("model").distinct().orderBy("model").collect()]
+
+
 @register("ensemble", _ens_sql("rows"))
 def q_ensemble(spark, sf_dir):
     hits = V.int_hits(spark, sf_dir)
-    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in ("A", "N", "R")]
+    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in _models(hits)]
     return iv.ensemble(models, 0.4, "rows")
 
 
 @register("ensemble_precomputed", _ens_sql("precomputed"))
 def q_ensemble_precomputed(spark, sf_dir):
     hits = V.int_hits(spark, sf_dir)
-    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in ("A", "N", "R")]
+    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in _models(hits)]
     return iv.ensemble(models, 0.4, "precomputed")
 
 
@@ -118,12 +123,14 @@ def q_metrics(spark, sf_dir):
     return _r(ev.metrics(conf), _MET)
 
 
-_PREDS_SQL = " UNION ALL ".join(f"SELECT 'len>={c}' AS model, doc_id FROM documents WHERE n_chars >= {c}" for c in V.DOC_CUTOFFS)
+#: Model of the documents without a label: no prediction inside the labelled universe.
+_OUTSIDE = "outside"
+_PREDS_SQL = f"SELECT '{_OUTSIDE}' AS model, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL " + " UNION ALL ".join(f"SELECT 'len>={c}' AS model, doc_id FROM documents WHERE n_chars >= {c}" for c in V.DOC_CUTOFFS)
 
 
 @register("compare_models", f"WITH pr AS ({_PREDS_SQL}), lab AS (SELECT DISTINCT doc_id, quality = 1 AS pos FROM labels), "
-          "c AS (SELECT model, sum(CASE WHEN pos THEN 1 ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN pos THEN 0 ELSE 1 END)::BIGINT AS fp "
-          "FROM (SELECT DISTINCT model, doc_id FROM pr) JOIN lab USING (doc_id) GROUP BY model), "
+          "c AS (SELECT model, count(*) FILTER (WHERE pos)::BIGINT AS tp, count(*) FILTER (WHERE NOT pos)::BIGINT AS fp "
+          "FROM (SELECT DISTINCT model, doc_id FROM pr) LEFT JOIN lab USING (doc_id) GROUP BY model), "
           "tot AS (SELECT count(*) FILTER (WHERE pos) AS np, count(*) FILTER (WHERE NOT pos) AS nn FROM lab) "
           f"SELECT model, tp, fp, (nn - fp)::BIGINT AS tn, (np - tp)::BIGINT AS fn, {_rs(_MET)} FROM "
           f"(SELECT model, tp, fp, nn, np, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(np, 0) AS recall, "
@@ -131,11 +138,10 @@ _PREDS_SQL = " UNION ALL ".join(f"SELECT 'len>={c}' AS model, doc_id FROM docume
           "(tp::DOUBLE / nullif(np, 0) + (nn - fp)::DOUBLE / nullif(nn, 0)) / 2 AS weighted_accuracy FROM c, tot)")
 def q_compare_models(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
-    preds = None
-    for c in V.DOC_CUTOFFS:
-        p = docs.where(F.col("n_chars") >= c).select(F.lit(f"len>={c}").alias("model"), "doc_id")
-        preds = p if preds is None else preds.unionByName(p)
     labs = V.table(spark, sf_dir, "labels")
+    preds = docs.join(labs, "doc_id", "left_anti").select(F.lit(_OUTSIDE).alias("model"), "doc_id")
+    for c in V.DOC_CUTOFFS:
+        preds = preds.unionByName(docs.where(F.col("n_chars") >= c).select(F.lit(f"len>={c}").alias("model"), "doc_id"))
     truth = labs.where(F.col("quality") == 1).select("doc_id")
     return _r(ev.compare_models(labs.select("doc_id"), truth, preds, "doc_id"), _MET)
 
@@ -266,14 +272,11 @@ def q_distance_matrix(spark, sf_dir):
     return _r(mx.distance_matrix(e, "label", "vec_id", "v"), ["d"])
 
 
-_LABELS = list(range(10))
-
-
 @register("centroid_matrix", "WITH c AS (SELECT label, list(v ORDER BY k) AS v FROM (SELECT label, k, avg(x::DOUBLE) AS v FROM "
           "(SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k) "
           "GROUP BY label), d AS (SELECT a.label AS i, b.label AS j, CASE WHEN a.label = b.label THEN 0 ELSE "
           "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) END AS d FROM c a JOIN c b ON TRUE) "
-          "SELECT i, " + ", ".join(f"round(max(CASE WHEN j = {k} THEN d END), 6) AS \"{k}\"" for k in _LABELS) + " FROM d GROUP BY i")
+          "SELECT * FROM (PIVOT d ON j USING round(max(d), 6) GROUP BY i)")
 def q_centroid_matrix(spark, sf_dir):
     e = V.table(spark, sf_dir, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("k", "x"))
@@ -281,8 +284,8 @@ def q_centroid_matrix(spark, sf_dir):
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kv"))
             .select("label", F.transform("kv", lambda s: s["x"]).alias("v")))
     long = mx.distance_matrix(cent.withColumn("g", F.lit(0)), "g", "label", "v", blocks=4)
-    wide = mx.matrix_pivot(long.select("i", "j", "d"), _LABELS)
-    return _r(wide, [str(k) for k in _LABELS])
+    labels = [r["j"] for r in long.select("j").distinct().orderBy("j").collect()]  # the matrix has a column each
+    return _r(mx.matrix_pivot(long.select("i", "j", "d"), labels), [str(k) for k in labels])
 
 
 # ------------------------------------------------------------------ I3 on the interval models + ensemble
@@ -307,7 +310,7 @@ def q_compare_domain_models(spark, sf_dir):
     """Entity level: an entry is predicted positive by a model when it has a hit
     (for the ensemble: a voted range); truth = entries with a match."""
     hits = V.int_hits(spark, sf_dir)
-    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in ("A", "N", "R")]
+    models = [hits.where(F.col("model") == m).select("entry", "seq_start", "seq_end") for m in _models(hits)]
     ens = iv.ensemble(models, 0.4, "rows").select(F.lit("ensemble").alias("model"), "entry")
     preds = hits.select("model", "entry").unionByName(ens)
     universe = V.int_entries(spark, sf_dir).select("entry")

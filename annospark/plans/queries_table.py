@@ -136,15 +136,13 @@ _DICT = "SELECT unnest(regexp_split_to_array(text, '\\s+')) AS tok, item_id FROM
 
 
 @register("entity_link", f"WITH a AS ({_TOK}), d AS (SELECT tok, min(item_id) AS term FROM ({_DICT}) "
-          "WHERE length(tok) >= 10 GROUP BY tok) SELECT DISTINCT a.doc_id AS entry, d.term FROM a JOIN d USING (tok) "
-          "WHERE length(a.tok) >= 10")
+          "WHERE tok <> '' GROUP BY tok) SELECT DISTINCT a.doc_id AS entry, d.term FROM a JOIN d USING (tok)")
 def q_entity_link(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     bench = V.table(spark, sf_dir, "benchmark")
-    ann = (docs.select(F.col("doc_id").alias("article"), F.explode(F.split("text", r"\s+")).alias("text"))
-           .where(F.length("text") >= 10).distinct())
+    ann = (docs.select(F.col("doc_id").alias("article"), F.explode(F.split("text", r"\s+")).alias("text")).distinct())
     dic = (bench.select(F.col("item_id").alias("term"), F.explode(F.split("text", r"\s+")).alias("label"))
-           .where(F.length("label") >= 10))
+           .where("label <> ''"))
     art = docs.select(F.col("doc_id").alias("article"), F.col("doc_id").alias("entry"))
     return so.entity_link(art, ann, dic)
 
@@ -163,8 +161,8 @@ def q_explode_list(spark, sf_dir):
     return rs.explode_list(V.order_brand_list(spark, sf_dir), "pfam_ids", ";", "pfam_id", keep=["entry"])
 
 
-@register("extract_bracketed", "SELECT l_orderkey AS entry, 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS go_id, "
-          "p_name AS go_descr FROM lineitem JOIN part ON l_partkey = p_partkey")
+@register("extract_bracketed", "SELECT l_orderkey AS entry, lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS go_id, "
+          f"{V.SQL_GO_DESCR} AS go_descr FROM lineitem JOIN part ON l_partkey = p_partkey")
 def q_extract_bracketed(spark, sf_dir):
     return rs.extract_bracketed(V.order_bracketed(spark, sf_dir), "go", "entry")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,24 +14,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "annospark") -> SparkSession:
     """Session with AQE (coalescing + skew join) on.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when no master is
-    configured already (on a cluster the launcher sets it).
+    Under a launcher (spark-submit) its master, memory and partitions hold;
+    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only without one.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and not os.environ.get("SPARK_MASTER"):
+    launched = "PYSPARK_GATEWAY_PORT" in os.environ
+    if master is None and not launched and not os.environ.get("SPARK_MASTER"):
         master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("ANNOSPARK_SHUFFLE_PARTITIONS", "8"))
+    parts = shuffle_partitions or os.environ.get("ANNOSPARK_SHUFFLE_PARTITIONS")
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    if not launched:
+        builder = builder.config("spark.driver.memory", os.environ.get("ANNOSPARK_DRIVER_MEMORY", "16g"))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("ANNOSPARK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,9 +45,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``.
 
-    A private folder is created only when nothing is configured and the
-    master is local (tests); on a cluster an unset directory is an error,
-    because a machine-local folder does not survive executor loss.
+    A private folder, removed at exit, is made only when nothing is configured
+    and all runs in one process (tests); on a cluster an unset directory is an
+    error, because a machine-local folder does not survive executor loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,9 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder for iterative jobs")
     folder = tempfile.mkdtemp(prefix="annospark-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

@@ -127,22 +127,34 @@ def read_entry_map(spark: SparkSession, path: str, key: str = "entry", value: st
 
 
 def read_blast_tab(spark: SparkSession, path: str, sep: str = ",", header: bool = False) -> DataFrame:
-    """12-column tabular hits; blank and '#' rows skipped; typed."""
-    df = (spark.read.option("sep", sep).option("header", header).option("comment", "#")
-          .option("inferSchema", False).csv(path))
-    df = df.toDF(*BLAST_TAB_COLUMNS[: len(df.columns)]) if len(df.columns) == 12 else df
-    return df.select(*[F.col(c).try_cast(t).alias(c) for c, t in zip(BLAST_TAB_COLUMNS, BLAST_TAB_TYPES)])
+    """12-column tabular hits, typed; '#' rows, blank rows and trailers (other than 12 fields) skipped."""
+    return parse_blast_tab(spark.read.text(path), sep, header)
+
+
+def parse_blast_tab(lines: DataFrame, sep: str = ",", header: bool = False) -> DataFrame:
+    """A7 on text lines (column ``value``); a header is the row whose last field is no number."""
+    fields = lines.where(~F.col("value").startswith("#")).select(
+        F.transform(F.split("value", "\\Q" + sep + "\\E"), lambda x: F.trim(x)).alias("f")).where(F.size("f") == len(BLAST_TAB_COLUMNS))
+    if header:
+        fields = fields.where(F.get("f", F.lit(len(BLAST_TAB_COLUMNS) - 1)).try_cast("double").isNotNull())
+    return fields.select(*[F.get("f", F.lit(i)).try_cast(t).alias(c)
+                           for i, (c, t) in enumerate(zip(BLAST_TAB_COLUMNS, BLAST_TAB_TYPES))])
 
 
 def read_domtblout(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """Whitespace-separated domain table; first field 'db|name|gene';
     the description is every word from the 25th column on."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return parse_domtblout(spark.read.text(path), raw)
+
+
+def parse_domtblout(lines: DataFrame, raw: bool = False) -> DataFrame:
+    """A8 on text lines (column ``value``)."""
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     tok = F.split(F.trim(F.col("value")), r"\s+")
     head = F.split(F.get(tok, F.lit(0)), r"\|")
-    fields = F.concat(head, F.slice(tok, 2, 1_000_000))
+    fields = F.concat(head, F.slice(tok, 2, F.size(tok)))
     cols = [F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(DOMTBL_COLUMNS[:-1])]
-    desc = F.array_join(F.slice(fields, len(DOMTBL_COLUMNS), 1_000_000), " ").alias("description")
+    desc = F.array_join(F.slice(fields, F.lit(len(DOMTBL_COLUMNS)), F.size(fields)), " ").alias("description")
     df = lines.select(*cols, desc)
     if raw:
         return df
