@@ -42,8 +42,8 @@ def test_domain_table_keeps_long_descriptions(spark):
 
 def test_fisher_at_large_counts_and_below_the_least_double(spark):
     from annospark.operators import enrichment as enr
-    big = 10 ** 12
-    df = spark.createDataFrame([("large", 10 ** 7, 10 ** 7, big - 10 ** 7, big - 10 ** 7),
+    big = 5 * 10 ** 15  # the product of two margins is beyond a long
+    df = spark.createDataFrame([("large", 1000, 1000, big - 1000, big - 1000),
                                 ("tiny", 4000, 10, 10, 4000)], "term string, tp long, tn long, fp long, fn long")
     rows = {r["term"]: r for r in enr.fisher_columns(df).collect()}
     assert math.isclose(rows["large"]["p_value"], 1.0, abs_tol=1e-6)
