@@ -45,10 +45,12 @@ def test_fisher_at_large_counts_and_below_the_least_double(spark):
     big = 5 * 10 ** 15  # the product of two margins is beyond a long
     df = spark.createDataFrame([("large", 1000, 1000, big - 1000, big - 1000),
                                 ("tiny", 4000, 10, 10, 4000)], "term string, tp long, tn long, fp long, fn long")
-    rows = {r["term"]: r for r in enr.fisher_columns(df).collect()}
+    res = enr.fisher_columns(df).persist()
+    rows = {r["term"]: r for r in res.collect()}
     assert math.isclose(rows["large"]["p_value"], 1.0, abs_tol=1e-6)
     assert rows["tiny"]["p_value"] == 0.0 and -1e5 < rows["tiny"]["log_p"] < -745
-    scored = enr.enrich_filter(enr.fisher_columns(df.where("term = 'tiny'")).withColumn("depth", F.lit(1))).collect()
+    scored = enr.enrich_filter(res.where("term = 'tiny'").withColumn("depth", F.lit(1))).collect()
+    res.unpersist()
     assert math.isfinite(scored[0]["score"]) and scored[0]["score"] > 745
 
 
