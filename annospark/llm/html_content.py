@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 #: Pages that the model learns from (by least hash); changed copies of each; passes over them.
 SAMPLE, COPIES, PASSES, RATE, DECAY = 200, 2, 4, 0.5, 1e-4
+#: Least number of trees that the training goes over; few pages are gone over more often.
+STEPS = 2500
 SEED = 11
 
 # Element kinds, fixed by the markup language.
@@ -375,7 +377,7 @@ def train(pages: list[str], passes: int = PASSES) -> np.ndarray:
         trees.append((nodes, mark(nodes)))
         trees += [changed(page, pick) for _ in range(COPIES)]
     weights, memory = np.zeros(SIZE), np.full(SIZE, 1e-6)
-    for _ in range(passes):
+    for _ in range(max(passes, -(-STEPS // len(trees)))):
         pick.shuffle(trees)
         for nodes, labels in trees:
             if len(nodes) > 1:
