@@ -94,8 +94,10 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
             .where(F.col("before") + F.col("size") / 2.0 < F.col("rest"))
             .groupBy("s.source").agg(F.max(F.struct(*order)).alias("cut")))
     h = head.alias("h")
-    return (t.join(h, F.col("t.source").eqNullSafe(F.col("h.source")), "left")
+    plan = (t.join(h, F.col("t.source").eqNullSafe(F.col("h.source")), "left")
             .select("t.source", "source_size", "target", "epochs", "cut"))
+    # written, so that its size is known when documents join it: a small plan is broadcast and no document is shuffled
+    return written(plan, "mix-plan")
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
