@@ -265,23 +265,17 @@ def significance_gate(res: DataFrame, max_p: float = 0.05, max_depth: int = 4,
     ``score = ln(1/p)``; otherwise every row is returned with ``score = -1``.
     """
     g = list(group_cols)
-    stats_cols = [F.count(F.lit(1)).alias("_n"),
-                  F.min(F.when(F.col("depth") <= max_depth, F.col("p_value"))).alias("_pmin")]
+    pmin = F.min(F.when(F.col("depth") <= max_depth, F.col("p_value")))
+    thr = F.lit(float(max_p)) / F.count(F.lit(1)) if bonferroni else F.lit(float(max_p))
+    limit = F.when(pmin <= thr, thr)  # null: nothing passes
     if g:
-        stats = res.groupBy(*g).agg(*stats_cols)
-        joined = res.join(stats, on=g)
-        n, pmin = F.col("_n"), F.col("_pmin")
+        joined = res.join(res.groupBy(*g).agg(limit.alias("_limit")), on=g)
     else:
-        stats = res.agg(*stats_cols)
-        n = stats.select("_n").scalar()
-        pmin = stats.select("_pmin").scalar()
-        joined = res
-    thr = (F.lit(float(max_p)) / n) if bonferroni else F.lit(float(max_p))
-    passes = F.coalesce(pmin <= thr, F.lit(False))
-    keep = (~passes) | ((F.col("p_value") < thr) & (F.col("depth") <= max_depth))
-    out = (joined.where(keep)
-           .withColumn("score", F.when(passes, _score(res)).otherwise(F.lit(-1.0))))
-    return out.drop("_n", "_pmin")
+        joined = res.withColumn("_limit", res.agg(limit).scalar())
+    limit = F.col("_limit")
+    return (joined.where(limit.isNull() | ((F.col("p_value") < limit) & (F.col("depth") <= max_depth)))
+            .withColumn("score", F.when(limit.isNotNull(), _score(res)).otherwise(F.lit(-1.0)))
+            .drop("_limit"))
 
 
 def enrich_filter(res: DataFrame, max_p: float = 0.05, max_depth: int = 5) -> DataFrame:

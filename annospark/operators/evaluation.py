@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.operators.reshape import parse_ranges, to_positions
+from annospark.operators.intervals import OVERLAP_BUCKET, interval_join
+from annospark.operators.reshape import coverage_filter, parse_ranges, to_positions
 
 PERCENTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -243,9 +244,17 @@ def structure_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, en
     U = [1, len) ∪ S;  tp = |D ∩ S|;  fp = |S - D|;  fn = |D ∩ U| - tp;
     precision = tp / (tp + fp), recall = tp / (tp + fn), F1 = 2pr / (p + r).
     """
-    s1 = struct.join(lengths, entry)
-    pairs = dom.join(s1, entry)
-    d_len = F.greatest(F.lit(0), F.col("seq_end") - F.col("seq_start"))
+    return _pair_metrics(dom.join(struct, entry).join(lengths, entry), entry)
+
+
+def overlapping_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, entry: str = "entry",
+                         bucket: int = OVERLAP_BUCKET) -> DataFrame:
+    """I7 for the pairs that share a position: all pairs with a recall above 0, without the product of an entry's
+    domains and structures."""
+    return _pair_metrics(interval_join(dom, struct, entry, bucket).join(lengths, entry), entry)
+
+
+def _pair_metrics(pairs: DataFrame, entry: str) -> DataFrame:
     s_len = F.greatest(F.lit(0), F.col("s_end") - F.col("s_start"))
     inter = F.greatest(F.lit(0), F.least("seq_end", "s_end") - F.greatest("seq_start", "s_start"))
     # |D ∩ [1, len)|
@@ -266,7 +275,8 @@ def structure_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, en
 
 def covering_structures(cov: DataFrame, threshold: float = 0.8, entry: str = "entry") -> DataFrame:
     """I8: structures covering at least ``threshold`` of a domain: counts of
-    rows, distinct entries and distinct structure ids."""
-    kept = cov.where(F.col("recall").isNotNull() & (F.col("recall") >= threshold))
+    rows, distinct entries and distinct structure ids.  Above 0, the pairs of
+    ``overlapping_coverage`` are enough."""
+    kept = coverage_filter(cov, threshold)
     return kept.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entry).alias("n_entries"),
                     F.count_distinct("struct_id").alias("n_structures"))

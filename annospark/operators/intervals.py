@@ -239,13 +239,16 @@ def interval_overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucke
                     "s1", "e1", "s2", "e2", lo.alias("lo"), hi.alias("hi")))
 
 
-def interval_join(dom: DataFrame, struct: DataFrame, entry: str = "entry") -> DataFrame:
-    """Domains x structures of the same entry with overlap length.
+def interval_join(dom: DataFrame, struct: DataFrame, entry: str = "entry", bucket: int = OVERLAP_BUCKET) -> DataFrame:
+    """Overlapping (domain, structure) pairs of an entry with overlap length ``inter`` > 0.
 
-    dom: (entry, seq_start, seq_end); struct: (entry, struct_id, s_start, s_end).
+    dom: (entry, seq_start, seq_end); struct: (entry, struct_id, s_start, s_end).  Empty intervals overlap nothing.
     """
-    return (dom.join(struct, entry)
-            .withColumn("inter", F.greatest(F.lit(0), F.least("seq_end", "s_end") - F.greatest("seq_start", "s_start"))))
+    d = dom.where("seq_end > seq_start").withColumnsRenamed({"seq_start": "s", "seq_end": "e"})
+    t = struct.where("s_end > s_start").withColumnsRenamed({"s_start": "s", "s_end": "e"})
+    return (interval_overlap_join(d, t, [entry], bucket)
+            .withColumnsRenamed({"s1": "seq_start", "e1": "seq_end", "s2": "s_start", "e2": "s_end"})
+            .withColumn("inter", F.col("hi") - F.col("lo")).drop("lo", "hi"))
 
 
 def pair_self_join(df: DataFrame, group: str, item: str, blocks: int = 8) -> DataFrame:

@@ -122,8 +122,10 @@ def to_positions(df: DataFrame, start: str = "seq_start", end: str = "seq_end",
 
 
 def complement_positions(universe_len: Column, positives: Column) -> Column:
-    """Positions 1..len-1 not in ``positives`` (array column)."""
-    return F.array_except(F.sequence(F.lit(1), universe_len - 1), positives)
+    """Positions 1..len-1 not in ``positives`` (array column; null: none); a length below 2 has no positions."""
+    none = F.array().cast("array<int>")
+    universe = F.when(universe_len > 1, F.sequence(F.lit(1), universe_len - 1)).otherwise(none)
+    return F.array_except(universe, F.coalesce(positives, none))
 
 
 def positions_to_range(df: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from annospark.operators import evaluation as ev
 from annospark.operators import intervals as iv
 from annospark.operators import matrix as mx
+from annospark.operators import reshape as rs
 from annospark.plans import bindings as V
 from annospark.plans.catalog import register
 
@@ -234,10 +235,10 @@ def q_first_per_group(spark, sf_dir):
     return ev.first_per_group(V.int_struct(spark, sf_dir), ["entry", "s_start", "s_end"], "struct_id")
 
 
-def _coverage(spark, sf_dir):
+def _coverage(spark, sf_dir, coverage=ev.structure_coverage):
     st = ev.first_per_group(V.int_struct(spark, sf_dir), ["entry", "s_start", "s_end"], "struct_id")
     dm = V.int_hits(spark, sf_dir).where(F.col("model") == "R").select("entry", "seq_start", "seq_end").distinct()
-    return ev.structure_coverage(dm, st, V.int_entries(spark, sf_dir))
+    return coverage(dm, st, V.int_entries(spark, sf_dir))
 
 
 @register("structure_coverage", f"WITH {_COV.strip()} SELECT entry, seq_start, seq_end, struct_id, {_rs(['precision', 'recall', 'f1'])} "
@@ -249,7 +250,51 @@ def q_structure_coverage(spark, sf_dir):
 @register("covering_structures", f"WITH {_COV.strip()} SELECT count(*) AS n_rows, count(DISTINCT entry) AS n_entries, "
           "count(DISTINCT struct_id) AS n_structures FROM cov WHERE recall IS NOT NULL AND recall >= 0.8")
 def q_covering_structures(spark, sf_dir):
-    return ev.covering_structures(_coverage(spark, sf_dir), 0.8)
+    return ev.covering_structures(_coverage(spark, sf_dir, ev.overlapping_coverage), 0.8)
+
+
+@register("interval_join", f"WITH hits AS ({V.SQL_INT_HITS}), st AS ({V.SQL_INT_STRUCT}) "
+          "SELECT entry, model, seq_start, seq_end, struct_id, s_start, s_end, "
+          "least(seq_end, s_end) - greatest(seq_start, s_start) AS inter FROM hits JOIN st USING (entry) "
+          "WHERE least(seq_end, s_end) > greatest(seq_start, s_start)")
+def q_interval_join(spark, sf_dir):
+    # buckets narrower than the entries, so that pairs meet in several of them
+    pairs = iv.interval_join(V.int_hits(spark, sf_dir), V.int_struct(spark, sf_dir), bucket=32)
+    return pairs.select("entry", "model", "seq_start", "seq_end", "struct_id", "s_start", "s_end", "inter")
+
+
+# ------------------------------------------------------------------ D: positions
+_HIT_POS = f"SELECT entry, model, unnest(range(seq_start, seq_end))::INTEGER AS pos FROM ({V.SQL_INT_HITS}) WHERE seq_end > seq_start"
+
+
+@register("position_depth", f"SELECT model, pos, count(*) AS n FROM ({_HIT_POS}) GROUP BY model, pos")
+def q_position_depth(spark, sf_dir):
+    """How many hits of a model hold each position."""
+    return rs.to_positions(V.int_hits(spark, sf_dir)).groupBy("model", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("positions_to_range", f"SELECT entry, model, min(pos) AS seq_start, max(pos) AS seq_end FROM ({_HIT_POS}) GROUP BY entry, model")
+def q_positions_to_range(spark, sf_dir):
+    """First and last position that the hits of a model hold in an entry."""
+    return rs.positions_to_range(rs.to_positions(V.int_hits(spark, sf_dir)), ["entry", "model"])
+
+
+@register("negative_positions", f"WITH {_TRUTH_POS.strip()} SELECT e.entry, coalesce(n.negatives, '') AS negatives, "
+          "e.entry IN (SELECT entry FROM tr) AS match FROM ents e LEFT JOIN (SELECT entry, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS negatives "
+          "FROM tflags WHERE is_pos = 0 GROUP BY entry) n USING (entry)")
+def q_negative_positions(spark, sf_dir):
+    """Positions of an entry outside its positive ranges, and whether it has any such range."""
+    tr = V.int_truth(spark, sf_dir)
+    listed = F.concat(F.col("seq_start").cast("string"), F.lit(".."), F.col("seq_end").cast("string"))
+    matches = tr.groupBy("entry").agg(F.concat_ws(",", F.collect_list(listed)).alias("matches"))
+    ranges = rs.parse_ranges(F.col("matches"))
+    # an entry's ranges lie inside its sequence, so its positions are bounded by the sequence length
+    positives = F.array_distinct(F.flatten(F.transform(F.filter(ranges, lambda r: r["end"] > r["start"]),
+                                                       lambda r: F.sequence(r["start"], r["end"] - 1))))
+    negatives = rs.complement_positions(F.col("len"), positives)
+    return (V.int_entries(spark, sf_dir).join(matches, "entry", "left")
+            .select("entry", F.array_join(negatives.cast("array<string>"), ",").alias("negatives"),
+                    rs.match_flag(ranges).alias("match")))
 
 
 @register("set_union_positions", f"SELECT entry, count(*) AS n_positions, min(pos)::INTEGER AS min_pos, max(pos)::INTEGER AS max_pos FROM "
