@@ -77,7 +77,7 @@ def fisher_window_scalars(a: Column, b: Column, c: Column, d: Column) -> dict[st
     # in doubles: the product of two longs overflows; the window's slack covers the rounding
     mode = F.floor((r + 1).cast("double") * ((n1 + 1).cast("double") / (n + 2).cast("double"))).cast("long")
     return {"_lo": F.greatest(F.lit(0).cast("long"), r - n2), "_hi": F.least(r, n1), "_mode": mode,
-            "_half": half, "_far": F.abs(a - mode) > half * 2}
+            "_half": half, "_far": F.abs(a - mode) * 2 > half}
 
 
 def fisher_mirror_cell(a: Column, n1: Column, n2: Column, r: Column, lp_obs: Column, lo: Column, hi: Column,

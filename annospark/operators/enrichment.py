@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.functions.stats import (TIE_TOLERANCE, WINDOW_SLACK, fisher_degenerate, fisher_mirror_cell,
                                        fisher_window_scalars, fisher_windows, log_table_probability, odds_ratio)
 from annospark.operators import ontology as onto
+from annospark.session import cut_lineage
 
 
 def term_counts(ann: DataFrame, term: str = "term", group_cols: Sequence[str] = (),
@@ -52,10 +52,10 @@ def contingency(target: DataFrame, background: DataFrame, term: str = "term",
     tkeys = list(group_cols)
     bkeys = [g for g in group_cols if g in background.columns]
     # The count tables are term-sized (groups x terms), not data-sized; each
-    # is used by the shared-term join and by the totals, so it is persisted to
-    # scan the annotation tables once.
-    t = term_counts(target, term, tkeys, "tp").persist(StorageLevel.MEMORY_AND_DISK)
-    b = term_counts(background, term, bkeys, "tn").persist(StorageLevel.MEMORY_AND_DISK)
+    # is used by the shared-term join and by the totals, so it is checkpointed
+    # to scan the annotation tables once.
+    t = cut_lineage(term_counts(target, term, tkeys, "tp"))
+    b = cut_lineage(term_counts(background, term, bkeys, "tn"))
     shared = shared_terms(t, b, term, bkeys)
     t_total = _with_total(t, "tp", tkeys, "t_total")
     b_total = _with_total(b, "tn", bkeys, "b_total")
@@ -99,10 +99,9 @@ def contingency_flagged(ann: DataFrame, flag: Column, term: str = "term") -> Dat
     (e.g. annotations of accepted entries vs all annotations): one scan and
     one aggregation give both counts, tp = sum(flag), tn = count(*).
     Same result as ``contingency(ann.where(flag), ann, term)``."""
-    counts = (ann.where(F.col(term).isNotNull())
-              .groupBy(term).agg(F.sum(F.when(flag, 1).otherwise(0)).cast("long").alias("tp"),
-                                 F.count(F.lit(1)).alias("tn"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = cut_lineage(ann.where(F.col(term).isNotNull())
+                         .groupBy(term).agg(F.sum(F.when(flag, 1).otherwise(0)).cast("long").alias("tp"),
+                                            F.count(F.lit(1)).alias("tn")))
     t_total = counts.select(F.sum("tp")).scalar()
     b_total = counts.select(F.sum("tn")).scalar()
     return (counts.where(F.col("tp") > 0)
@@ -115,9 +114,8 @@ def contingency_partitioned(ann: DataFrame, group: str, term: str = "term") -> D
     aggregation per (group, term); the background counts are the per-term sums
     of that term-sized table, so the annotations are scanned once.
     Same result as ``contingency(ann, ann.drop(group), term, [group])``."""
-    tp = (ann.where(F.col(term).isNotNull() & F.col(group).isNotNull())
-          .groupBy(group, term).agg(F.count(F.lit(1)).alias("tp"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+    tp = cut_lineage(ann.where(F.col(term).isNotNull() & F.col(group).isNotNull())
+                     .groupBy(group, term).agg(F.count(F.lit(1)).alias("tp")))
     tn = tp.groupBy(term).agg(F.sum("tp").alias("tn"))
     t_total = tp.groupBy(group).agg(F.sum("tp").alias("_t_total"))
     b_total = tp.select(F.sum("tp")).scalar()
@@ -130,12 +128,13 @@ def fisher_columns(table: DataFrame) -> DataFrame:
     """G4 on a table with tp, tn, fp, fn: adds odds_ratio and p_value.
 
     The p-value is computed once per distinct table (the distinct set is
-    term-sized and persisted).  Tables not more likely than the observed one
+    term-sized and checkpointed).  Tables not more likely than the observed one
     lie in the tail beyond the observed cell and the tail beyond its mirror
     cell k* on the other side of the mode (the pmf is log-concave):
 
     * observed cell near the mode (the common case): one window of
-      ``WINDOW_SIGMAS`` standard deviations around both is exploded into rows;
+      ``WINDOW_SIGMAS`` standard deviations around both, which holds the mirror
+      cell, is exploded into rows;
     * observed cell far from the mode (a strongly enriched, heavily annotated
       term): k* is found by bisection and only the two tails get windows, so
       the work does not grow with the distance to the mode.  This branch is
@@ -147,12 +146,11 @@ def fisher_columns(table: DataFrame) -> DataFrame:
     """
     a, b, c, d = (F.col(x) for x in CELLS)
     n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
-    table = table.persist(StorageLevel.MEMORY_AND_DISK)   # term-sized; read by distinct and by the join
+    table = cut_lineage(table)   # term-sized; read by distinct and by the join
     sc = fisher_window_scalars(a, b, c, d)
-    tables = (table.select(*CELLS).distinct()
-              .select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"),
-                      *[v.alias(n) for n, v in sc.items()])
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    tables = cut_lineage(table.select(*CELLS).distinct()
+                         .select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"),
+                                 *[v.alias(n) for n, v in sc.items()]))
     lo, hi, mode, half, far = (F.col(x) for x in ("_lo", "_hi", "_mode", "_half", "_far"))
     near = tables.where(~far).select(
         *CELLS, "_n1", "_n2", "_r",
@@ -241,10 +239,9 @@ def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFr
     fis = fisher_columns(table) if table is not None else fisher_test(target, background, term, group_cols)
     res = fis.join(known, term)
     if propagate:
-        res = propagate_pvalue(res.persist(StorageLevel.MEMORY_AND_DISK), onto.descendants(nodes, closure),
-                               term, group_cols)
+        res = propagate_pvalue(cut_lineage(res), onto.descendants(nodes, closure), term, group_cols)
     # term-sized result, read twice by the gate (group statistics + rows)
-    return res.persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(res)
 
 
 def _score(res: DataFrame) -> Column:
