@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from annospark.operators.intervals import OVERLAP_BUCKET, interval_join
 from annospark.operators.reshape import coverage_filter, parse_ranges, to_positions
+from annospark.session import cut_lineage
 
 PERCENTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -218,17 +219,37 @@ def metric_distribution(per_entry: DataFrame, metric_cols: Sequence[str] = ("pre
                         group: Sequence[str] = ("model",)) -> DataFrame:
     """Per group and metric: min, q1, median, q3, max, mean (nulls dropped).
 
-    Long format (group..., metric, ...) via ``stack`` and one exact
-    ``percentile`` aggregation (its buffer holds distinct values per group).
+    Exact without a buffer for each group: equal values are counted, the counts
+    are dealt by range of (group, metric, value) and summed within each range
+    and over the ranges before it, which gives the ranks that a value holds;
+    the values at the ranks of a quantile are interpolated linearly.
     """
-    g = list(group)
+    g = [*group, "metric"]
     pairs = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metric_cols)
-    long = per_entry.select(*g, F.expr(f"stack({len(metric_cols)}, {pairs}) AS (metric, value)"))
-    q = F.percentile(F.col("value"), F.array(*[F.lit(x) for x in PERCENTILES]))
-    agg = (long.where(F.col("value").isNotNull()).groupBy(*g, "metric")
-           .agg(q.alias("_q"), F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")))
+    long = per_entry.select(*group, F.expr(f"stack({len(metric_cols)}, {pairs}) AS (metric, value)"))
+    counts = long.where(F.col("value").isNotNull()).groupBy(*g, "value").agg(F.count(F.lit(1)).alias("_c"))
+    # written, so that a row's range stays the same for all readers
+    ranged = cut_lineage(counts.repartitionByRange(*g, "value").withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (ranged.groupBy(*g, "_range").agg(F.sum("_c").alias("_n"))
+              .select(*g, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                      F.sum("_n").over(Window.partitionBy(*g)).alias("_all")))
+    inside = Window.partitionBy(*g, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (ranged.withColumn("_upto", F.sum("_c").over(inside)).join(ranges, [*g, "_range"])
+              .withColumn("_end", F.col("_before") + F.col("_upto")))
+
+    def at(rank: Column) -> Column:
+        held = (F.col("_end") - F.col("_c") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(held, F.col("value")))
+
+    def quantile(q: float) -> Column:
+        place = F.lit(q) * (F.col("_all") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + F.max(place - F.floor(place)) * (high - low)
     names = ["min", "q1", "median", "q3", "max"]
-    return agg.select(*g, "metric", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "mean", "n")
+    n = F.sum("_c")
+    return ranked.groupBy(*g).agg(*[quantile(q).alias(name) for q, name in zip(PERCENTILES, names, strict=True)],
+                                  (F.sum(F.col("value") * F.col("_c")) / n).alias("mean"), n.alias("n"))
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

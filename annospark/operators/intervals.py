@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +83,14 @@ def jaccard_pairs(nodes: DataFrame, bucket: int = OVERLAP_BUCKET) -> DataFrame:
 def eps_edges(nodes: DataFrame, eps: float = 0.4, metric: str = "rows",
               bucket: int = OVERLAP_BUCKET) -> DataFrame:
     """E3 graph: node pairs (entry, s1, e1, s2, e2) within ``eps``."""
-    jp = jaccard_pairs(nodes, bucket).persist(StorageLevel.MEMORY_AND_DISK)
+    if metric not in ("rows", "precomputed"):
+        raise ValueError("metric must be 'rows' or 'precomputed'")
+    jp = jaccard_pairs(nodes, bucket)
+    if metric == "rows":
+        jp = cut_lineage(jp)  # read by the candidates, the squares and both sides of the cross sums
     others = jp.where((F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2")))
     if metric == "precomputed":
         return others.where(F.col("dist") <= eps + EPS_SLACK).select("entry", "s1", "e1", "s2", "e2")
-    if metric != "rows":
-        raise ValueError("metric must be 'rows' or 'precomputed'")
     # Exact prefilter: the k = i and k = j terms alone give
     # d2(i,j) >= (w_i + w_j) * D_ij^2, so only strongly overlapping pairs can be
     # within eps; the cross sums are computed for those candidates only.
@@ -123,13 +124,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Output: entry, s, e, w, cs, ce (cluster = (entry, cs, ce)).
     """
-    # the loop state (labels) is checkpointed every round; the edge list is
-    # not iterative, so it is only persisted.  Nodes without any edge are their
-    # own cluster and stay out of the loop.
+    # the edge list is checkpointed once, the loop state (labels) every round.
+    # Nodes without any edge are their own cluster and stay out of the loop.
     und = (edges.select("entry", "s1", "e1", "s2", "e2")
            .unionByName(edges.select("entry", F.col("s2").alias("s1"), F.col("e2").alias("e1"),
                                      F.col("s1").alias("s2"), F.col("e1").alias("e2"))))
-    und = und.persist(StorageLevel.MEMORY_AND_DISK)
+    und = cut_lineage(und)
     ends = und.select("entry", F.col("s1").alias("s"), F.col("e1").alias("e")).distinct()
     singles = (nodes.join(ends, ["entry", "s", "e"], "left_anti")
                .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
@@ -160,7 +160,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def eps_clusters(hits: DataFrame, eps: float = 0.4, metric: str = "rows", entry: str = "entry",
                  start: str = "seq_start", end: str = "seq_end", bucket: int = OVERLAP_BUCKET) -> DataFrame:
     """Cluster label (cs, ce) of every distinct hit, with its multiplicity w."""
-    nodes = collapse_hits(hits, entry, start, end).persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = cut_lineage(collapse_hits(hits, entry, start, end))
     return connected_components(nodes, eps_edges(nodes, eps, metric, bucket))
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +79,7 @@ def closure_bfs(edges: DataFrame) -> DataFrame:
     """
     e = (edges.select(F.col("child").alias("mid"), F.col("parent").alias("ancestor"))
          .where(F.col("mid").isNotNull() & F.col("ancestor").isNotNull()).distinct())
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
+    e = cut_lineage(e)
     layer = cut_lineage(e.select(F.col("mid").alias("descendant"), "ancestor", F.lit(1).alias("dist")))
     known = layer
     for level in itertools.count(2):
