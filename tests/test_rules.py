@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from annospark.operators import enrichment as enr
+from annospark.operators import evaluation as ev
+from annospark.operators import intervals as iv
+from annospark.plans import catalog
+
 
 def test_bracketed_items_keep_their_descriptions(spark):
     from annospark.operators import reshape as rs
@@ -60,3 +69,51 @@ def test_closure_of_a_deep_chain(spark):
     closure = onto.closure_with_distance(edges)
     assert closure.count() == 300 * 301 // 2
     assert closure.agg(F.max("dist")).first()[0] == 300
+
+
+def test_fisher_counts_the_mirror_tail(spark):
+    # symmetric tables 5 to 60 standard deviations off the mode: both tails weigh the same
+    def log_pmf(k, n1, n2, r):
+        lf = lambda n: math.lgamma(n + 1)
+        return (lf(n1) - lf(k) - lf(n1 - k) + lf(n2) - lf(r - k) - lf(n2 - r + k)
+                - lf(n1 + n2) + lf(r) + lf(n1 + n2 - r))
+    tables = [(10000 + 50 * s, 10000 - 50 * s, 10000 - 50 * s, 10000 + 50 * s) for s in (5, 21, 30, 45, 60)]
+    got = {r.tp: r.log_p for r in enr.fisher_columns(spark.createDataFrame(tables, "tp long, tn long, fp long, fn long")).collect()}
+    for a, *_ in tables:
+        logs = [log_pmf(k, 20000, 20000, 20000) for k in range(a, 20001)]
+        expected = math.log(2) + logs[0] + math.log(sum(math.exp(x - logs[0]) for x in logs))
+        assert got[a] == pytest.approx(expected, abs=1e-5)
+
+
+def test_metric_distribution_matches_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [(m, rnd.choice([None, 0.0, 1.0, rnd.random()])) for m in ("a", "b") for _ in range(400)] + [("c", 0.25), ("d", None)]
+    df = spark.createDataFrame(rows, "model string, recall double")
+    got = {r.model: r for r in ev.metric_distribution(df, ["recall"]).collect()}
+    assert set(got) == {"a", "b", "c"}
+    for model, r in got.items():
+        values = [v for m, v in rows if m == model and v is not None]
+        expected = [*np.quantile(values, [0, 0.25, 0.5, 0.75, 1]), np.mean(values)]
+        assert [r["min"], r.q1, r.median, r.q3, r["max"], r["mean"]] == pytest.approx(expected)
+        assert r.n == len(values)
+
+
+def test_no_cache_is_left_behind(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    spark.catalog.clearCache()
+    for name in ("enrich_gate", "enrich_by_architecture", "ensemble", "term_weights"):
+        catalog.REGISTRY[name][0](spark, sf).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_interval_join_in_many_buckets(spark):
+    rnd = random.Random(5)
+    dom = [(rnd.randint(1, 2), s, s + rnd.randint(0, 90)) for s in (rnd.randint(0, 300) for _ in range(60))]
+    struct = [(rnd.randint(1, 2), i, s, s + rnd.randint(0, 90)) for i, s in enumerate(rnd.randint(0, 300) for _ in range(60))]
+    got = iv.interval_join(spark.createDataFrame(dom, "entry int, seq_start int, seq_end int"),
+                           spark.createDataFrame(struct, "entry int, struct_id int, s_start int, s_end int"), bucket=16)
+    got = sorted((r.entry, r.seq_start, r.seq_end, r.struct_id, r.inter) for r in got.collect())
+    assert got == sorted((e, a, b, i, min(b, d) - max(a, c)) for e, a, b in dom for f, i, c, d in struct
+                         if e == f and min(b, d) > max(a, c))
