@@ -191,13 +191,14 @@ def q_top_interactors(spark, sf_dir):
     return net.top_interactors(V.net_edges(spark, sf_dir), 3)
 
 
-@register("score_histogram_seeds", f"WITH {_NET}, se AS (SELECT * FROM edges WHERE protein1 IN (SELECT id FROM seeds)), "
+@register("score_histogram_seeds", f"WITH {_NET}, se AS (SELECT * FROM edges WHERE protein1 IN (SELECT id FROM seeds) AND combined_score > 700), "
           "b AS (SELECT min(combined_score) AS lo, max(combined_score) AS hi FROM se) "
           "SELECT bin, b.lo + (bin - 1) * (b.hi - b.lo) / 30 AS lower, b.lo + bin * (b.hi - b.lo) / 30 AS upper, n FROM "
           "(SELECT CASE WHEN b.hi = b.lo THEN 1 ELSE least(30, CAST(floor((combined_score - b.lo) * 30 / (b.hi - b.lo)) AS INTEGER) + 1) END AS bin, "
           "count(*) AS n FROM se, b WHERE combined_score IS NOT NULL GROUP BY bin) h, b")
 def q_score_histogram_seeds(spark, sf_dir):
-    """H7 on the seed subset: edges leaving a seed protein."""
+    """H7 on the seed subset: edges leaving a seed protein with a score above 700."""
     from annospark.operators.setops import semi_join
     seeds = V.net_seeds(spark, sf_dir).withColumnRenamed("id", "protein1")
-    return net.score_histogram(semi_join(V.net_edges(spark, sf_dir), seeds, "protein1"), 30)
+    kept = V.net_edges(spark, sf_dir).where(F.col("combined_score") > 700)
+    return net.score_histogram(semi_join(kept, seeds, "protein1"), 30)
