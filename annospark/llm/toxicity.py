@@ -3,9 +3,9 @@
 A character trigram model is counted over the words of all documents.  A
 disguised word (digits or signs for letters, letters spaced out or split by
 signs, repeated letters) becomes a lattice: each sign offers the letters it
-may stand for, each run of one letter its shorter forms, each with the cost
-of the channel; Viterbi search finds the restored word that the model and the
-channel together make likeliest.  A logistic model over words and beginnings of words of the
+may stand for, each run of one letter its shorter forms, each gap the end of a
+word or nothing, each with the cost of the channel; Viterbi search finds the
+restored words that the model and the channel together make likeliest.  A logistic model over words and beginnings of words of the
 restored text, learned from labelled rows, gives the score.
 
 Defined results: null and empty texts get the score of a text without
@@ -41,12 +41,10 @@ CODES = 32
 _CODE = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")} | {c: 27 + i for i, g in enumerate(_GROUPS) for c in g}
 _OTHER = 31
 
-#: Channel costs in nats: a sign read as a letter, kept as it is, a letter of a run dropped.
-READ, KEEP, DROP = 1.0, 9.0, 0.7
+#: Channel costs in nats: a sign read as a letter, kept as it is, a letter of a run dropped, a word ended at a gap.
+READ, KEEP, DROP, BREAK = 1.0, 9.0, 0.7, 0.5
 #: Restored or plain words kept by a worker; beyond it the table starts anew.
 KEPT_WORDS = 300_000
-#: Longest run of signs and letters that is decoded; longer ones (hashes, keys) are no disguised words.
-LONGEST = 40
 
 #: Labelled rows used for the fit (by least hash), features by hash, least documents with a feature.
 SAMPLE, BUCKETS, LEAST_DOCS = 20_000, 1 << 20, 5
@@ -61,8 +59,11 @@ HELD_OUT, MODULUS = 2, 4
 THRESHOLD = 0.3
 
 _DISGUISED = re.compile(rf"[^\W\d_]['’.\-_]?[{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][._\-~*'/]){{2,}}[^\W\d_]")
-_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_SIGNS}])(?:[ \t._\-*~/]{{1,2}}(?:[^\W_]|[{_SIGNS}])){{3,}}(?!\S)")
+_APART = re.compile(r"(?<![^\W_])(?:[^\W\d_][._\-~'/]){2,}[^\W\d_](?![^\W_])")
+_SPACED = re.compile(rf"(?<!\S)(?:[^\W_]|[{_SIGNS}])(?:[ \t._\-*~/]{{1,2}}(?:[^\W_]|[{_SIGNS}])){{2,}}(?!\S)")
 _SPLITS = re.compile(r"[ \t._\-~/'’]+")
+#: Runs of one letter or sign, and gaps.
+_PARTS = re.compile(r"[ \t._\-~/'’]+|([^ \t._\-~/'’])\1*", re.S)
 _EDGE = re.compile(r"^[^\w@$!|+(<€£¢*]+|(?:([#*$%&!|+])\1+)?[^\w@$*]*$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -125,45 +126,58 @@ def character_model(counts: dict[int, int]) -> np.ndarray:
 
 # ---------------------------------------------------------------- lattice and Viterbi search
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Per run of equal characters: the readings and their channel costs."""
+    """Readings and their channel costs: of each run of one letter, each sign and each gap.
+
+    Signs of a run may stand for different letters; the run is one disguise, so
+    its first sign bears the cost of it, and each further one may be dropped.  A
+    gap ends a word (a space) or is nothing: without cost between letters that
+    stand apart, unless it is wider than others, and else at the cost of a sign.
+    """
     cells: list[list[tuple[str, float]]] = []
-    i = 0
-    while i < len(word):
-        j = i
-        while j < len(word) and word[j] == word[i]:
-            j += 1
-        run, c = j - i, word[i]
-        letters = LOOKS_LIKE.get(c, "" if c.isalpha() else "")
+    parts = [m.group() for m in _PARTS.finditer(word)]
+    least = min((len(x) for x in parts if _SPLITS.fullmatch(x)), default=0)
+    for i, part in enumerate(parts):
+        run, c = len(part), part[0]
+        letters = LOOKS_LIKE.get(c, "")
         if c.isalpha():
-            options = [(c, DROP if run > 1 else 0.0)] + ([(c * 2, 0.0 if run == 2 else DROP)] if run > 1 else [])
+            cells.append([(c, DROP if run > 1 else 0.0)] + ([(c * 2, 0.0 if run == 2 else DROP)] if run > 1 else []))
         elif letters:
-            cost = READ + math.log(len(letters))
-            options = [(x, cost + (DROP if run > 1 else 0.0)) for x in letters]
-            options += [(x * 2, cost) for x in letters] if run > 1 else []
-            options.append(("", KEEP))
+            cost = math.log(len(letters))
+            cells.append([(x, READ + cost) for x in letters] + [("", KEEP)])
+            cells += [[(x, cost) for x in letters] + [("", DROP)]] * (run - 1)
+        elif _SPLITS.fullmatch(part):
+            apart = run == least and all(len(x) == 1 for x in parts[max(i - 1, 0):i + 2:2])
+            cells.append([("", 0.0 if apart else READ), (" ", BREAK)])
         else:
-            options = [("", READ)]
-        cells.append(options)
-        i = j
+            cells.append([("", READ)])
     return cells
 
 
 def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest reading of a disguised word."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a disguised word, or of several with gaps between them."""
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(word):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, read) in best.items():
             for reading, price in options:
                 x, y, total = a, b, cost + price
-                for c in reading:
-                    code = _CODE.get(c, _OTHER)
-                    total += model[x, y, code]
-                    x, y = y, code
+                if reading == " ":  # the model sees two edges between words
+                    total += model[x, y, 0]
+                    x = y = 0
+                else:
+                    for c in reading:
+                        code = _CODE.get(c, _OTHER)
+                        total += model[x, y, code]
+                        x, y = y, code
                 if (x, y) not in step or total < step[x, y][0]:
-                    step[x, y] = (total, text + reading)
+                    step[x, y] = (total, (read, reading) if reading else read)
         best = step
-    return min(((cost + model[a, b, 0], text) for (a, b), (cost, text) in best.items()))[1]
+    last = min(((cost + model[a, b, 0], (a, b)) for (a, b), (cost, _) in best.items()))[1]
+    out, read = [], best[last][1]
+    while read is not None:
+        read, reading = read
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 def buckets(words: tuple[str, ...] | list[str]) -> set[int]:
@@ -189,19 +203,31 @@ class Features:
         if not _DISGUISED.search(token):
             return (token,) if token.isalpha() else tuple(_LETTERS.findall(token))
         core = _EDGE.sub("", token)
-        if not _DISGUISED.search(core) or len(core) > LONGEST or core.startswith("http") or "@" in core and "." in core:
+        if not _DISGUISED.search(core) or core.startswith("http") or "@" in core and "." in core:
             return tuple(_LETTERS.findall(core or token))
-        joined = _SPLITS.sub("", core) if re.search(r"(?:[^\W\d_][._\-~'/]){2,}[^\W\d_]", core) else core
-        read = _LETTERS.findall(restore(joined, self.model))
+        read = _LETTERS.findall(restore(core, self.model))
+        parts = _SPLITS.split(core)
+        if _APART.search(core):
+            read += self.unbroken("".join(parts))
+        if len(parts) > 1:
+            read += [w for part in parts if _DISGUISED.search(part) for w in _LETTERS.findall(restore(part, self.model))]
         return (*read, *(w for w in _LETTERS.findall(core) if len(w) > 3))
 
+    def unbroken(self, joined: str) -> list[str]:
+        """Letters that stood apart read as one word, and the beginnings at every place of it.
+
+        The model tells too little about ends of words, so a word may begin anywhere.
+        """
+        read = _LETTERS.findall(restore(joined, self.model))
+        return read + [w[i:i + n] for w in read for i in range(1, len(w)) for n in (3, 4, PREFIXES[-1] + 1)]
+
     def spaced(self, text: str) -> list[str]:
         """Restored words of letters that stand apart."""
         out: list[str] = []
         for found in _SPACED.finditer(text):
             joined = _SPLITS.sub("", found.group())
-            if 4 <= len(joined) <= LONGEST and any(c.isalpha() for c in joined) and len(set(joined)) > 1:
-                out += _LETTERS.findall(restore(joined, self.model))
+            if any(c.isalpha() for c in joined) and len(set(joined)) > 1:
+                out += _LETTERS.findall(restore(found.group(), self.model)) + self.unbroken(joined)
         return out
 
     def words(self, text: str) -> list[str]:
