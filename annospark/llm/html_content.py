@@ -8,7 +8,8 @@ whether the text directly in it is content.  The parameters maximise the
 likelihood of labelled trees; its gradient is labels minus marginals, from
 the same messages.
 
-Labelled pages: a bounded sample of the table's pages, marked by their
+Labelled pages: a bounded sample of the table's pages whose markup gives labels,
+spread over their hosts (others say nothing about content), marked by their
 semantic elements (text inside an article or main element, outside of
 navigation, asides, forms, page headers and footers, is content).  Each is used
 as it is and in changed copies: with boilerplate blocks put in at random
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Pages that the model learns from (by least hash); changed copies of each; passes over them.
 SAMPLE, COPIES, PASSES, RATE, DECAY = 200, 2, 4, 0.5, 1e-4
@@ -404,16 +406,41 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def labelled(pages: DataFrame) -> DataFrame:
+    """host, order (hash) of the pages with some node marked as content."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            says = pa.array([any(mark(parse(t.as_py()))) for t in batch.column("html")], pa.bool_())
+            yield batch.select(["host", "order"]).filter(says)
+    host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    rows = pages.where(F.col("html").rlike(r"(?i)<(?:article|main)[\s/>]")).select(
+        host.alias("host"), F.xxhash64("page_id", "html").alias("order"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, "host string, order long")
+
+
+def sampled(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """order, html of at most ``sample`` labelled pages: the least hashes of every host in turn.
+
+    Each host keeps one page for each of ``sample`` slots before its pages are
+    ranked, so that a hot host is not ranked in one task.
+    """
+    slots = labelled(pages).groupBy("host", F.pmod("order", F.lit(sample)).alias("slot")).agg(F.min("order").alias("order"))
+    turn = F.row_number().over(Window.partitionBy("host").orderBy("order"))
+    few = slots.withColumn("turn", turn).orderBy("turn", "order", "host").limit(sample).select("order").distinct()
+    rows = pages.select(F.xxhash64("page_id", "html").alias("order"), F.col("html").cast("string").alias("html"))
+    # the sample bounds the broadcast side; rows that repeat count once
+    return rows.join(F.broadcast(few), "order").groupBy("order").agg(F.max("html").alias("html"))
+
+
 def learn(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Train in one task on ``sample`` pages by least hash; only the parameters come back."""
-    few = (pages.where("html IS NOT NULL").select(F.xxhash64("page_id", "html").alias("order"), "html")
-           .orderBy("order").limit(sample))
+    """Train in one task on the sampled pages; only the parameters come back."""
+    few = sampled(pages, sample)
     shape = SIZE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [x for batch in batches for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([train(own).tolist()], pa.list_(pa.float64()))], ["weights"])
-    rows = few.select("html").coalesce(1).mapInArrow(run, "weights array<double>").collect()
+        own = sorted(x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("order", "html")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([train([x for _, x in own]).tolist()], pa.list_(pa.float64()))], ["weights"])
+    rows = few.select("order", "html").coalesce(1).mapInArrow(run, "weights array<double>").collect()
     return np.array(rows[0]["weights"]) if rows else np.array(train([])).reshape(shape)
 
 
