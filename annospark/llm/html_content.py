@@ -45,9 +45,12 @@ SEED = 11
 
 # Element kinds, fixed by the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object canvas select head title".split())
+RAW = frozenset("script style noscript template textarea svg iframe canvas select head title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr br".split())
+                   "small span strike strong sub sup time tt u var wbr br object "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr mlabeledtr munder munderover none semantics annotation "
+                   "annotation-xml".split())
 #: Tags that an opening tag of the key closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -55,6 +58,8 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot div article section main bo
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Ends of raw elements, looked up in the page itself: lower case may be longer than the page.
+_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -107,7 +112,6 @@ def parse(page: str) -> list[Node]:
     root = Node("body", None)
     nodes, stack = [root], [root]
     block, at, links, end = 0, 0, 0, len(page)
-    lower = None
     while at < end:
         found = _TOKEN.search(page, at)
         stop = found.start() if found else end
@@ -127,10 +131,9 @@ def parse(page: str) -> list[Node]:
                 continue  # its children are left out one by one
             if attributes.rstrip().endswith("/"):
                 continue
-            lower = lower if lower is not None else page.lower()
-            close = lower.find("</" + tag, at)
-            if close >= 0:
-                gone = page.find(">", close)
+            close = _ENDS[tag].search(page, at)
+            if close:
+                gone = page.find(">", close.end())
                 at = gone + 1 if gone >= 0 else end
             elif tag in ("script", "style", "title", "textarea"):
                 at = end

@@ -42,3 +42,17 @@ def test_sample_takes_labelled_pages_of_every_host(spark):
     few = [r["html"] for r in hc.sampled(df, 12).collect()]
     assert len(few) == 12 and {f"<main><p>{i}</p></main>" for i in range(60, 70)} <= set(few)
     assert all("<main>" in x for x in few)
+
+
+def test_raw_elements_end_where_they_end():
+    for letters in ("İ" * 9, "İ" * 60, "ẞ" * 9):
+        page = f"<p>{letters}</p><SCRIPT>var x = '<p>code</p>';</Script><p>Text one.</p><p>Two.</p>"
+        assert [t for n in hc.parse(page) for _, t, _ in n.parts] == [letters, "Text one.", "Two."]
+
+
+def test_formulas_and_object_fallbacks_are_text():
+    page = ("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds, "
+            "<object data='a.pdf'>see the paper</object> for it.</p>")
+    nodes = hc.parse(page)
+    assert [n.tag for n in nodes] == ["body", "p"]
+    assert "".join(t for _, t, _ in nodes[1].parts) == "Energy E=mc2 holds, see the paper for it."
