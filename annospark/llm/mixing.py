@@ -6,8 +6,8 @@ a weighted sample without replacement of every length.  A source's budget is
 first spent on complete epochs, the rest on the documents at the head of that order.
 
 Defined results: a null text has size 0 and quality 1; a null source is a source
-of its own, last in order; rows that repeat (same id and text) share a key and
-are taken or left together; an empty table gives an empty mix; columns of the
+of its own, last in order; rows that repeat (same id and text) share a key, and
+as many of them are taken as the budget holds; an empty table gives an empty mix; columns of the
 input other than doc_id, text and source are carried, never read.
 """
 
@@ -81,34 +81,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
              cap: int = CAP) -> DataFrame:
-    """One row a source: target, whole epochs, and the last (key, tie, copy) of the fractional epoch."""
+    """One row a source: target, whole epochs, the last (key, tie, copy) of the fractional epoch, the repeats of
+    it (rows of the same id and text) and how many of them go in."""
     targets = written(source_targets(sizes, weights, share, cap)
                       .withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))),
                                                        F.lit(0)).cast("long"))
                       .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
     order = ["key", "tie", "copy"]
-    running = prefix_sums(sizes.select("source", "size", *order), order, "size", "before", ["source"], "mix-order")
+    # repeats are one row, so that they do not fill one range
+    grouped = (sizes.groupBy("source", *order).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("repeats"))
+               .withColumn("bulk", F.col("size") * F.col("repeats")))
+    running = prefix_sums(grouped, order, "bulk", "before", ["source"], "mix-order")
     s, t = running.alias("s"), targets.alias("t")
-    head = (s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")))
-            # a document goes in if more than half of it is below the budget
-            .where(F.col("before") + F.col("size") / 2.0 < F.col("rest"))
-            .groupBy("s.source").agg(F.max(F.struct(*order)).alias("cut")))
+
+    def fits(k: Column) -> Column:
+        """A repeat with k before it goes in if more than half of it is below the budget."""
+        return F.col("before") + k * F.col("size") + F.col("size") / 2.0 < F.col("rest")
+    about = F.ceil((F.col("rest") - F.col("before")) / F.nullif(F.col("size"), F.lit(0)) - 0.5)
+    # the quotient may be one off where it is rounded; all of no size fit if one does
+    about = F.when(fits(about), about + 1).when(~fits(about - 1), about - 1).otherwise(about)
+    going = F.least(F.col("repeats"), F.coalesce(about, F.col("repeats")))
+    head = (s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).where(fits(F.lit(0)))
+            .groupBy("s.source").agg(F.max(F.struct(*order, going.cast("long").alias("going"), "repeats")).alias("last")))
     h = head.alias("h")
     plan = (t.join(h, F.col("t.source").eqNullSafe(F.col("h.source")), "left")
-            .select("t.source", "source_size", "target", "epochs", "cut"))
+            .select("t.source", "source_size", "target", "epochs", F.when(F.col("last").isNotNull(), F.struct(
+                *[F.col("last")[c].alias(c) for c in order])).alias("cut"), F.col("last.going"), F.col("last.repeats")))
     # written, so that its size is known when documents join it: a small plan is broadcast and no document is shuffled
     return written(plan, "mix-plan")
 
 
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds to ``rows`` (__source, __at: key, tie, copy) the columns of their source's plan and __copies, how often
+    the mix repeats each row."""
+    p = plan.withColumnRenamed("source", "__of")
+    joined = rows.join(p, F.col("__source").eqNullSafe(F.col("__of"))).drop("__of")
+    chosen = F.coalesce(F.col("__at") <= F.col("cut"), F.lit(False))
+    done = joined.withColumn("__copies", F.col("epochs") + chosen.cast("long"))
+    if plan.where("going < repeats").isEmpty():
+        return done
+    # a budget ends inside repeats: they are written with numbers of their own, and the first ones go in
+    split = F.coalesce((F.col("__at") == F.col("cut")) & (F.col("going") < F.col("repeats")), F.lit(False))
+    some = written(joined.where(split).withColumn("__id", F.monotonically_increasing_id()), "mix-repeats")
+    numbers = prefix_sums(some.select("__source", "__id", "going", F.lit(1).cast("long").alias("__one")), ["__id"], "__one",
+                          "__before", ["__source"], "mix-numbers")
+    last = written(numbers.where("__before < going").groupBy(F.col("__source").alias("__of"))
+                   .agg(F.max("__id").alias("__last")), "mix-last")
+    some = (some.join(last, F.col("__source").eqNullSafe(F.col("__of")), "left")
+            .withColumn("__copies", F.col("epochs") + F.coalesce(F.col("__id") <= F.col("__last"), F.lit(False)).cast("long")))
+    return done.where(~split).unionByName(some.select(*done.columns))
+
+
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: how often the mix repeats each document."""
     sizes = written(sized(docs), "mix-sizes")
-    s, p = sizes.alias("s"), mix_plan(sizes, **options).alias("p")
-    chosen = F.coalesce(F.struct("s.key", "s.tie", "s.copy") <= F.col("p.cut"), F.lit(False))
-    copies = F.col("p.epochs") + chosen.cast("long")
-    return (s.join(p, F.col("s.source").eqNullSafe(F.col("p.source")))
-            .select("doc_id", "s.source", "size", "source_size", "target", copies.alias("copies"),
-                    (copies * F.col("size")).alias("taken")))
+    keyed = sizes.select("doc_id", F.col("source").alias("__source"), "size", F.struct("key", "tie", "copy").alias("__at"))
+    return (with_copies(keyed, mix_plan(sizes, **options))
+            .select("doc_id", F.col("__source").alias("source"), "size", "source_size", "target", F.col("__copies").alias("copies"),
+                    (F.col("__copies") * F.col("size")).alias("taken")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -123,8 +153,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
                         F.struct(sampling_key(F.col("doc_id"), quality(F.col("text"))).alias("key"),
                                  F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("tie"),
                                  F.xxhash64("text").alias("copy")).alias("__at"))
-    plan = mix_plan(sizes, **options).select(F.col("source").alias("__of"), "epochs", "cut")
-    copies = F.col("epochs").cast("int") + F.coalesce(F.col("__at") <= F.col("cut"), F.lit(False)).cast("int")
-    return (keyed.join(plan, F.col("__source").eqNullSafe(F.col("__of")))
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    return (with_copies(keyed, mix_plan(sizes, **options))
+            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
             .select(*[F.col("__row")[c].alias(c) for c in columns]))
