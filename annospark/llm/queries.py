@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, simhash, topk, toxicity
+from annospark.llm import (html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, runs, simhash, topk,
+                           toxicity)
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +138,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", base).select(
         "doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"))
+
+
+#: A run's words match those one period before, so its stretches of eight words do; islands of equal stretches are runs.
+RUNS_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+crc AS (
+  SELECT DISTINCT doc_id, encode(doc_id::VARCHAR) AS id, 0 AS step, 4294967295::BIGINT AS c FROM rows WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, id, step + 1, xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END::BIGINT)
+  FROM (SELECT doc_id, id, step, CASE WHEN step % 8 = 0
+               THEN xor(c, ('0x' || substr(hex(id), 2 * (step // 8) + 1, 2))::BIGINT) ELSE c END AS b
+        FROM crc WHERE step < 8 * octet_length(id))),
+hashed AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE step = 8 * octet_length(id)),
+planned AS (
+  SELECT r, rows.doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, (h // 10) AS g
+  FROM rows LEFT JOIN hashed USING (doc_id)),
+placed AS (
+  SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM planned),
+changed AS (
+  SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1])
+                            ELSE ws END AS ws FROM placed),
+stretches AS (
+  SELECT r, i, list_aggregate(ws[i + 1:i + 8], 'string_agg', ' ') AS s
+  FROM changed, unnest(range(greatest(n - 7, 0))) u(i)),
+again AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM stretches x JOIN stretches y ON x.r = y.r AND x.s = y.s AND y.i > x.i),
+islands AS (
+  SELECT r, q, min(i) AS start, max(i) - min(i) + 8 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM again) GROUP BY r, q, island),
+runs AS (
+  SELECT r, start, length, min(q) AS q FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY r),
+best AS (
+  SELECT x.* FROM runs x WHERE NOT EXISTS (
+    SELECT 1 FROM runs y WHERE y.r = x.r AND (y.length * x.q > x.length * y.q OR (y.length * x.q = x.length * y.q
+      AND (y.start < x.start OR (y.start = x.start AND y.q < x.q)))))),
+dropped AS (
+  SELECT r, list(DISTINCT i) AS gone FROM runs, unnest(range(start + q, start + length)) u(i) GROUP BY r)
+SELECT c.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.length // b.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(list_aggregate(CASE WHEN gone IS NULL THEN c.ws ELSE list_transform(
+         list_filter(range(n), lambda i: NOT list_contains(gone, i)), lambda i: ws[i + 1]) END, 'string_agg', ' '), '')) AS collapsed_sha256
+FROM changed c LEFT JOIN listed USING (r) LEFT JOIN best b ON b.r = c.r LEFT JOIN dropped d ON d.r = c.r
+"""
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in about a tenth of the documents the words from some place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.greatest(F.size("w"), F.lit(1)).cast("long")
+    g = F.floor(h / 10)
+    chosen = docs.select(F.col("doc_id"), F.col("text"), F.when(h % 10 == 0, words).alias("w"), n.alias("n"), (g % n).alias("a"),
+                         (1 + F.floor((n - g % n) / (3 + g % 8))).alias("p"))
+    root = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    turns = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(root, turns)), 1, (F.col("n") - F.col("a")).cast("int"))
+    made = F.array_join(F.concat(F.slice("w", 1, F.col("a").cast("int")), again), " ")
+    return chosen.select("doc_id", F.when(F.size("w") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@register("op11_periodic_runs", RUNS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(planted_periods(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    top = F.col("top")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
