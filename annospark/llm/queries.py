@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import (html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, runs, simhash, topk,
-                           toxicity)
+from annospark.llm import (collocations, html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, runs,
+                           simhash, topk, toxicity)
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -211,3 +211,36 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
         top["period"].alias("period"), F.expr("1000 * top.length div top.period").alias("exponent_milli"),
         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)),
+counts AS (
+  SELECT lang, k, array_to_string(ws[i + 1:i + k], ' ') AS phrase, count(*) AS f
+  FROM pieces, unnest(range(len(ws))) u(i), (VALUES (1), (2), (3), (4)) v(k) WHERE i + k <= len(ws) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+phrases AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, c, x.f AS l, y.f AS r, 2000000::HUGEINT * p.a // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM phrases) p
+  JOIN counts x ON x.lang = p.lang AND x.phrase = array_to_string(p.ws[1:c], ' ')
+  JOIN counts y ON y.lang = p.lang AND y.phrase = array_to_string(p.ws[c + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS place FROM cuts),
+inner_ AS (
+  SELECT lang, array_to_string(ws[s + 1:s + m], ' ') AS phrase, max(a) AS most
+  FROM phrases, (VALUES (2), (3)) v(m), unnest(range(3)) u(s) WHERE m < k AND s + m <= k GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+  FROM best b JOIN totals USING (lang) LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE place = 1 AND (most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", PHRASES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
