@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annospark.llm import (collocations, html_content, licenses, mixing, packing, pii, pu_quality, quality_rules, runs,
-                           simhash, topk, toxicity)
+from annospark.llm import (collocations, html_content, licenses, mixing, nnls_packing, packing, pii, pu_quality,
+                           quality_rules, runs, simhash, topk, toxicity)
 from annospark.llm.common import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -244,3 +244,8 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE
 @register("op12_collocations", PHRASES_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op13_nnls_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.packed_pieces(table(spark, sf_dir, "documents"))
