@@ -1,10 +1,11 @@
 """Column expressions for Fisher's exact test (two-sided), JVM-side only.
 
-The DataFrame-level assembly (windows exploded into rows, running sums,
-per-table aggregation) is in ``annospark.operators.enrichment.fisher_columns``.
+The DataFrame-level assembly (chunks of the support, one aggregation per table)
+is in ``annospark.operators.enrichment.fisher_columns``.
 
-Spark has no ``lgamma``; ``log_factorial`` uses exact ``ln(n!)`` up to 20 and
-the Stirling series above (absolute error far below 1e-10 for every n).
+Spark has no ``lgamma``.  Log-probabilities are written with binomial deviances
+and the small errors of Stirling's formula (Loader's saddle-point form), so no
+large logarithms cancel: their absolute error stays near 1e-10 at counts of 10^12.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql import functions as F
 
 # Fixed numerical constants of the two-sided test.
 TIE_TOLERANCE = 1e-7          # relative tolerance when comparing table probabilities
-WINDOW_SIGMAS = 40.0          # half window around mode/observed cell, in standard deviations
-WINDOW_SLACK = 100            # extra cells on each side of the window
+LEAST_LOG = -746.0            # exp of it is exactly 0 in double
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 
 
@@ -44,108 +44,90 @@ def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
             .otherwise(a.cast("double") * d.cast("double") / bc))
 
 
-def _stirling_tail(x: Column) -> Column:
+def stirling_error(x: Column) -> Column:
+    """ln(x!) minus Stirling's main term, x >= 1 (double)."""
     x2 = x * x
-    return (F.lit(1.0) / (x * 12.0) - F.lit(1.0) / (x * x2 * 360.0)
-            + F.lit(1.0) / (x * x2 * x2 * 1260.0) - F.lit(1.0) / (x * x2 * x2 * x2 * 1680.0))
-
-
-def log_factorial_diff(a: Column, b: Column) -> Column:
-    """ln(a!) - ln(b!) without cancellation when a and b are large and close.
-
-    With x=a+1, y=b+1 the Stirling difference is rewritten as
-    (y-1/2)*log1p((x-y)/y) + (x-y)*(ln x - 1) + tail(x) - tail(y).
-    """
-    x = a.cast("double") + F.lit(1.0)
-    y = b.cast("double") + F.lit(1.0)
-    main = (y - 0.5) * F.log1p((x - y) / y) + (x - y) * (F.log(x) - F.lit(1.0))
-    return F.when(F.least(a, b) <= 20, log_factorial(a) - log_factorial(b)).otherwise(
-        main + _stirling_tail(x) - _stirling_tail(y))
-
-
-def fisher_window_scalars(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
-    """Per-table support bounds, mode, half window and the 'far' flag (see ``fisher_windows``)."""
-    n1 = a + c
-    n2 = b + d
-    r = a + b
-    n = n1 + n2
-    nd = n.cast("double")
-    frac = n1.cast("double") / nd
-    var = (r.cast("double") * frac * (F.lit(1.0) - frac) * (nd - r.cast("double"))
-           / F.greatest(nd - 1.0, F.lit(1.0)))
-    half = (F.ceil(F.sqrt(F.greatest(var, F.lit(0.0))) * WINDOW_SIGMAS) + WINDOW_SLACK).cast("long")
-    # in doubles: the product of two longs overflows; the window's slack covers the rounding
-    mode = F.floor((r + 1).cast("double") * ((n1 + 1).cast("double") / (n + 2).cast("double"))).cast("long")
-    return {"_lo": F.greatest(F.lit(0).cast("long"), r - n2), "_hi": F.least(r, n1), "_mode": mode,
-            "_half": half, "_far": F.abs(a - mode) * 2 > half}
-
-
-def fisher_mirror_cell(a: Column, n1: Column, n2: Column, r: Column, lp_obs: Column, lo: Column, hi: Column,
-                       mode: Column, far: Column) -> Column:
-    """k*: the cell on the other side of the mode where the (log-concave) pmf
-    falls to the observed table's probability; found by a 64-step bisection
-    and only evaluated for tables far from the mode.  Null when no such cell.
-
-    Arguments are attributes (staged projections keep the lambda small).  The
-    search compares ln P(k) = const - [lf(k) + lf(n1-k) + lf(r-k) + lf(n2-r+k)]
-    with a short Stirling form: it only has to place k* within the
-    ``WINDOW_SLACK`` margin, because the mirror window is then anchored at k*
-    with an exact offset.
-    """
-    n = n1 + n2
-
-    def lf(m: Column) -> Column:
-        # short Stirling form (abs. error < 0.002): enough to place k* within the slack
-        x = m.cast("double") + F.lit(1.0)
-        return (x - 0.5) * F.log(x) - x + F.lit(_HALF_LOG_2PI) + F.lit(1.0) / (x * 12.0)
-    const = lf(n1) + lf(n2) - lf(n) + lf(r) + lf(n - r)
-    bound = lp_obs + F.lit(TIE_TOLERANCE) - const
-
-    def ok(k: Column) -> Column:
-        return -(lf(k) + lf(n1 - k) + lf(r - k) + lf(n2 - r + k)) <= bound
-
-    def step(rising: bool):
-        def f(acc, _):
-            mid = F.floor((acc["l"] + acc["h"]) / 2).cast("long")
-            low = ok(mid) if rising else ~ok(mid)
-            moved = F.when(low, F.struct(mid.alias("l"), acc["h"].alias("h"))).otherwise(
-                F.struct(acc["l"].alias("l"), mid.alias("h")))
-            return F.when(acc["h"] - acc["l"] <= 1, acc).otherwise(moved)
-        return f
-    iters = F.sequence(F.lit(1), F.lit(64))
-    rising = F.aggregate(iters, F.struct((lo - 1).alias("l"), mode.alias("h")), step(True))
-    falling = F.aggregate(iters, F.struct(mode.alias("l"), (hi + 1).alias("h")), step(False))
-    k = F.when(far & (a > mode), rising["l"]).when(far & (a < mode), falling["h"])
-    return F.when((k >= lo) & (k <= hi), k)
-
-
-def fisher_windows(a: Column, kstar: Column, lo: Column, hi: Column, mode: Column, half: Column,
-                   far: Column) -> list[Column]:
-    """Cells to sum for the two-sided p as two windows [a0, a1] (around the
-    observed cell ``a``) and [b0, b1] (around the mirror cell k*).
-
-    The pmf is unimodal (log-concave): the tables not more likely than the
-    observed one are the tail beyond ``a`` and the tail beyond k*.  When ``a``
-    is within two half-widths of the mode one window around both is used
-    (this also covers near-ties on flat distributions).  Otherwise each tail
-    gets its own window of ``WINDOW_SIGMAS`` standard deviations, so the work
-    no longer grows with the distance between the observed cell and the mode.
-    """
-    slack = F.lit(WINDOW_SLACK).cast("long")
-    a0 = F.when(far, F.when(a > mode, a - slack).otherwise(a - half)).otherwise(F.least(a, mode) - half)
-    a1 = F.when(far, F.when(a > mode, a + half).otherwise(a + slack)).otherwise(F.greatest(a, mode) + half)
-    b0 = F.when(a > mode, kstar - half).otherwise(F.greatest(kstar - slack, a + slack + 1))
-    b1 = F.when(a > mode, F.least(kstar + slack, a - slack - 1)).otherwise(kstar + half)
-    return [F.greatest(lo, a0), F.least(hi, a1), F.greatest(lo, b0), F.least(hi, b1)]
-
-
-def log_table_probability(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """ln P([[a, b], [c, d]] | margins) = ln C(a+c, a) + ln C(b+d, b) - ln C(n, a+b),
-    written with ``log_factorial_diff`` so that large, close factorials cancel
-    without loss."""
-    return (log_factorial_diff(a + c, c) - log_factorial(a)
-            + log_factorial_diff(b + d, d) - log_factorial(b)
-            + log_factorial(a + b) - log_factorial_diff(a + b + c + d, c + d))
+    series = (F.lit(1.0) / (x * 12.0) - F.lit(1.0) / (x * x2 * 360.0)
+              + F.lit(1.0) / (x * x2 * x2 * 1260.0) - F.lit(1.0) / (x * x2 * x2 * x2 * 1680.0))
+    exact = (F.log(F.factorial(F.least(x, F.lit(20.0)).cast("int")).cast("double"))
+             - (x + 0.5) * F.log(x) + x - F.lit(_HALF_LOG_2PI))
+    return F.when(x <= 20.0, exact).otherwise(series)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, so that the expression does not grow with its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x, without cancellation where x is near the mean (null outside the support)."""
+    def near(v: Column) -> Column:
+        def series(v2: Column) -> Column:
+            total = F.lit(0.0)
+            for k in range(9, 0, -1):  # |v| < 0.1: further terms are below the last bit
+                total = v2 * (F.lit(1.0 / (2 * k + 1)) + total)
+            return (x - mean) * v + 2.0 * x * v * total
+        return F.when(F.abs(v) < 0.1, let(v * v, series)).otherwise(x * F.log(F.try_divide(x, mean)) + mean - x)
+    return F.when(x == 0.0, mean).otherwise(let(F.try_divide(x - mean, x + mean), near))
+
+
+def log_binomial(x: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the probability of x successes in n trials, p + q = 1 (doubles)."""
+    def inner(np: Column) -> Column:
+        return let(n * q, lambda nq: stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, np)
+                   - deviance(n - x, nq) - F.lit(_HALF_LOG_2PI) - 0.5 * (F.log(x) + F.log1p(F.try_divide(-x, n))))
+    none = F.when(p < 0.1, -deviance(n, n * q) - n * p).otherwise(n * F.log(q))
+    every = F.when(q < 0.1, -deviance(n, n * p) - n * q).otherwise(n * F.log(p))
+    return (F.when(n == 0.0, F.lit(0.0)).when(x == 0.0, none).when(x == n, every).otherwise(let(n * p, inner)))
+
+
+def log_hypergeometric(k: Column, n1: Column, n2: Column, r: Column) -> Column:
+    """ln of the probability that k of r draws are among n1 of n1 + n2, for k in the support."""
+    def of(v: Column) -> Column:
+        k, n1, n2, r, n = (v[c] for c in ("k", "n1", "n2", "r", "n"))
+
+        def parts(w: Column) -> Column:
+            p, q = w["p"], w["q"]
+            return log_binomial(k, n1, p, q) + log_binomial(w["rest"], n2, p, q) - log_binomial(r, n, p, q)
+        return let(F.struct((r / n).alias("p"), ((n - r) / n).alias("q"), (r - k).alias("rest")), parts)
+    total = F.greatest((n1 + n2).cast("double"), F.lit(1.0))
+    return let(F.struct(*[c.cast("double").alias(name) for c, name in ((k, "k"), (n1, "n1"), (n2, "n2"), (r, "r"))],
+                        total.alias("n")), of)
+
+
+def hypergeometric_mode(n1: Column, n2: Column, r: Column) -> Column:
+    """The likeliest cell (to within one cell where its neighbour is as likely in double)."""
+    # in doubles: the product of two longs overflows
+    mode = F.floor((r + 1).cast("double") * ((n1 + 1).cast("double") / (n1 + n2 + 2).cast("double"))).cast("long")
+    return F.greatest(F.greatest(F.lit(0).cast("long"), r - n2), F.least(mode, F.least(r, n1)))
+
+
+def first_below(value, limit: Column, low: Column, high: Column) -> Column:
+    """The first j in [low, high) with value(j) <= limit, for falling values; ``high`` if there is none."""
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2((high - low + 2).cast("double"))).cast("int") + 1)
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["l"] + acc["h"]) / 2).cast("long")
+        moved = F.when(value(mid) <= limit, F.struct(acc["l"].alias("l"), mid.alias("h"))).otherwise(
+            F.struct((mid + 1).alias("l"), acc["h"].alias("h")))
+        return F.when(acc["l"] >= acc["h"], acc).otherwise(moved)
+    return F.aggregate(rounds, F.struct(low.cast("long").alias("l"), high.cast("long").alias("h")), halve)["h"]
+
+
+def chunk_mass(anchor: Column, side: Column, length: Column, limit: Column, n1: Column, n2: Column, r: Column) -> Column:
+    """Sum of P(k) / P(anchor) over ``length`` cells from ``anchor`` outwards (side +1 or -1), by the ratio of
+    neighbouring cells; only cells with P(k) / P(anchor) <= ``limit`` count."""
+    a1, a2, ar, at = n1.cast("double"), n2.cast("double"), r.cast("double"), anchor.cast("double")
+
+    def step(acc: Column, x: Column) -> Column:
+        k = at + side * x
+        ratio = F.when(side > 0, (a1 - k) * (ar - k) / ((k + 1.0) * (a2 - ar + k + 1.0))).otherwise(
+            k * (a2 - ar + k) / ((a1 - k + 1.0) * (ar - k + 1.0)))
+        term = acc["t"]
+        return F.struct((term * ratio).alias("t"),
+                        (acc["s"] + F.when(term <= limit, term).otherwise(F.lit(0.0))).alias("s"))
+    cells = F.sequence(F.lit(0), length.cast("int") - 1)
+    return F.aggregate(cells, F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), step)["s"]
 
 
 def fisher_degenerate(a: Column, b: Column, c: Column, d: Column) -> Column:

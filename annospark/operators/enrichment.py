@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.functions.stats import (TIE_TOLERANCE, WINDOW_SLACK, fisher_degenerate, fisher_mirror_cell,
-                                       fisher_window_scalars, fisher_windows, log_table_probability, odds_ratio)
+from annospark.functions.stats import (LEAST_LOG, TIE_TOLERANCE, chunk_mass, first_below, fisher_degenerate,
+                                       hypergeometric_mode, log_hypergeometric, odds_ratio)
 from annospark.operators import ontology as onto
 from annospark.session import cut_lineage
 
@@ -73,25 +73,8 @@ def contingency(target: DataFrame, background: DataFrame, term: str = "term",
 
 
 CELLS = ["tp", "tn", "fp", "fn"]
-
-
-def _relative_mass(support: DataFrame, anchor: Column, offset: Column, win_cols: Sequence[str]) -> DataFrame:
-    """Sum of P(k)/P(observed) over the exploded cells ``_k`` that are not more
-    likely than the observed table.  ln P(k) relative to the window's
-    ``anchor`` is a running sum of ln P(k+1)/P(k) over a window partitioned by
-    (table, window); ``offset`` = ln P(anchor) - ln P(observed)."""
-    a = F.col("tp")
-    n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
-    support = support.withColumn(
-        "_step", F.log((n1 - k).cast("double")) + F.log((r - k).cast("double"))
-        - F.log((k + 1).cast("double")) - F.log((n2 - r + k + 1).cast("double")))
-    by_win = Window.partitionBy(*CELLS, *win_cols)
-    running = by_win.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    rel = (support
-           .withColumn("_cum", F.coalesce(F.sum("_step").over(running), F.lit(0.0)))
-           .withColumn("_d", F.col("_cum") - F.max(F.when(k == anchor, F.col("_cum"))).over(by_win) + offset)
-           .where(F.col("_d") <= TIE_TOLERANCE))
-    return rel.groupBy(*CELLS).agg(F.sum(F.exp(F.col("_d"))).alias("_s"))
+#: Cells of the support summed in one row.
+CHUNK = 256
 
 
 def contingency_flagged(ann: DataFrame, flag: Column, term: str = "term") -> DataFrame:
@@ -124,72 +107,66 @@ def contingency_partitioned(ann: DataFrame, group: str, term: str = "term") -> D
             .drop("_t_total"))
 
 
-def fisher_columns(table: DataFrame) -> DataFrame:
-    """G4 on a table with tp, tn, fp, fn: adds odds_ratio and p_value.
-
-    The p-value is computed once per distinct table (the distinct set is
-    term-sized and checkpointed).  Tables not more likely than the observed one
-    lie in the tail beyond the observed cell and the tail beyond its mirror
-    cell k* on the other side of the mode (the pmf is log-concave):
+def support_chunks(tables: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The cells of each table that can count for its p-value, as rows of up to ``chunk`` neighbouring cells:
+    ``_at`` (the cell nearest the mode), ``_side`` (+1 or -1), ``_length``.
 
-    * observed cell near the mode (the common case): one window of
-      ``WINDOW_SIGMAS`` standard deviations around both, which holds the mirror
-      cell, is exploded into rows;
-    * observed cell far from the mode (a strongly enriched, heavily annotated
-      term): k* is found by bisection and only the two tails get windows, so
-      the work does not grow with the distance to the mode.  This branch is
-      planned only when such tables exist.
-
-    Relative log-probabilities come from running sums of ln P(k+1)/P(k) over a
-    window partitioned by table; the rows are already hash-partitioned by the
-    table after ``distinct``, so no extra shuffle is needed.
+    On either side of the mode the probabilities fall outwards.  A side of more
+    than two chunks is cut by bisection on the exact log-probability: at its
+    inner end to the first cell that may be no more likely than the observed
+    one, at its outer end to the last whose probability, relative to the
+    observed one, is not exactly 0 in double.  The number of chunks follows
+    from the standard deviation, not from the distance to the mode.
     """
+    n1, n2, r, side, mode = (F.col(c) for c in ("_n1", "_n2", "_r", "_side", "_mode"))
     a, b, c, d = (F.col(x) for x in CELLS)
-    n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
+    t = tables.select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"))
+    t = t.select("*", hypergeometric_mode(n1, n2, r).alias("_mode"), log_hypergeometric(a, n1, n2, r).alias("_lp"))
+    above = F.struct(F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_from"), (F.least(r, n1) - mode + 1).alias("_to"))
+    below = F.struct(F.lit(-1).alias("_side"), F.lit(1).cast("long").alias("_from"),
+                     (mode - F.greatest(F.lit(0).cast("long"), r - n2) + 1).alias("_to"))
+    t = t.select("*", F.inline(F.array(above, below))).where("_to > _from")
+
+    def log_p(j: Column) -> Column:
+        return log_hypergeometric(mode + side * j, n1, n2, r)
+    start, stop = F.col("_from"), F.col("_to")
+    # a short side is summed whole, unless the ratio of its first cell to the observed one nears the largest double
+    t = t.withColumn("_cut", (stop - start > 2 * chunk) | (log_p(start) - F.col("_lp") > -LEAST_LOG / 2))
+    # the cells at the inner end are compared one by one, so the bisection only has to err inwards
+    inner = F.when(F.col("_cut"), first_below(log_p, F.col("_lp") + 10 * TIE_TOLERANCE, start, stop)).otherwise(start)
+    t = t.withColumn("_from", inner).where("_to > _from")
+    outer = F.when(F.col("_cut"), first_below(log_p, F.col("_lp") + LEAST_LOG, start, stop)).otherwise(stop)
+    t = t.withColumn("_to", outer).where("_to > _from")
+    t = t.withColumn("_j", F.explode(F.sequence(start, stop - 1, F.lit(chunk).cast("long"))))
+    return t.select("*", (mode + side * F.col("_j")).alias("_at"),
+                    F.least(F.lit(chunk).cast("long"), stop - F.col("_j")).alias("_length"))
+
+
+def fisher_columns(table: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """G4 on a table with tp, tn, fp, fn: adds odds_ratio, log_p and p_value.
+
+    The p-value is computed once per distinct table.  Its support is cut into
+    chunks (``support_chunks``); a chunk is anchored by the exact
+    log-probability of its likeliest cell and summed by the ratio recurrence in
+    one expression; the chunks of a table are merged on the log scale, relative
+    to the observed cell, in one aggregation.
+    """
+    a, b, c, d = (F.col(x) for x in CELLS)
+    n1, n2, r = F.col("_n1"), F.col("_n2"), F.col("_r")
     table = cut_lineage(table)   # term-sized; read by distinct and by the join
-    sc = fisher_window_scalars(a, b, c, d)
-    tables = cut_lineage(table.select(*CELLS).distinct()
-                         .select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"),
-                                 *[v.alias(n) for n, v in sc.items()]))
-    lo, hi, mode, half, far = (F.col(x) for x in ("_lo", "_hi", "_mode", "_half", "_far"))
-    near = tables.where(~far).select(
-        *CELLS, "_n1", "_n2", "_r",
-        F.explode(F.sequence(F.greatest(lo, F.least(a, mode) - half), F.least(hi, F.greatest(a, mode) + half))).alias("_k"))
-    masses = [_relative_mass(near, a, F.lit(0.0), [])]
-    far_tables = tables.where(far)
-    if not far_tables.isEmpty():
-        masses.append(_far_mass(far_tables))
-    mass = masses[0] if len(masses) == 1 else masses[0].unionByName(masses[1])
+    chunks = support_chunks(table.select(*CELLS).distinct(), chunk)
+    chunks = chunks.withColumn("_d", log_hypergeometric(F.col("_at"), n1, n2, r) - F.col("_lp"))
+    mass = F.exp(F.col("_d")) * chunk_mass(F.col("_at"), F.col("_side"), F.col("_length"),
+                                           F.exp(F.lit(TIE_TOLERANCE) - F.col("_d")), n1, n2, r)
+    sums = chunks.groupBy(*CELLS).agg(F.first("_lp").alias("_lp"), F.sum(mass).alias("_s"))
     # log_p stays finite where p itself is below the least double
     log_p = (F.when(fisher_degenerate(a, b, c, d), F.lit(0.0))
-             .otherwise(F.least(F.lit(0.0), log_table_probability(a, b, c, d) + F.log(F.col("_s")))))
-    pvals = mass.select(*CELLS, log_p.alias("log_p")).withColumn("p_value", F.exp("log_p"))
+             .otherwise(F.least(F.lit(0.0), F.col("_lp") + F.log(F.col("_s")))))
+    pvals = sums.select(*CELLS, log_p.alias("log_p")).withColumn("p_value", F.exp("log_p"))
     return (table.join(pvals, on=CELLS, how="inner")
             .withColumn("odds_ratio", odds_ratio(a, b, c, d)))
 
 
-def _far_mass(far_tables: DataFrame) -> DataFrame:
-    """Relative tail mass of tables whose observed cell is far from the mode."""
-    a, b, c, d = (F.col(x) for x in CELLS)
-    n1, n2, r, k = F.col("_n1"), F.col("_n2"), F.col("_r"), F.col("_k")
-    lo, hi, mode, half, far = (F.col(x) for x in ("_lo", "_hi", "_mode", "_half", "_far"))
-    t = far_tables.select("*", log_table_probability(a, b, c, d).alias("_lp_obs"))
-    t = t.select("*", fisher_mirror_cell(a, n1, n2, r, F.col("_lp_obs"), lo, hi, mode, far).alias("_kstar"))
-    a0, a1, b0, b1 = fisher_windows(a, F.col("_kstar"), lo, hi, mode, half, far)
-    t = t.select("*", a0.alias("_a0"), a1.alias("_a1"), b0.alias("_b0"), b1.alias("_b1"))
-    has_b = F.col("_kstar").isNotNull() & (F.col("_b1") >= F.col("_b0"))
-    ks = F.col("_kstar")
-    t = t.withColumn("_delta", F.when(has_b, log_table_probability(ks, r - ks, n1 - ks, n2 - r + ks)
-                                      - F.col("_lp_obs")))
-    own = t.select(*CELLS, "_n1", "_n2", "_r", F.lit(0).alias("_win"), F.lit(None).cast("double").alias("_delta"),
-                   F.explode(F.sequence(F.col("_a0"), F.col("_a1"))).alias("_k"))
-    mirror = t.where(has_b).select(*CELLS, "_n1", "_n2", "_r", F.lit(1).alias("_win"), "_kstar", "_delta",
-                                   F.explode(F.sequence(F.col("_b0"), F.col("_b1"))).alias("_k"))
-    m_own = _relative_mass(own, a, F.lit(0.0), ["_win"])
-    m_mirror = _relative_mass(mirror, F.col("_kstar"), F.col("_delta"), ["_win"])
-    return m_own.unionByName(m_mirror).groupBy(*CELLS).agg(F.sum("_s").alias("_s"))
-
-
 def fisher_test(target: DataFrame, background: DataFrame, term: str = "term",
                 group_cols: Sequence[str] = ()) -> DataFrame:
     """G1-G4 composed."""

@@ -117,3 +117,34 @@ def test_interval_join_in_many_buckets(spark):
     got = sorted((r.entry, r.seq_start, r.seq_end, r.struct_id, r.inter) for r in got.collect())
     assert got == sorted((e, a, b, i, min(b, d) - max(a, c)) for e, a, b in dom for f, i, c, d in struct
                          if e == f and min(b, d) > max(a, c))
+
+
+def test_fisher_at_counts_of_ten_to_the_twelfth(spark):
+    # margins of 10^12: one cell off the mode, a few standard deviations off, and far off
+    from annospark.functions import stats
+    def spread(margin):   # of the hypergeometric with two such margins out of twice as many
+        return math.sqrt(margin / 8)
+    tables = [(margin // 2, int(z * spread(margin)), z) for margin, z in ((10 ** 9, 1.0), (10 ** 10, 4.0), (10 ** 12, 30.0))]
+    frame = spark.createDataFrame([(h + x, h - x, h - x, h + x) for h, x, _ in tables], "tp long, tn long, fp long, fn long")
+    got = {r.tp: r for r in enr.fisher_columns(frame).collect()}
+    for h, off, z in tables:
+        # the normal limit with half a cell of continuity holds to 1e-5 at this size
+        x = (off - 0.5) / spread(2 * h)
+        tail = (math.log(math.erfc(x / math.sqrt(2))) if z < 20 else
+                -x * x / 2 - math.log(x * math.sqrt(math.pi / 2)) + math.log1p(-1 / x ** 2 + 3 / x ** 4))
+        assert got[h + off].log_p == pytest.approx(tail, rel=1e-5)
+    half, sd = 5 * 10 ** 11, spread(10 ** 12)
+    small = spark.createDataFrame([(10 ** 12, 3 * 10 ** 12, 10 ** 9, 0)], "tp long, tn long, fp long, fn long")
+    assert math.isfinite(enr.fisher_columns(small).first().log_p)
+    lp = stats.log_hypergeometric(F.col("k"), F.col("n1"), F.col("n2"), F.col("r"))
+    row = spark.createDataFrame([(half, 2 * half, 2 * half, 2 * half)], "k long, n1 long, n2 long, r long").select(lp).first()[0]
+    assert row == pytest.approx(-0.5 * math.log(2 * math.pi * sd * sd), abs=1e-8)
+
+
+def test_fisher_chunks_do_not_depend_on_their_width(spark):
+    rnd = random.Random(11)
+    tables = [tuple(rnd.choice([0, 1, rnd.randint(0, 40), rnd.randint(0, 4000)]) for _ in range(4)) for _ in range(80)]
+    frame = spark.createDataFrame(tables, "tp long, tn long, fp long, fn long")
+    runs = [{(r.tp, r.tn, r.fp, r.fn): r.log_p for r in enr.fisher_columns(frame, chunk).collect()} for chunk in (1, 7, 256)]
+    for t in runs[0]:
+        assert runs[0][t] == pytest.approx(runs[2][t], abs=1e-9) and runs[1][t] == pytest.approx(runs[2][t], abs=1e-9)
