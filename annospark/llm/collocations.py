@@ -9,9 +9,10 @@ phrase), that is by prefix, so that a hot prefix spans many partitions, and
 merged there.
 
 A phrase that counts has only parts that count.  So words are counted first,
-then pairs of words that count, then longer phrases of pairs that count.  The
-tasks know the earlier level by a bit table of hashes of bounded size: a
-false hit costs a count, never a result.  Counts are exact.
+then hashes of pairs of words that count; a pair occurs at most as often as its
+hash.  Phrases are counted only where all their words and pairs may count.  The
+tasks know both by bit tables of bounded size: a false hit costs a count, never
+a result.  Counts are exact.
 
 Defined results: null, empty and white-space texts have no words; a null lang
 is ``und``; repeated rows count each; ties are in the order given; an empty
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,9 @@ from annospark.llm.common import written
 LONGEST, LEAST, SHARE, FIRST = 4, 30, (80, 100), 2000
 SCALE = 2_000_000
 #: Phrases in a task's trie before it spills; words of a task before all is spilled; entries before a container bursts.
-HELD, VOCABULARY, BURST = 500_000, 400_000, 20_000
+HELD, VOCABULARY, BURST = 300_000, 250_000, 20_000
 #: Bytes of text split at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Bits of the table of an earlier level: 16 for each phrase, up to 8 MB.
 BITS, MOST_BITS = 16, 26
 #: Groups in which a language is ranked first.
@@ -48,6 +50,10 @@ _CUT = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
 #: Stands for a cut; no lower-cased text holds it.
 _BREAK = b"A"
 _ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Bits of a pair's hash; pairs with equal hashes are counted together before the exact count.
+PAIR_BITS = 40
+#: Pair hashes of a task before they are emitted.
+PAIRS_HELD = 500_000
 RUNS = "lang string, phrase string, k int, f long"
 
 
@@ -57,22 +63,25 @@ def word_hash(lang: bytes, word: bytes) -> int:
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     mixed = left * _ODD1 + right
-    return (mixed ^ (mixed >> np.uint64(29))) * _ODD2
+    return ((mixed ^ (mixed >> np.uint64(29))) * _ODD2) >> np.uint64(64 - PAIR_BITS)
 
 
 class Bits:
-    """A table of 2^log bits, set at the leading bits of hashes."""
+    """A table of 2^log bits, two of them set for each key."""
 
     def __init__(self, log: int, packed: np.ndarray):
         self.log, self.packed = log, packed
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.log)
-        return (self.packed[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.uint64(64 - self.log)
+        return (keys * _ODD1) >> shift, ((keys + _ODD1) * _ODD2) >> shift
 
-    def has_one(self, value: int) -> bool:
-        at = value >> (64 - self.log)
-        return bool(int(self.packed[at >> 6]) >> (at & 63) & 1)
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        one, two = (self.packed[at >> np.uint64(6)] >> (at & np.uint64(63)) for at in self.places(keys))
+        return one & two & np.uint64(1) == 1
+
+    def has_one(self, key: int) -> bool:
+        return bool(self.has(np.array([key], np.uint64))[0])
 
 
 class Words(dict):
@@ -82,17 +91,21 @@ class Words(dict):
         super().__init__({_BREAK: -1})
         self.task, self.lang = task, lang
 
-    def __missing__(self, word: bytes) -> int:
+    def learn(self, parts: list[bytes]) -> None:
+        """Ids for the new ones among ``parts``."""
         task = self.task
-        hashed = word_hash(self.lang, word)
-        if task.words is not None and not task.words.has_one(hashed):
-            self[word] = -1
-            return -1
-        self[word] = at = len(task.names)
-        task.names.append(word)
-        task.langs.append(self.lang)
-        task.hashes.append(hashed)
-        return at
+        new = [w for w in set(parts) if w not in self]
+        if not new:
+            return
+        if task.words is not None:
+            hashes = np.array([word_hash(self.lang, w) for w in new], np.uint64)
+            known = task.words.has(hashes)
+            self.update((w, -1) for w, k in zip(new, known.tolist(), strict=True) if not k)
+            new = [w for w, k in zip(new, known.tolist(), strict=True) if k]
+            task.hashes = np.concatenate([task.hashes, hashes[known]])
+        self.update(zip(new, range(len(task.names), len(task.names) + len(new)), strict=True))
+        task.names += new
+        task.langs += [self.lang] * len(new)
 
 
 class Task:
@@ -109,9 +122,10 @@ class Task:
         self.burst_nodes: set[int] = set()
         self.names: list[bytes] = []
         self.langs: list[bytes] = []
-        self.hashes: list[int] = []
+        self.hashes = np.zeros(0, np.uint64)
         self.split: dict[bytes, Words] = {}
         self.singles = np.zeros(0, np.int64)
+        self.hashed: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def known(self) -> int:
@@ -119,6 +133,7 @@ class Task:
 
     def ids(self, lang: bytes, words: list[bytes | None]) -> np.ndarray:
         known = self.split.setdefault(lang, Words(self, lang))
+        known.learn([w for w in words if w is not None])
         return np.array([-1 if w is None else known[w] for w in words], np.int64)
 
     def add(self, lang: bytes, text: bytes, before: np.ndarray) -> np.ndarray:
@@ -127,6 +142,7 @@ class Task:
         if words is None:
             words = self.split[lang] = Words(self, lang)
         parts = text.lower().translate(_CUT).replace(b"\n", b" A ").split()
+        words.learn(parts)
         ids = np.concatenate([before, np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))])
         if self.lengths == (1,):
             seen = np.bincount(ids[len(before):] + 1, minlength=len(self.names) + 1)[1:]
@@ -139,10 +155,14 @@ class Task:
 
     def count(self, ids: np.ndarray, before: int) -> None:
         joined = (ids[:-1] >= 0) & (ids[1:] >= 0)
-        if self.pairs is not None:
-            at = np.flatnonzero(joined)
-            hashes = np.array(self.hashes, np.uint64)
-            joined[at] = self.pairs.has(pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
+        at = np.flatnonzero(joined)
+        hashes = pair_hash(self.hashes[ids[at]], self.hashes[ids[at + 1]])
+        if self.pairs is None:   # only hashes of pairs are counted
+            keys, times = np.unique(hashes[at + 2 > before], return_counts=True)
+            self.hashed.append((keys, times))
+            self.size += len(keys)
+            return
+        joined[at] = self.pairs.has(hashes)
         firsts, rests = [], []
         good = joined
         for k in range(2, max(self.lengths) + 1):
@@ -160,7 +180,7 @@ class Task:
         first, rest = np.concatenate(firsts), np.concatenate(rests)
         if not len(first):
             return
-        order = np.argsort(first << _ID | rest >> 2 * _ID) if self.lengths == (2,) else np.lexsort((rest, first))
+        order = np.lexsort((rest, first))
         first, rest = first[order], rest[order]
         new = np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))
         heads = np.flatnonzero(new)
@@ -203,7 +223,7 @@ class Task:
             else:
                 leaves.append((len(node), name, -1))
         leaves.sort(reverse=True)
-        rows = []
+        taken, held = [], 0
         for size, name, second in leaves:
             if self.size <= least:
                 break
@@ -215,36 +235,51 @@ class Task:
                     del self.root[name]
                     self.burst_nodes.discard(name)
             self.size -= size
-            head, lang, names, mask = self.names[name], self.langs[name], self.names, (1 << _ID) - 1
-            for r, n in container.items():
-                parts = [head, names[(r >> 2 * _ID) - 1]]
-                if third := r >> _ID & mask:
-                    parts.append(names[third - 1])
-                    if fourth := r & mask:
-                        parts.append(names[fourth - 1])
-                rows.append((lang, b" ".join(parts), len(parts), n))
-            if len(rows) > 200_000:
-                yield _run(rows)
-                rows = []
-        if rows:
-            yield _run(rows)
+            taken.append((name, container))
+            held += size
+            if held > 200_000:
+                yield self.run(taken)
+                taken, held = [], 0
+        if taken:
+            yield self.run(taken)
+
+    def run(self, taken: list[tuple[int, dict[int, int]]]) -> pa.RecordBatch:
+        """One sorted run of whole subtrees."""
+        names, langs = pa.array(self.names, pa.binary()), pa.array(self.langs, pa.binary())
+        sizes = [len(c) for _, c in taken]
+        total = sum(sizes)
+        rest = np.fromiter((r for _, c in taken for r in c), np.int64, total)
+        times = np.fromiter((n for _, c in taken for n in c.values()), np.int64, total)
+        ids = [np.repeat(np.array([name for name, _ in taken], np.int64), sizes)]
+        ids += [((rest >> _ID * (2 - j)) & ((1 << _ID) - 1)) - 1 for j in range(3)]
+        words = [names.take(pa.array(i, mask=i < 0)) for i in ids]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.binary()), null_handling="skip")
+        k = sum((i >= 0).astype(np.int32) for i in ids)
+        return _sorted(langs.take(pa.array(ids[0])), phrase, k, times)
 
     def all_spilled(self) -> Iterator[pa.RecordBatch]:
         if self.lengths == (1,):
-            rows = [(lang, name, 1, n) for lang, name, n in zip(self.langs, self.names, self.singles.tolist(), strict=True)]
-            if rows:
-                yield _run(rows)
+            if self.names:
+                yield _sorted(pa.array(self.langs, pa.binary()), pa.array(self.names, pa.binary()),
+                              np.ones(len(self.names), np.int32), self.singles)
+        elif self.hashed:
+            keys = np.concatenate([h for h, _ in self.hashed])
+            times = np.concatenate([n for _, n in self.hashed])
+            order = np.argsort(keys)
+            keys = keys[order]
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+            if len(heads):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[heads].astype(np.int64)),
+                                                  pa.array(np.add.reduceat(times[order], heads))], ["h", "f"])
         else:
             yield from self.spilled(0)
         self.clear()
 
 
-def _run(rows: list[tuple]) -> pa.RecordBatch:
-    rows.sort()
-    columns = list(zip(*rows, strict=True))
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-    arrays = [pa.array(c, pa.binary()).cast(k) if k == pa.string() else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "k", "f"])
+def _sorted(lang: pa.Array, phrase: pa.Array, k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    run = pa.RecordBatch.from_arrays([lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(k), pa.array(f)],
+                                     ["lang", "phrase", "k", "f"])
+    return run.take(pc.sort_indices(run, [("lang", "ascending"), ("phrase", "ascending")]))
 
 
 def slices(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[bytes, bool]]:
@@ -270,7 +305,10 @@ def slices(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[bytes, bool]
 
 def counted_runs(docs: DataFrame, lengths: tuple[int, ...], words: Broadcast | None = None, pairs: Broadcast | None = None,
                  held: int = HELD, vocabulary: int = VOCABULARY, burst: int = BURST) -> DataFrame:
-    """Sorted runs (lang, phrase, k, f) of the tasks; a phrase may come in many."""
+    """Sorted runs (lang, phrase, k, f) of the tasks; a phrase may come in many.  With ``words`` but without
+    ``pairs``: (h, f) of the hashes of pairs."""
+    only_hashes = words is not None and pairs is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = Task(lengths, words and words.value, pairs and pairs.value, held, vocabulary, burst)
         none = np.zeros(0, np.int64)
@@ -283,17 +321,17 @@ def counted_runs(docs: DataFrame, lengths: tuple[int, ...], words: Broadcast | N
                 last = none
                 for part, goes_on in slices(texts):
                     last = last if goes_on else none
-                    if task.known() > task.vocabulary:
+                    if task.known() > task.vocabulary or (only_hashes and task.size > PAIRS_HELD):
                         held_back = [task.names[i] if i >= 0 else None for i in last.tolist()]
                         yield from task.all_spilled()
                         last = task.ids(lang, held_back)
                     last = task.add(lang, part, last)
-                    if task.size > task.held:
+                    if not only_hashes and task.size > task.held:
                         yield from task.spilled(task.held // 2)
         yield from task.all_spilled()
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, RUNS)
+    return rows.mapInArrow(run, "h long, f long" if only_hashes else RUNS)
 
 
 def merged(runs: DataFrame) -> DataFrame:
@@ -301,20 +339,26 @@ def merged(runs: DataFrame) -> DataFrame:
     return runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("f").alias("f"))
 
 
-def bit_table(phrases: DataFrame) -> Broadcast:
-    """Bit table of one or two-word phrases, by their hashes, of bounded size."""
-    spark = phrases.sparkSession
-    log = min(MOST_BITS, max(16, (BITS * phrases.count()).bit_length()))
+def word_hashes(words: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [word_hash(lang.encode(), w.encode())
+                    for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64))], ["h"])
+    return words.select("lang", "phrase").mapInArrow(run, "h long")
+
+
+def bit_table(keys: DataFrame) -> Broadcast:
+    """Bit table of the keys in column h, of bounded size."""
+    spark = keys.sparkSession
+    log = min(MOST_BITS, max(16, (BITS * keys.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Bits(log, np.zeros(0, np.uint64))
         for batch in batches:
-            hashes = [[word_hash(lang.encode(), w) for w in phrase.encode().split(b" ")]
-                      for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            value = np.array(hashes, np.uint64).reshape(len(hashes), -1)
-            value = value[:, 0] if value.shape[1] < 2 else pair_hash(value[:, 0], value[:, 1])
-            at = np.unique(value >> np.uint64(64 - log)).astype(np.int64)
+            at = np.unique(np.concatenate(table.places(batch.column(0).to_numpy().view(np.uint64)))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["place", "bit"])
-    rows = (phrases.select("lang", "phrase").mapInArrow(run, "place long, bit long")
+    rows = (keys.select("h").mapInArrow(run, "place long, bit long")
             .groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow())   # at most 2^MOST_BITS / 64 rows
     packed = np.zeros(1 << (log - 6), np.uint64)
     packed[rows["place"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
@@ -327,18 +371,13 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, *
         raise ValueError("phrases have 2 to 4 words")
     singles = written(counted_runs(docs, (1,), **sizes), "phrase-words")
     totals = singles.groupBy("lang").agg(F.sum("f").alias("n"))
-    counts = [written(merged(singles).where(F.col("f") >= least), "phrase-1")]
-    words = bit_table(counts[0])
-    runs = written(counted_runs(docs, (2,), words, **sizes), "phrase-pairs")
-    counts.append(written(merged(runs).where(F.col("f") >= least), "phrase-2"))
-    if longest > 2:
-        pairs = bit_table(counts[1])
-        runs = written(counted_runs(docs, tuple(range(3, longest + 1)), words, pairs, **sizes), "phrase-longer")
-        counts.append(written(merged(runs).where(F.col("f") >= least), "phrase-3"))
-    out = counts[0]
-    for level in counts[1:]:
-        out = out.unionByName(level)
-    return out, totals
+    often = written(merged(singles).where(F.col("f") >= least), "phrase-1")
+    words = bit_table(word_hashes(often))
+    hashes = counted_runs(docs, (2,), words, **sizes).groupBy("h").agg(F.sum("f").alias("f"))
+    pairs = bit_table(written(hashes.where(F.col("f") >= least).select("h"), "phrase-hashes"))
+    runs = written(counted_runs(docs, tuple(range(2, longest + 1)), words, pairs, **sizes), "phrase-runs")
+    longer = written(merged(runs).where(F.col("f") >= least), "phrase-longer")
+    return often.unionByName(longer), totals
 
 
 def _stretch(words: Column, start, length) -> Column:
