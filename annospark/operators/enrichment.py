@@ -10,13 +10,14 @@ column), ``tp, tn, fp, fn, odds_ratio, p_value`` and after ``enrich`` also
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annospark.functions.stats import (LEAST_LOG, TIE_TOLERANCE, chunk_mass, first_below, fisher_degenerate,
-                                       hypergeometric_mode, log_hypergeometric, odds_ratio)
+from annospark.functions.stats import CHUNK, fisher_degenerate, odds_ratio, part_masses, support_parts
 from annospark.operators import ontology as onto
 from annospark.session import cut_lineage
 
@@ -73,8 +74,8 @@ def contingency(target: DataFrame, background: DataFrame, term: str = "term",
 
 
 CELLS = ["tp", "tn", "fp", "fn"]
-#: Cells of the support summed in one row.
-CHUNK = 256
+#: Cells of the support summed in one task; wider parts are dealt in pieces.
+PIECE = 1 << 20
 
 
 def contingency_flagged(ann: DataFrame, flag: Column, term: str = "term") -> DataFrame:
@@ -107,58 +108,49 @@ def contingency_partitioned(ann: DataFrame, group: str, term: str = "term") -> D
             .drop("_t_total"))
 
 
-def support_chunks(tables: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The cells of each table that can count for its p-value, as rows of up to ``chunk`` neighbouring cells:
-    ``_at`` (the cell nearest the mode), ``_side`` (+1 or -1), ``_length``.
-
-    On either side of the mode the probabilities fall outwards.  A side of more
-    than two chunks is cut by bisection on the exact log-probability: at its
-    inner end to the first cell that may be no more likely than the observed
-    one, at its outer end to the last whose probability, relative to the
-    observed one, is not exactly 0 in double.  The number of chunks follows
-    from the standard deviation, not from the distance to the mode.
-    """
-    n1, n2, r, side, mode = (F.col(c) for c in ("_n1", "_n2", "_r", "_side", "_mode"))
-    a, b, c, d = (F.col(x) for x in CELLS)
-    t = tables.select(*CELLS, (a + c).alias("_n1"), (b + d).alias("_n2"), (a + b).alias("_r"))
-    t = t.select("*", hypergeometric_mode(n1, n2, r).alias("_mode"), log_hypergeometric(a, n1, n2, r).alias("_lp"))
-    above = F.struct(F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_from"), (F.least(r, n1) - mode + 1).alias("_to"))
-    below = F.struct(F.lit(-1).alias("_side"), F.lit(1).cast("long").alias("_from"),
-                     (mode - F.greatest(F.lit(0).cast("long"), r - n2) + 1).alias("_to"))
-    t = t.select("*", F.inline(F.array(above, below))).where("_to > _from")
-
-    def log_p(j: Column) -> Column:
-        return log_hypergeometric(mode + side * j, n1, n2, r)
-    start, stop = F.col("_from"), F.col("_to")
-    # a short side is summed whole, unless the ratio of its first cell to the observed one nears the largest double
-    t = t.withColumn("_cut", (stop - start > 2 * chunk) | (log_p(start) - F.col("_lp") > -LEAST_LOG / 2))
-    # the cells at the inner end are compared one by one, so the bisection only has to err inwards
-    inner = F.when(F.col("_cut"), first_below(log_p, F.col("_lp") + 10 * TIE_TOLERANCE, start, stop)).otherwise(start)
-    t = t.withColumn("_from", inner).where("_to > _from")
-    outer = F.when(F.col("_cut"), first_below(log_p, F.col("_lp") + LEAST_LOG, start, stop)).otherwise(stop)
-    t = t.withColumn("_to", outer).where("_to > _from")
-    t = t.withColumn("_j", F.explode(F.sequence(start, stop - 1, F.lit(chunk).cast("long"))))
-    return t.select("*", (mode + side * F.col("_j")).alias("_at"),
-                    F.least(F.lit(chunk).cast("long"), stop - F.col("_j")).alias("_length"))
-
-
-def fisher_columns(table: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _parts(chunk: int, piece: int):
+    """Tables -> the parts of their supports, in pieces: tp, tn, fp, fn, lp, side, at, length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [batch.column(c).to_numpy() for c in CELLS]
+            found = support_parts(*cells, chunk)
+            times = -(-found["length"] // piece)
+            part = np.repeat(np.arange(len(times)), times)
+            offset = (np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)) * piece
+            row, side = found["row"][part], found["side"][part]
+            columns = [*(c[row] for c in cells), found["lp"][row], side, found["at"][part] + side * offset,
+                       np.minimum(piece, found["length"][part] - offset)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*CELLS, "lp", "side", "at", "length"])
+    return run
+
+
+def _masses(chunk: int):
+    """Pieces -> tp, tn, fp, fn, lp, s: the mass of their cells relative to the observed one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tp, tn, fp, fn, lp, side, at, length = (batch.column(c).to_numpy() for c in (*CELLS, "lp", "side", "at", "length"))
+            s = part_masses(at, side, length, lp, tp + fp, tn + fn, tp + tn, chunk)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*CELLS, "lp")), pa.array(s)], [*CELLS, "lp", "s"])
+    return run
+
+
+def fisher_columns(table: DataFrame, chunk: int = CHUNK, piece: int = PIECE) -> DataFrame:
     """G4 on a table with tp, tn, fp, fn: adds odds_ratio, log_p and p_value.
 
     The p-value is computed once per distinct table.  Its support is cut into
-    chunks (``support_chunks``); a chunk is anchored by the exact
-    log-probability of its likeliest cell and summed by the ratio recurrence in
-    one expression; the chunks of a table are merged on the log scale, relative
-    to the observed cell, in one aggregation.
+    chunks, each anchored by the exact log-probability of its likeliest cell
+    and summed by the ratio recurrence, in Arrow batches; very wide supports
+    (counts of 10^9 and more) are dealt in pieces over the tasks.  The pieces of
+    a table are merged on the log scale, relative to the observed cell, in one
+    aggregation.
     """
     a, b, c, d = (F.col(x) for x in CELLS)
-    n1, n2, r = F.col("_n1"), F.col("_n2"), F.col("_r")
     table = cut_lineage(table)   # term-sized; read by distinct and by the join
-    chunks = support_chunks(table.select(*CELLS).distinct(), chunk)
-    chunks = chunks.withColumn("_d", log_hypergeometric(F.col("_at"), n1, n2, r) - F.col("_lp"))
-    mass = F.exp(F.col("_d")) * chunk_mass(F.col("_at"), F.col("_side"), F.col("_length"),
-                                           F.exp(F.lit(TIE_TOLERANCE) - F.col("_d")), n1, n2, r)
-    sums = chunks.groupBy(*CELLS).agg(F.first("_lp").alias("_lp"), F.sum(mass).alias("_s"))
+    cells = ", ".join(f"{x} long" for x in CELLS)
+    parts = (table.select(*[F.col(x).cast("long").alias(x) for x in CELLS]).distinct()
+             .mapInArrow(_parts(chunk, piece), f"{cells}, lp double, side long, at long, length long"))
+    sums = (parts.repartition(*CELLS, "at").mapInArrow(_masses(chunk), f"{cells}, lp double, s double")
+            .groupBy(*CELLS).agg(F.first("lp").alias("_lp"), F.sum("s").alias("_s")))
     # log_p stays finite where p itself is below the least double
     log_p = (F.when(fisher_degenerate(a, b, c, d), F.lit(0.0))
              .otherwise(F.least(F.lit(0.0), F.col("_lp") + F.log(F.col("_s")))))
