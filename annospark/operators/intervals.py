@@ -10,13 +10,10 @@ connected components of the graph "distance <= eps".
 Spark formulation (no all-pairs step):
 * identical hits are collapsed into one node with a multiplicity ``w`` (they
   are at distance 0 and every copy votes);
-* only overlapping hits can be closer than eps < sqrt(2): candidate pairs
-  come from a bucketed overlap equi-join (``overlap_pairs``), so the work is
-  proportional to the local overlap, not to the size of an entry;
-* with J the Jaccard similarity, the squared row distance is
-  d2(i,j) = S_i + S_j - 2 * sum_k w_k J_ik J_jk  where  S_i = sum_k w_k J_ik^2,
-  and only hits k overlapping both i and j contribute to the cross sum;
-* components: min-label propagation with pointer jumping, checkpointed each round;
+* clusters never leave an island of overlapping intervals: small islands are
+  solved whole, large ones in blocks of nodes (``operators.islands``);
+* overlapping pairs (E2, C9) come from a bucketed overlap equi-join, so the work
+  is proportional to the local overlap, not to the size of an entry;
 * vote: +w/-w events at interval ends and a running sum per cluster.
 """
 
@@ -27,10 +24,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospark.operators import islands
 from annospark.session import cut_lineage
 
 OVERLAP_BUCKET = 256          # positions per bucket of the overlap join
-EPS_SLACK = 1e-12             # float slack when comparing distances with eps
+SWEEP_ROWS = 8192             # intervals per range of the sweep join
 
 
 def stack_models(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -80,88 +78,11 @@ def jaccard_pairs(nodes: DataFrame, bucket: int = OVERLAP_BUCKET) -> DataFrame:
     return p.withColumn("jac", j).withColumn("dist", F.lit(1.0) - F.col("jac"))
 
 
-def eps_edges(nodes: DataFrame, eps: float = 0.4, metric: str = "rows",
-              bucket: int = OVERLAP_BUCKET) -> DataFrame:
-    """E3 graph: node pairs (entry, s1, e1, s2, e2) within ``eps``."""
-    if metric not in ("rows", "precomputed"):
-        raise ValueError("metric must be 'rows' or 'precomputed'")
-    jp = jaccard_pairs(nodes, bucket)
-    if metric == "rows":
-        jp = cut_lineage(jp)  # read by the candidates, the squares and both sides of the cross sums
-    others = jp.where((F.col("s1") != F.col("s2")) | (F.col("e1") != F.col("e2")))
-    if metric == "precomputed":
-        return others.where(F.col("dist") <= eps + EPS_SLACK).select("entry", "s1", "e1", "s2", "e2")
-    # Exact prefilter: the k = i and k = j terms alone give
-    # d2(i,j) >= (w_i + w_j) * D_ij^2, so only strongly overlapping pairs can be
-    # within eps; the cross sums are computed for those candidates only.
-    cand = (others.where((F.col("w1") + F.col("w2")) * F.col("dist") * F.col("dist") <= eps * eps + EPS_SLACK)
-            .select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"),
-                    F.col("s2").alias("js"), F.col("e2").alias("je")))
-    # S_i = sum_k w_k J_ik^2 (self included)
-    self_sq = (jp.groupBy("entry", "s1", "e1")
-               .agg(F.sum(F.col("w2") * F.col("jac") * F.col("jac")).alias("sq")))
-    # cross_ij = sum_k w_k J_ik J_jk over k overlapping both (k = i and k = j included)
-    via_i = jp.select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"), F.col("s2").alias("ks"),
-                      F.col("e2").alias("ke"), F.col("w2").alias("kw"), F.col("jac").alias("ji"))
-    via_j = jp.select("entry", F.col("s1").alias("js"), F.col("e1").alias("je"), F.col("s2").alias("ks"),
-                      F.col("e2").alias("ke"), F.col("jac").alias("jj"))
-    cross = (cand.join(via_i, ["entry", "is", "ie"])
-             .join(via_j, ["entry", "js", "je", "ks", "ke"])
-             .groupBy("entry", "is", "ie", "js", "je")
-             .agg(F.sum(F.col("kw") * F.col("ji") * F.col("jj")).alias("cross")))
-    si = self_sq.select("entry", F.col("s1").alias("is"), F.col("e1").alias("ie"), F.col("sq").alias("sqi"))
-    sj = self_sq.select("entry", F.col("s1").alias("js"), F.col("e1").alias("je"), F.col("sq").alias("sqj"))
-    d2 = (cross.join(si, ["entry", "is", "ie"]).join(sj, ["entry", "js", "je"])
-          .withColumn("d2", F.col("sqi") + F.col("sqj") - 2.0 * F.col("cross")))
-    return (d2.where(F.col("d2") <= eps * eps + EPS_SLACK)
-            .select("entry", F.col("is").alias("s1"), F.col("ie").alias("e1"),
-                    F.col("js").alias("s2"), F.col("je").alias("e2")))
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Min-label propagation with pointer jumping; node key = (entry, s, e);
-    label = smallest (s, e) of the component.
-
-    Output: entry, s, e, w, cs, ce (cluster = (entry, cs, ce)).
-    """
-    # the edge list is checkpointed once, the loop state (labels) every round.
-    # Nodes without any edge are their own cluster and stay out of the loop.
-    und = (edges.select("entry", "s1", "e1", "s2", "e2")
-           .unionByName(edges.select("entry", F.col("s2").alias("s1"), F.col("e2").alias("e1"),
-                                     F.col("s1").alias("s2"), F.col("e1").alias("e2"))))
-    und = cut_lineage(und)
-    ends = und.select("entry", F.col("s1").alias("s"), F.col("e1").alias("e")).distinct()
-    singles = (nodes.join(ends, ["entry", "s", "e"], "left_anti")
-               .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
-    labels = (nodes.join(ends, ["entry", "s", "e"], "left_semi")
-              .select("entry", "s", "e", "w", F.col("s").alias("cs"), F.col("e").alias("ce")))
-    while True:  # labels only fall, and there are finitely many
-        neigh = (und.join(labels.select("entry", F.col("s").alias("s2"), F.col("e").alias("e2"),
-                                        F.struct("cs", "ce").alias("lab")), ["entry", "s2", "e2"])
-                 .groupBy("entry", F.col("s1").alias("s"), F.col("e1").alias("e"))
-                 .agg(F.min("lab").alias("nlab")))
-        # pointer jumping: also adopt the label currently held by one's label
-        # node, so a path of length L resolves in O(log L) rounds
-        jump = labels.select("entry", F.col("s").alias("cs"), F.col("e").alias("ce"),
-                             F.struct(F.col("cs").alias("cs"), F.col("ce").alias("ce")).alias("jlab"))
-        own = F.struct("cs", "ce")
-        updated = (labels.join(neigh, ["entry", "s", "e"], "left")
-                   .join(jump, ["entry", "cs", "ce"], "left")
-                   .withColumn("best", F.least(own, F.coalesce("nlab", own), F.coalesce("jlab", own)))
-                   .withColumn("changed", (F.col("best.cs") != F.col("cs")) | (F.col("best.ce") != F.col("ce")))
-                   .select("entry", "s", "e", "w", F.col("best.cs").alias("cs"), F.col("best.ce").alias("ce"),
-                           "changed"))
-        updated = cut_lineage(updated)
-        if updated.where("changed").isEmpty():
-            return updated.drop("changed").unionByName(singles)
-        labels = updated.drop("changed")
-
-
 def eps_clusters(hits: DataFrame, eps: float = 0.4, metric: str = "rows", entry: str = "entry",
-                 start: str = "seq_start", end: str = "seq_end", bucket: int = OVERLAP_BUCKET) -> DataFrame:
+                 start: str = "seq_start", end: str = "seq_end", small: int = islands.SMALL,
+                 block: int = islands.BLOCK) -> DataFrame:
     """Cluster label (cs, ce) of every distinct hit, with its multiplicity w."""
-    nodes = cut_lineage(collapse_hits(hits, entry, start, end))
-    return connected_components(nodes, eps_edges(nodes, eps, metric, bucket))
+    return islands.island_clusters(collapse_hits(hits, entry, start, end), eps, metric, small, block)
 
 
 def majority_vote(clustered: DataFrame) -> DataFrame:
@@ -251,6 +172,49 @@ def interval_join(dom: DataFrame, struct: DataFrame, entry: str = "entry", bucke
             .withColumn("inter", F.col("hi") - F.col("lo")).drop("lo", "hi"))
 
 
+def sweep_join(dom: DataFrame, struct: DataFrame, entry: str = "entry", rows: int = SWEEP_ROWS) -> DataFrame:
+    """C9 by a distributed sweep: overlapping (domain, structure) pairs with overlap length ``inter`` > 0.
+
+    Both sides are dealt by range of (entry, start), so an entry with many
+    intervals spans many ranges.  An interval is native to the range of its
+    start and is carried into every later range that begins before its end: the
+    active set of the sweep at that point.  Of an overlapping pair, the later
+    start is native to one range, and there the other is native or carried; no
+    range pairs two carried intervals, so each pair comes once.  Other columns
+    of both sides are carried along (they must not collide).
+    """
+    def side(df: DataFrame, tag: int, start: str, end: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in (entry, start, end)]
+        return df.where(F.col(end) > F.col(start)).select(
+            F.lit(tag).alias("_side"), F.col(entry).alias("_entry"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
+            (F.struct(*rest) if rest else F.lit(None).cast("string")).alias(f"_rest{tag}"))
+    a, b = side(dom, 1, "seq_start", "seq_end"), side(struct, 2, "s_start", "s_end")
+    both = a.unionByName(b, allowMissingColumns=True)
+    ranges = max(1, -(-both.count() // rows))
+    # written, so that an interval's range is the same for all readers
+    dealt = cut_lineage(both.repartitionByRange(ranges, "_entry", "_s").withColumn("_range", F.spark_partition_id()))
+    # one row for each range
+    begins = dealt.groupBy(F.col("_range").alias("_to")).agg(F.min(F.struct("_entry", "_s")).alias("_begin"))
+    begins = begins.select("_to", F.col("_begin._entry").alias("_entry"), F.col("_begin._s").alias("_from"))
+    native = dealt.withColumn("_carried", F.lit(False))
+    carried = (dealt.join(begins, "_entry").where((F.col("_to") > F.col("_range")) & (F.col("_from") < F.col("_e")))
+               .withColumn("_range", F.col("_to")).select(*dealt.columns, F.lit(True).alias("_carried")))
+    active = native.unionByName(carried)
+
+    def of(tag: int) -> DataFrame:
+        return active.where(F.col("_side") == tag).select("_range", "_entry", F.col("_s").alias(f"_s{tag}"), F.col("_e").alias(f"_e{tag}"),
+                                                          F.col("_carried").alias(f"_c{tag}"), f"_rest{tag}")
+    inter = F.least("_e1", "_e2") - F.greatest("_s1", "_s2")
+    pairs = of(1).join(of(2), ["_range", "_entry"]).where((inter > 0) & ~(F.col("_c1") & F.col("_c2")))
+    kinds = dict(dom.dtypes) | dict(struct.dtypes)
+
+    def rest(df: DataFrame, tag: int, skip: tuple[str, ...]) -> list:
+        return [F.col(f"_rest{tag}.{c}").alias(c) for c in df.columns if c not in (entry, *skip)]
+    ends = [F.col(f"_{x}").cast(kinds[c]).alias(c) for x, c in (("s1", "seq_start"), ("e1", "seq_end"), ("s2", "s_start"), ("e2", "s_end"))]
+    return pairs.select(F.col("_entry").alias(entry), *rest(dom, 1, ("seq_start", "seq_end")), *rest(struct, 2, ("s_start", "s_end")),
+                        *ends, inter.cast(kinds["seq_start"]).alias("inter"))
+
+
 def pair_self_join(df: DataFrame, group: str, item: str, blocks: int = 8) -> DataFrame:
     """Unordered pairs (i < j) of items inside a group.
 

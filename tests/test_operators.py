@@ -1,11 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from annospark.operators import enrichment as enr
 from annospark.operators import intervals as iv
+from annospark.operators import islands
 from annospark.operators import ontology as onto
 
 
@@ -232,10 +234,47 @@ def test_contingency_partitioned_equals_general(spark):
     assert a == b
 
 
-def test_long_chain_component(spark):
+@pytest.mark.parametrize("small", [500, 2])
+def test_long_chain_component(spark, small):
     # 400 hits shifted by one position: one long chain under 'precomputed' eps
     nodes = spark.createDataFrame([(1, i, i + 100, 1) for i in range(400)], "entry long, s int, e int, w long")
-    edges = iv.eps_edges(nodes, 0.4, "precomputed")
-    labels = iv.connected_components(nodes, edges)
-    got = {(r.cs, r.ce) for r in labels.collect()}
+    got = {(r.cs, r.ce) for r in islands.island_clusters(nodes, 0.4, "precomputed", small, block=64).collect()}
     assert got == {(0, 100)}
+
+
+@pytest.mark.parametrize("metric", ["rows", "precomputed"])
+def test_large_islands_match_brute_force(spark, metric):
+    rnd = random.Random(8)
+    rows = [(e, s, s + rnd.choice([20, 21, 22, 40])) for e in range(4) for s in (rnd.randint(0, 50) for _ in range(30))]
+    rows += [(9, 5, 5), (9, 7, 3), (10, 0, 4), (10, 4, 8), (10, 8, 9)]   # empty hits, and hits that only touch
+    hits = spark.createDataFrame(rows, "entry long, seq_start int, seq_end int")
+    kept = [r for r in rows if r[2] > r[1]]
+    for small, block in ((1, 7), (10, 4)):
+        clusters = iv.eps_clusters(hits, 0.4, metric, small=small, block=block)
+        got = sorted((r.entry, r.seq_start, r.seq_end) for r in iv.majority_vote(clusters).collect())
+        assert got == brute_ensemble(kept, 0.4, metric)
+
+
+@pytest.mark.parametrize("metric", ["rows", "precomputed"])
+def test_stacked_region(spark, metric):
+    # 10^5 hits over one region: the blocks of its nodes give the clusters of the whole matrix
+    hits = (spark.range(100_000).select(F.lit(1).alias("entry"), F.pmod(F.xxhash64("id"), F.lit(40)).cast("int").alias("seq_start"),
+                                        F.pmod(F.xxhash64("id", F.lit(7)), F.lit(30)).alias("x"))
+            .select("entry", "seq_start", (F.col("seq_start") + 30 + F.col("x")).cast("int").alias("seq_end")))
+    nodes = iv.collapse_hits(hits).collect()
+    assert len(nodes) == 1200 > islands.SMALL
+    nodes.sort(key=lambda r: (r.s, r.e))
+    s, e, w = (np.array([[r[c] for r in nodes]]) for c in ("s", "e", "w"))
+    label = islands.solve(s, e, w.astype(float), 0.4, metric)[0]
+    expected = {(r.s, r.e): (nodes[k].s, nodes[k].e) for r, k in zip(nodes, label, strict=True)}
+    got = {(r.s, r.e): (r.cs, r.ce) for r in iv.eps_clusters(hits, 0.4, metric).collect()}
+    assert got == expected
+
+
+def test_ensemble_of_nothing(spark):
+    empty = spark.createDataFrame([], "entry string, seq_start long, seq_end long")
+    assert iv.ensemble([empty, empty]).count() == 0
+    one = spark.createDataFrame([("x", 3, 9)], "entry string, seq_start long, seq_end long")
+    assert [tuple(r) for r in iv.ensemble([one]).collect()] == [("x", 3, 8)]
+    with pytest.raises(ValueError):
+        iv.ensemble([one], eps=1.2)
