@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.operators.intervals import OVERLAP_BUCKET, interval_join
+from annospark.operators.intervals import sweep_join
 from annospark.operators.reshape import coverage_filter, parse_ranges, to_positions
 from annospark.session import cut_lineage
 
@@ -260,7 +260,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 def structure_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, entry: str = "entry") -> DataFrame:
     """Every (domain, structure) pair of an entry with precision, recall, F1.
 
-    dom: (entry, seq_start, seq_end); struct: (entry, struct_id, s_start, s_end);
+    dom: (entry, seq_start, seq_end and any other keys, such as the model); struct: (entry, struct_id, s_start, s_end);
     lengths: (entry, len).  Interval arithmetic replaces the position sets:
     U = [1, len) ∪ S;  tp = |D ∩ S|;  fp = |S - D|;  fn = |D ∩ U| - tp;
     precision = tp / (tp + fp), recall = tp / (tp + fn), F1 = 2pr / (p + r).
@@ -268,11 +268,10 @@ def structure_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, en
     return _pair_metrics(dom.join(struct, entry).join(lengths, entry), entry)
 
 
-def overlapping_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, entry: str = "entry",
-                         bucket: int = OVERLAP_BUCKET) -> DataFrame:
-    """I7 for the pairs that share a position: all pairs with a recall above 0, without the product of an entry's
-    domains and structures."""
-    return _pair_metrics(interval_join(dom, struct, entry, bucket).join(lengths, entry), entry)
+def overlapping_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, entry: str = "entry") -> DataFrame:
+    """I7 for the pairs that share a position: all pairs with a recall above 0, by a distributed sweep, without the
+    product of an entry's domains and structures."""
+    return _pair_metrics(sweep_join(dom, struct, entry).drop("inter").join(lengths, entry), entry)
 
 
 def _pair_metrics(pairs: DataFrame, entry: str) -> DataFrame:
@@ -289,15 +288,16 @@ def _pair_metrics(pairs: DataFrame, entry: str) -> DataFrame:
     fn = (d_in_u - inter).cast("double")
     prc = F.try_divide(tp, tp + fp)
     rec = F.try_divide(tp, tp + fn)
-    out = pairs.select(entry, "seq_start", "seq_end", "struct_id", prc.alias("precision"), rec.alias("recall"))
+    keys = [c for c in pairs.columns if c not in ("s_start", "s_end", "len")]
+    out = pairs.select(*keys, prc.alias("precision"), rec.alias("recall"))
     f1 = F.try_divide(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return out.withColumn("f1", f1)
 
 
-def covering_structures(cov: DataFrame, threshold: float = 0.8, entry: str = "entry") -> DataFrame:
+def covering_structures(cov: DataFrame, threshold: float = 0.8, entry: str = "entry", group: Sequence[str] = ()) -> DataFrame:
     """I8: structures covering at least ``threshold`` of a domain: counts of
-    rows, distinct entries and distinct structure ids.  Above 0, the pairs of
-    ``overlapping_coverage`` are enough."""
+    rows, distinct entries and distinct structure ids, for each ``group`` (such
+    as the model).  Above 0, the pairs of ``overlapping_coverage`` are enough."""
     kept = coverage_filter(cov, threshold)
-    return kept.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entry).alias("n_entries"),
-                    F.count_distinct("struct_id").alias("n_structures"))
+    return kept.groupBy(*group).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(entry).alias("n_entries"),
+                                    F.count_distinct("struct_id").alias("n_structures"))

@@ -23,12 +23,13 @@ def interactors(seeds: DataFrame, edges: DataFrame, min_score: float = 700, seed
 
 
 def interaction_sets(ann: DataFrame, entries: DataFrame, seeds: DataFrame, edges: DataFrame,
-                     entry: str = "entry", net_id: str = "net_id", min_score: float = 700
-                     ) -> tuple[DataFrame, DataFrame]:
-    """H2: target = annotations of entries whose network id is an interactor;
-    background = annotations of entries having a network id."""
-    with_id = entries.where(F.col(net_id).isNotNull()).select(entry, net_id)
-    reached = interactors(seeds, edges, min_score).withColumnRenamed("id", net_id)
+                     entry: str = "entry", net_id: str = "net_id", min_score: float = 700,
+                     seed_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """H2: target = annotations of entries with a network id among the interactors;
+    background = annotations of entries having a network id.  Cells of entries and
+    seeds may hold several ids."""
+    with_id = explode_list(entries, net_id, ";", keep=[entry])
+    reached = interactors(explode_list(seeds, seed_col, ";", "id"), edges, min_score).withColumnRenamed("id", net_id)
     target_entries = with_id.join(reached, net_id, "left_semi").select(entry)
     background = ann.join(with_id.select(entry), entry, "left_semi")
     target = ann.join(target_entries, entry, "left_semi")

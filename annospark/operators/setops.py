@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annospark.session import cut_lineage
+
 TOPK_SALT_BUCKETS = 64
 
 
@@ -131,6 +133,25 @@ def collect_set_per_key(df: DataFrame, key: str, value: str, out: str = "values"
     return df.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(out))
 
 
+def collect_chunks_per_key(df: DataFrame, key: str, value: str, chunk: int = 1000, out: str = "values") -> DataFrame:
+    """J4 for keys with any number of values: key -> numbered chunks of its sorted distinct values.
+
+    The distinct rows are dealt by range of (key, value) and numbered by the
+    counts of earlier ranges, so a hot key spans many tasks and no list is
+    longer than ``chunk``.
+    """
+    # written, so that a row's range is the same for all readers
+    ranged = cut_lineage(df.select(key, value).where(F.col(value).isNotNull()).distinct()
+                         .repartitionByRange(key, value).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_c"))
+              .select(F.col(key).alias("_key"), F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before")))
+    own = F.row_number().over(Window.partitionBy(key, "_range").orderBy(value)) - 1
+    placed = (ranged.withColumn("_own", own).join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_r")))
+              .withColumn("chunk", F.floor((F.col("_own") + F.col("_before")) / chunk)))
+    return placed.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(value)).alias(out))
+
+
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two id sets."""
     return a.unionByName(b).distinct()

@@ -113,10 +113,13 @@ def net_seeds(spark, sf_dir) -> DataFrame:
 
 
 def net_entries(spark, sf_dir) -> DataFrame:
-    """Entries (parts) with their network id and one annotation (brand)."""
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("entry"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("net_id"),
-        F.col("p_brand").alias("term"))
+    """Entries (parts) with their cell of network ids (none, one, or one of their own and a supplier's) and one
+    annotation (brand)."""
+    key = F.col("p_partkey")
+    own = F.concat(F.lit("P"), key.cast("string"))
+    cell = (F.when(key % 7 == 3, F.lit(None)).when(key % 5 == 0, F.concat(own, F.lit("; S"), (key % 200).cast("string"), F.lit(";")))
+            .when(key % 2 == 0, F.concat(own, F.lit(";"))).otherwise(own))
+    return table(spark, sf_dir, "part").select(key.alias("entry"), cell.alias("net_id"), F.col("p_brand").alias("term"))
 
 
 SQL_NET_EDGES = ("SELECT 'S' || l_suppkey AS protein1, 'P' || l_partkey AS protein2, l_quantity * 20 AS combined_score "
@@ -124,7 +127,12 @@ SQL_NET_EDGES = ("SELECT 'S' || l_suppkey AS protein1, 'P' || l_partkey AS prote
                  "SELECT 'P' || l_partkey, 'S' || l_suppkey, l_quantity * 20 FROM lineitem")
 SQL_NET_SEEDS = ("SELECT 'S' || s_suppkey AS id FROM supplier WHERE s_nationkey IN "
                  "(SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE')")
-SQL_NET_ENTRIES = "SELECT p_partkey AS entry, 'P' || p_partkey AS net_id, p_brand AS term FROM part"
+SQL_NET_ENTRIES = ("SELECT p_partkey AS entry, CASE WHEN p_partkey % 7 = 3 THEN NULL WHEN p_partkey % 5 = 0 "
+                   "THEN 'P' || p_partkey || '; S' || (p_partkey % 200) || ';' WHEN p_partkey % 2 = 0 THEN 'P' || p_partkey || ';' "
+                   "ELSE 'P' || p_partkey END AS net_id, p_brand AS term FROM part")
+#: one row for each id of a cell
+SQL_NET_IDS = ("SELECT entry, trim(id) AS net_id, term FROM (SELECT entry, term, unnest(string_split(net_id, ';')) AS id "
+               f"FROM ({SQL_NET_ENTRIES})) WHERE trim(id) <> ''")
 
 
 # ---------------------------------------------------------------- V_2hop

@@ -138,4 +138,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the remaining query families register themselves on import
-from annospark.plans import queries_graph, queries_intervals, queries_table  # noqa: E402,F401
+from annospark.plans import queries_graph, queries_intervals, queries_sources, queries_table  # noqa: E402,F401

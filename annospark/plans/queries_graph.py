@@ -112,8 +112,9 @@ def q_interactors(spark, sf_dir):
     return net.interactors(V.net_seeds(spark, sf_dir), V.net_edges(spark, sf_dir), 700)
 
 
-_H2_T = (f"SELECT * FROM ({V.SQL_NET_ENTRIES}) WHERE net_id IN (WITH {_NET} {_INTER})")
-_H2_B = f"SELECT * FROM ({V.SQL_NET_ENTRIES}) WHERE net_id IS NOT NULL"
+_H2_T = (f"SELECT * FROM ({V.SQL_NET_ENTRIES}) WHERE entry IN (SELECT entry FROM ({V.SQL_NET_IDS}) "
+         f"WHERE net_id IN (WITH {_NET} {_INTER}))")
+_H2_B = f"SELECT * FROM ({V.SQL_NET_ENTRIES}) WHERE entry IN (SELECT entry FROM ({V.SQL_NET_IDS}))"
 
 
 @register("interaction_sets_fisher", f"WITH {fisher_ctes(_H2_T, _H2_B)} SELECT {round_sql(FIS_COLS)} FROM fis")

@@ -217,16 +217,16 @@ def q_metric_distribution(spark, sf_dir):
 
 
 _STRUCT_DEDUP = f"SELECT entry, s_start, s_end, min(struct_id) AS struct_id FROM ({V.SQL_INT_STRUCT}) GROUP BY entry, s_start, s_end"
-_DOMS = f"SELECT DISTINCT entry, seq_start, seq_end FROM ({V.SQL_INT_HITS}) WHERE model = 'R'"
+_DOMS = f"SELECT DISTINCT model, entry, seq_start, seq_end FROM ({V.SQL_INT_HITS})"
 _COV = f"""
 st AS ({_STRUCT_DEDUP}),
 dm AS ({_DOMS}),
-pr AS (SELECT dm.entry, dm.seq_start, dm.seq_end, st.struct_id, st.s_start, st.s_end, 121 AS len FROM dm JOIN st USING (entry)),
+pr AS (SELECT model, dm.entry, dm.seq_start, dm.seq_end, st.struct_id, st.s_start, st.s_end, 121 AS len FROM dm JOIN st USING (entry)),
 ps AS (SELECT pr.*, (SELECT count(*) FROM range(seq_start, seq_end) d(x) WHERE x >= s_start AND x < s_end) AS tp,
               (SELECT count(*) FROM range(s_start, s_end) t(x) WHERE x < seq_start OR x >= seq_end) AS fp,
               (SELECT count(*) FROM range(seq_start, seq_end) d(x) WHERE x >= 1 AND x < len AND (x < s_start OR x >= s_end)) AS fn
        FROM pr),
-cov AS (SELECT entry, seq_start, seq_end, struct_id, tp::DOUBLE / nullif(tp + fp, 0) AS precision,
+cov AS (SELECT model, entry, seq_start, seq_end, struct_id, tp::DOUBLE / nullif(tp + fp, 0) AS precision,
                tp::DOUBLE / nullif(tp + fn, 0) AS recall FROM ps)"""
 
 
@@ -237,20 +237,26 @@ def q_first_per_group(spark, sf_dir):
 
 def _coverage(spark, sf_dir, coverage=ev.structure_coverage):
     st = ev.first_per_group(V.int_struct(spark, sf_dir), ["entry", "s_start", "s_end"], "struct_id")
-    dm = V.int_hits(spark, sf_dir).where(F.col("model") == "R").select("entry", "seq_start", "seq_end").distinct()
+    dm = V.int_hits(spark, sf_dir).select("model", "entry", "seq_start", "seq_end").distinct()
     return coverage(dm, st, V.int_entries(spark, sf_dir))
 
 
-@register("structure_coverage", f"WITH {_COV.strip()} SELECT entry, seq_start, seq_end, struct_id, {_rs(['precision', 'recall', 'f1'])} "
+@register("structure_coverage", f"WITH {_COV.strip()} SELECT model, entry, seq_start, seq_end, struct_id, {_rs(['precision', 'recall', 'f1'])} "
           "FROM (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM cov)")
 def q_structure_coverage(spark, sf_dir):
     return _r(_coverage(spark, sf_dir), ["precision", "recall", "f1"])
 
 
-@register("covering_structures", f"WITH {_COV.strip()} SELECT count(*) AS n_rows, count(DISTINCT entry) AS n_entries, "
-          "count(DISTINCT struct_id) AS n_structures FROM cov WHERE recall IS NOT NULL AND recall >= 0.8")
+@register("covering_structures", f"WITH {_COV.strip()} SELECT model, count(*) AS n_rows, count(DISTINCT entry) AS n_entries, "
+          "count(DISTINCT struct_id) AS n_structures FROM cov WHERE recall IS NOT NULL AND recall >= 0.8 GROUP BY model")
 def q_covering_structures(spark, sf_dir):
-    return ev.covering_structures(_coverage(spark, sf_dir, ev.overlapping_coverage), 0.8)
+    return ev.covering_structures(_coverage(spark, sf_dir, ev.overlapping_coverage), 0.8, group=["model"])
+
+
+@register("overlapping_coverage", f"WITH {_COV.strip()} SELECT model, entry, seq_start, seq_end, struct_id, {_rs(['precision', 'recall', 'f1'])} "
+          "FROM (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM cov) WHERE recall > 0")
+def q_overlapping_coverage(spark, sf_dir):
+    return _r(_coverage(spark, sf_dir, ev.overlapping_coverage), ["precision", "recall", "f1"])
 
 
 @register("interval_join", f"WITH hits AS ({V.SQL_INT_HITS}), st AS ({V.SQL_INT_STRUCT}) "
@@ -317,20 +323,29 @@ def q_distance_matrix(spark, sf_dir):
     return _r(mx.distance_matrix(e, "label", "vec_id", "v"), ["d"])
 
 
+_TILE = 4
+
+
 @register("centroid_matrix", "WITH c AS (SELECT label, list(v ORDER BY k) AS v FROM (SELECT label, k, avg(x::DOUBLE) AS v FROM "
           "(SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY label, k) "
-          "GROUP BY label), d AS (SELECT a.label AS i, b.label AS j, CASE WHEN a.label = b.label THEN 0 ELSE "
-          "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) END AS d FROM c a JOIN c b ON TRUE) "
-          "SELECT * FROM (PIVOT d ON j USING round(max(d), 6) GROUP BY i)")
+          "GROUP BY label), p AS (SELECT *, row_number() OVER (ORDER BY label) - 1 AS place FROM c), "
+          "cells AS (SELECT r.place // 4 AS tile_row, q.place // 4 AS tile_col, (r.place % 4) * 4 + q.place % 4 AS cell, "
+          "CASE WHEN r.label = q.label THEN 0 ELSE sqrt(list_sum(list_transform(list_zip(r.v, q.v), "
+          "lambda p: (p[1] - p[2]) * (p[1] - p[2])))) END AS d FROM p r JOIN p q ON TRUE), "
+          "tiles AS (SELECT DISTINCT tile_row, tile_col FROM cells) "
+          "SELECT t.tile_row::BIGINT AS tile_row, t.tile_col::BIGINT AS tile_col, x.cell::INTEGER AS cell, round(c.d, 6) AS d "
+          "FROM tiles t JOIN range(16) x(cell) ON TRUE LEFT JOIN cells c ON c.tile_row = t.tile_row AND c.tile_col = t.tile_col "
+          "AND c.cell = x.cell")
 def q_centroid_matrix(spark, sf_dir):
+    """K2: the matrix of the distances between label centroids as dense tiles, each cell of a tile a row."""
     e = V.table(spark, sf_dir, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("k", "x"))
     cent = (dims.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kv"))
             .select("label", F.transform("kv", lambda s: s["x"]).alias("v")))
     long = mx.distance_matrix(cent.withColumn("g", F.lit(0)), "g", "label", "v", blocks=4)
-    labels = [r["j"] for r in long.select("j").distinct().orderBy("j").collect()]  # the matrix has a column each
-    return _r(mx.matrix_pivot(long.select("i", "j", "d"), labels), [str(k) for k in labels])
+    tiles = mx.matrix_tiles(long.select("i", "j", "d"), _TILE)
+    return _r(tiles.select("tile_row", "tile_col", F.posexplode("cells").alias("cell", "d")), ["d"])
 
 
 # ------------------------------------------------------------------ I3 on the interval models + ensemble

@@ -109,15 +109,17 @@ def q_edge_keep(spark, sf_dir):
     return so.edge_keep(V.net_edges(spark, sf_dir), keep)
 
 
-@register("subset_violations", "SELECT l_orderkey AS entry FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) "
-          "UNION ALL SELECT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
+@register("subset_violations", "SELECT 'orders' AS side, l_orderkey AS entry FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders "
+          "WHERE o_orderstatus <> 'P') UNION ALL SELECT 'parts', l_partkey FROM lineitem WHERE l_partkey NOT IN "
+          "(SELECT p_partkey FROM part WHERE p_size <= 45)")
 def q_subset_violations(spark, sf_dir):
+    """Line items whose order is not among the closed or open ones, or whose part is not among the smaller ones."""
     li = V.table(spark, sf_dir, "lineitem")
-    a = so.subset_violations(li.select(F.col("l_orderkey").alias("entry")),
-                             V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry")), "entry")
-    b = so.subset_violations(li.select(F.col("l_partkey").alias("entry")),
-                             V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry")), "entry")
-    return a.unionByName(b)
+    orders = V.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("entry"))
+    parts = V.table(spark, sf_dir, "part").where(F.col("p_size") <= 45).select(F.col("p_partkey").alias("entry"))
+    a = so.subset_violations(li.select(F.col("l_orderkey").alias("entry")), orders, "entry")
+    b = so.subset_violations(li.select(F.col("l_partkey").alias("entry")), parts, "entry")
+    return a.select(F.lit("orders").alias("side"), "entry").unionByName(b.select(F.lit("parts").alias("side"), "entry"))
 
 
 @register("set_difference", "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars >= 2000)")
@@ -217,6 +219,16 @@ def q_collect_set_per_key(spark, sf_dir):
     return s.select("entry", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", ",").alias("terms"))
 
 
+@register("collect_chunks_per_key", "SELECT supplier, chunk, count(*)::BIGINT AS n, string_agg(part::VARCHAR, ',' ORDER BY part) AS parts FROM "
+          "(SELECT supplier, part, (row_number() OVER (PARTITION BY supplier ORDER BY part) - 1) // 16 AS chunk FROM "
+          "(SELECT DISTINCT l_suppkey AS supplier, l_partkey AS part FROM lineitem)) GROUP BY supplier, chunk")
+def q_collect_chunks_per_key(spark, sf_dir):
+    """J4 by chunks: the parts of each supplier in lists of at most 16."""
+    li = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
+    c = so.collect_chunks_per_key(li, "supplier", "part", 16, "parts")
+    return c.select("supplier", "chunk", F.size("parts").cast("long").alias("n"), F.array_join(F.col("parts").cast("array<string>"), ",").alias("parts"))
+
+
 @register("set_union", "SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 45 UNION "
           "SELECT p_partkey FROM part WHERE p_brand = 'Brand#1'")
 def q_set_union(spark, sf_dir):

@@ -1,10 +1,10 @@
 """Bulk ingest of the reference's file formats into typed DataFrames.
 
 Every reader takes a path (file, directory or glob) and returns a DataFrame;
-parsing is done with column expressions.  Text formats with record
-separators are read with ``lineSep`` so that large files stay splittable;
-formats that are single documents (one JSON graph, one report per file) are
-parsed per file.
+parsing is done with column expressions, in functions of text records (column
+``value``) that any source can feed.  Text formats with record separators are
+read with ``lineSep`` so that large files stay splittable; formats that are
+single documents (one JSON graph, one report per file) are parsed per file.
 """
 
 from __future__ import annotations
@@ -55,29 +55,37 @@ def read_edges(spark: SparkSession, path: str, keep: DataFrame | None = None, se
                partitions: int | None = None) -> DataFrame:
     """A3: space-separated edge list (gz read natively) with header
     protein1 protein2 combined_score; optional ``keep`` (column ``id``)
-    keeps edges with either endpoint in it (C4).  Gzip input is one split
-    per file, so the rows are spread with ``repartition`` after the read."""
+    keeps edges with either endpoint in it (C4).  A gzip file is one split, so
+    its rows are spread after the read, over ``partitions`` or the session's
+    default parallelism."""
     df = (spark.read.option("header", True).option("sep", sep).csv(path)
           .select("protein1", "protein2", F.col("combined_score").try_cast("int").alias("combined_score")))
-    if partitions:
-        df = df.repartition(partitions)
+    if partitions or any(f.endswith(".gz") for f in df.inputFiles()):
+        df = df.repartition(partitions or spark.sparkContext.defaultParallelism)
     if keep is not None:
         from annospark.operators.setops import edge_keep
         df = edge_keep(df, keep)
     return df
 
 
-def read_obograph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A4: OBO-graph JSON -> (nodes(term, label), edges(child, parent)).
+OBOGRAPH = ("graphs array<struct<nodes:array<struct<id:string,lbl:string,meta:struct<deprecated:string>>>,"
+            "edges:array<struct<sub:string,pred:string,obj:string>>>>")
+
+
+def read_obograph(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A4: OBO-graph JSON, one document per file (or per line) -> (nodes(term, label), edges(child, parent))."""
+    return parse_obograph(spark.read.text(path, wholetext=not lines))
+
+
+def parse_obograph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A4 on JSON documents (column ``value``); a malformed one raises.
 
     Nodes: ids containing 'GO_' without a ``deprecated`` flag in ``meta``; the
     term id is the text after '_'.  Edges: ``pred == 'is_a'`` only.
     """
-    raw = spark.read.option("multiLine", True).json(path)
-    graph = raw.select(F.col("graphs")[0].alias("g"))
+    graph = docs.select(F.explode(F.from_json("value", OBOGRAPH, {"mode": "FAILFAST"})["graphs"]).alias("g"))
     nodes = (graph.select(F.explode("g.nodes").alias("n"))
-             .where(F.col("n.id").contains("GO_"))
-             .where(F.col("n.meta.deprecated").isNull() if _has_deprecated(raw) else F.lit(True))
+             .where(F.col("n.id").contains("GO_") & F.col("n.meta.deprecated").isNull())
              .select(F.get(F.split(F.col("n.id"), "_"), F.lit(1)).alias("term"), F.col("n.lbl").alias("label")))
     edges = (graph.select(F.explode("g.edges").alias("e"))
              .where(F.col("e.pred") == "is_a")
@@ -86,22 +94,18 @@ def read_obograph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return nodes, edges
 
 
-def _has_deprecated(raw: DataFrame) -> bool:
-    try:
-        meta = raw.schema["graphs"].dataType.elementType["nodes"].dataType.elementType["meta"].dataType
-        return "deprecated" in meta.fieldNames()
-    except (KeyError, AttributeError):
-        return False
+def read_obo(spark: SparkSession, path: str, prefix: str = "DOID") -> tuple[DataFrame, DataFrame]:
+    """A5: OBO stanzas, separated by blank lines -> (nodes(term, label, descr, omim), edges(child, parent))."""
+    return parse_obo(spark.read.option("lineSep", "\n\n").text(path), prefix)
 
 
-def read_obo(spark: SparkSession, path: str, prefix: str = "DOID") -> tuple[DataFrame, DataFrame]:
-    """A5: OBO stanzas -> (nodes(term, label, descr, omim), edges(child, parent)).
+def parse_obo(stanzas: DataFrame, prefix: str = "DOID") -> tuple[DataFrame, DataFrame]:
+    """A5 on stanzas (column ``value``).
 
-    Stanzas are records separated by blank lines.  Obsolete terms and
-    stanzas without a ``prefix`` id are skipped; the last OMIM xref wins;
-    ``is_a`` keeps the id part of its first token.
+    Obsolete terms and stanzas without a ``prefix`` id are skipped; the last
+    OMIM xref wins; ``is_a`` keeps the id part of its first token.
     """
-    st = spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("s"))
+    st = stanzas.select(F.col("value").alias("s"))
     term = F.regexp_extract("s", rf"(?m)^id: {prefix}:(\S+)", 1)
     omims = F.regexp_extract_all("s", F.lit(r"(?m)^xref: OMIM:(\S+)"), 1)
     parsed = st.select(
@@ -119,11 +123,27 @@ def read_obo(spark: SparkSession, path: str, prefix: str = "DOID") -> tuple[Data
 
 
 def read_entry_map(spark: SparkSession, path: str, key: str = "entry", value: str = "id") -> DataFrame:
-    """JSON object {entry: [id, ...]} per file -> (entry, id) rows."""
-    doc = spark.read.text(path, wholetext=True)
-    m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    return (doc.select(F.explode(m).alias(key, "_ids"))
-            .select(key, F.explode("_ids").alias(value)))
+    """JSON object {entry: [id, ...]} -> (entry, id) rows.
+
+    Records end with the lists' closing brackets, so one large object (or many
+    small ones) is read by many tasks.  Text that is no such object raises,
+    cut-off files included; so does an id or entry with a closing bracket, which
+    needs ``parse_entry_map`` on whole documents.
+    """
+    parts = spark.read.option("lineSep", "]").text(path)
+    body = F.regexp_replace("value", r"^\s*([}]\s*)?[{,]?\s*", "")
+    ends = F.col("value").rlike(r"^\s*([{]?\s*[}]\s*)*$")
+    closed = F.max(ends & F.col("value").contains("}"))
+    open_files = parts.groupBy(F.col("_metadata.file_path").alias("file")).agg(closed.alias("closed")).where("NOT closed")
+    if cut_off := open_files.limit(3).collect():
+        raise ValueError(f"malformed entry map, the object is not closed: {[r['file'] for r in cut_off]}")
+    return parse_entry_map(parts.where(~ends).select(F.concat(F.lit("{"), body, F.lit("]}")).alias("value")), key, value)
+
+
+def parse_entry_map(docs: DataFrame, key: str = "entry", value: str = "id") -> DataFrame:
+    """A6 on JSON objects (column ``value``); a malformed one raises."""
+    m = F.from_json(F.col("value"), T.MapType(T.StringType(), T.ArrayType(T.StringType())), {"mode": "FAILFAST"})
+    return docs.select(F.explode(m).alias(key, "_ids")).select(key, F.explode("_ids").alias(value))
 
 
 def read_blast_tab(spark: SparkSession, path: str, sep: str = ",", header: bool = False) -> DataFrame:
@@ -162,22 +182,33 @@ def parse_domtblout(lines: DataFrame, raw: bool = False) -> DataFrame:
                      F.col("align_to").alias("seq_end"), F.col("dom_i_evalue").alias("e_value"))
 
 
+_ALIGNMENT = ("score:string,bits:string,expectation:string,identity:string,positives:string,gaps:string,strand:string,"
+              "pattern:string,matchSeq:struct<_VALUE:string,_start:string,_end:string>")
+HIT_XML = ("_database string, _id string, _ac string, _description string, "
+           f"alignments struct<alignment:array<struct<{_ALIGNMENT}>>>")
+
+
 def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
     """Search-result XML, one row per (hit, alignment) with 15 columns."""
-    hits = spark.read.format("xml").option("rowTag", "hit").option("inferSchema", False).load(path)
-    al = hits.schema["alignments"].dataType["alignment"].dataType
-    items = F.col("alignments.alignment") if isinstance(al, T.ArrayType) else F.array(F.col("alignments.alignment"))
+    return _hit_rows(spark.read.format("xml").option("rowTag", "hit").schema(HIT_XML).load(path))
+
+
+def parse_blast_xml(hits: DataFrame) -> DataFrame:
+    """A9 on hit elements (column ``value``)."""
+    return _hit_rows(hits.select(F.from_xml("value", HIT_XML, {"mode": "FAILFAST"}).alias("h")).select("h.*"))
+
+
+def _hit_rows(hits: DataFrame) -> DataFrame:
     rows = hits.select(F.col("_database").alias("database"), F.col("_id").alias("id"),
                        F.col("_ac").alias("ac"), F.col("_description").alias("description"),
-                       F.explode(items).alias("a"))
+                       F.explode("alignments.alignment").alias("a"))
     return rows.select(
         F.col("a.score").try_cast("int").alias("score"), F.col("a.bits").try_cast("double").alias("bits"),
         F.col("a.expectation").try_cast("double").alias("expectation"),
         F.col("a.identity").try_cast("double").alias("identity"),
         F.col("a.positives").try_cast("double").alias("positives"),
-        F.col("a.gaps").try_cast("int").alias("gaps"), F.col("a.strand").cast("string").alias("strand"),
-        F.col("a.pattern").cast("string").alias("pattern_seq"),
-        F.col("a.matchSeq._VALUE").cast("string").alias("match_seq"),
+        F.col("a.gaps").try_cast("int").alias("gaps"), F.col("a.strand").alias("strand"),
+        F.col("a.pattern").alias("pattern_seq"), F.col("a.matchSeq._VALUE").alias("match_seq"),
         F.col("a.matchSeq._start").try_cast("int").alias("match_start"),
         F.col("a.matchSeq._end").try_cast("int").alias("match_end"),
         "database", "id", "ac", "description")
@@ -185,9 +216,12 @@ def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """A10: FASTA records -> (id, descr, seq); sequence lines are concatenated."""
-    rec = (spark.read.option("lineSep", "\n>").text(path)
-           .select(F.regexp_replace("value", r"^>", "").alias("r"))
-           .where(F.trim("r") != ""))
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """A10 on records (column ``value``), with or without their '>'."""
+    rec = records.select(F.regexp_replace("value", r"^>", "").alias("r")).where(F.trim("r") != "")
     header = F.substring_index(F.col("r"), "\n", 1)
     body = F.when(F.instr(F.col("r"), "\n") > 0, F.expr("substring(r, instr(r, '\n') + 1)")).otherwise(F.lit(""))
     return rec.select(F.regexp_extract(header, r"^(\S+)", 1).alias("id"),
@@ -199,8 +233,12 @@ def read_alignment_reports(spark: SparkSession, path: str) -> DataFrame:
     """Structure-alignment text reports (one per file) -> one row each:
     name/len/TM-score per chain, normalised TM-score (3rd), aligned length,
     RMSD and sequence identity."""
-    doc = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("t"), F.col("_metadata.file_name").alias("file_name"))
+    return parse_alignment_reports(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name")))
+
+
+def parse_alignment_reports(reports: DataFrame) -> DataFrame:
+    """A11 on reports (columns ``value`` and ``file_name``); the patterns are fixed by the file format."""
+    doc = reports.select(F.col("value").alias("t"), "file_name")
     tms = F.regexp_extract_all("t", F.lit(r"TM-score= ([\d.]+)"), 1)
     return doc.select(
         "file_name",

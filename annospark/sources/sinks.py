@@ -16,14 +16,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", sep: str = "\t", mod
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "csv", sep: str = "\t",
-                      mode: str = "overwrite", spread: int = 16) -> None:
-    """One directory per value of ``by`` (e.g. per architecture).
+                      mode: str = "overwrite", rows_per_file: int = 1_000_000) -> None:
+    """One directory per value of ``by`` (e.g. per architecture), with one file for up to ``rows_per_file`` rows.
 
-    Rows are clustered by the key plus a deterministic content-hash salt, so
-    a value is written by at most ``spread`` tasks (a hot value is not
-    funnelled through one task, and a retried task sees the same rows)."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-    w = df.repartition(F.col(by), salt).write.mode(mode).partitionBy(by)
+    The rows of each value are counted first; only a value with more rows is
+    salted (by content, so a retried task sees the same rows) and written by
+    several tasks.  Only the values that ``df`` holds are replaced.
+    """
+    files = df.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_files"))
+    dealt = df.join(files, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_salt", salt)
+    w = (dealt.repartition(F.col(by), F.col("_salt")).select(*df.columns).write.mode(mode)
+         .option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy(by))
     if fmt == "parquet":
         w.parquet(path)
     else:

@@ -136,8 +136,7 @@ def test_fisher_at_counts_of_ten_to_the_twelfth(spark):
     half, sd = 5 * 10 ** 11, spread(10 ** 12)
     small = spark.createDataFrame([(10 ** 12, 3 * 10 ** 12, 10 ** 9, 0)], "tp long, tn long, fp long, fn long")
     assert math.isfinite(enr.fisher_columns(small).first().log_p)
-    lp = stats.log_hypergeometric(F.col("k"), F.col("n1"), F.col("n2"), F.col("r"))
-    row = spark.createDataFrame([(half, 2 * half, 2 * half, 2 * half)], "k long, n1 long, n2 long, r long").select(lp).first()[0]
+    row = float(stats.log_hypergeometric(half, 2 * half, 2 * half, 2 * half))
     assert row == pytest.approx(-0.5 * math.log(2 * math.pi * sd * sd), abs=1e-8)
 
 
@@ -148,3 +147,55 @@ def test_fisher_chunks_do_not_depend_on_their_width(spark):
     runs = [{(r.tp, r.tn, r.fp, r.fn): r.log_p for r in enr.fisher_columns(frame, chunk).collect()} for chunk in (1, 7, 256)]
     for t in runs[0]:
         assert runs[0][t] == pytest.approx(runs[2][t], abs=1e-9) and runs[1][t] == pytest.approx(runs[2][t], abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [3, 40, 10_000])
+def test_sweep_join_over_many_ranges(spark, rows):
+    rnd = random.Random(rows)
+    # one entry holds most intervals, some as long as the entry
+    pick = lambda i: 1 if rnd.random() < 0.7 else rnd.randint(2, 5)
+    dom = [(rnd.choice("RS"), pick(i), s, s + rnd.choice([0, 1, 9, 60, 400])) for i, s in enumerate(rnd.randint(0, 400) for _ in range(150))]
+    struct = [(pick(i), f"x{i}", s, s + rnd.choice([0, 1, 9, 60, 400])) for i, s in enumerate(rnd.randint(0, 400) for _ in range(150))]
+    d = spark.createDataFrame(dom, "model string, entry int, seq_start int, seq_end int")
+    t = spark.createDataFrame(struct, "entry int, struct_id string, s_start int, s_end int")
+    got = sorted((r.model, r.entry, r.struct_id, r.seq_start, r.seq_end, r.s_start, r.s_end, r.inter) for r in iv.sweep_join(d, t, rows=rows).collect())
+    assert got == sorted((m, e, i, a, b, x, y, min(b, y) - max(a, x)) for m, e, a, b in dom for f, i, x, y in struct
+                         if e == f and min(b, y) > max(a, x))
+
+
+def test_chunks_of_a_hot_key(spark):
+    from annospark.operators import setops as so
+    rows = [("hot", i % 700) for i in range(3000)] + [("cold", 5), ("cold", 5), ("cold", None), (None, 1), (None, 2)]
+    got = so.collect_chunks_per_key(spark.createDataFrame(rows, "k string, v int").repartition(5), "k", "v", 50).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: (str(r.k), r.chunk)):
+        assert len(r["values"]) <= 50 and r.chunk == len(lists.get(r.k, [])) // 50
+        lists.setdefault(r.k, []).extend(r["values"])
+    assert lists == {"hot": list(range(700)), "cold": [5], None: [1, 2]}
+
+
+@pytest.mark.parametrize("tile", [1, 3, 64])
+def test_matrix_tiles(spark, tile):
+    from annospark.operators import matrix as mx
+    names = [f"n{i:02d}" for i in range(11)]
+    cells = {(a, b): float(abs(i - j)) for i, a in enumerate(names) for j, b in enumerate(names) if (i + j) % 5}
+    long = spark.createDataFrame([(a, b, d) for (a, b), d in cells.items()], "i string, j string, d double").repartition(4)
+    seen = {}
+    for r in mx.matrix_tiles(long, tile).collect():
+        assert len(r.cells) == tile * tile
+        for k, d in enumerate(r.cells):
+            i, j = r.tile_row * tile + k // tile, r.tile_col * tile + k % tile
+            if d is not None:
+                seen[names[i], names[j]] = d
+    assert seen == cells
+
+
+def test_network_cells_with_several_ids(spark):
+    from annospark.operators import networks as net
+    entries = spark.createDataFrame([(0, "A;B;"), (1, "C"), (2, None), (3, " D ; "), (4, ";"), (5, "E;A")], "entry long, net_id string")
+    ann = spark.createDataFrame([(e, f"t{e}") for e in range(7)], "entry long, term string")
+    seeds = spark.createDataFrame([("S;T;",), (None,)], "id string")
+    edges = spark.createDataFrame([("S", "A", 800), ("T", "D", 701), ("S", "C", 700), ("A", "C", 900)], "protein1 string, protein2 string, combined_score int")
+    target, background = net.interaction_sets(ann, entries, seeds, edges)
+    assert sorted(r.entry for r in target.collect()) == [0, 3, 5]
+    assert sorted(r.entry for r in background.collect()) == [0, 1, 3, 5]

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from annospark.sources import readers as rd
@@ -120,3 +121,67 @@ def test_sinks_roundtrip(spark, tmp_path):
     write_partitioned(df, str(tmp_path / "p"), "architecture")
     back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "p"))
     assert sorted(r["architecture"] for r in back.collect()) == ["a;b", "a;b", "c"]
+
+
+def test_entry_map_of_one_large_object(spark, tmp_path):
+    import json
+    rows = {f"P{i}": [f"{i}", f"a,{i}", 'q"uote'][: i % 4] for i in range(4000)}
+    (tmp_path / "map.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "lines.json").write_text('{"X": ["1"]}\n{"Y": [],\n "Z": ["2", "3"]}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = rd.read_entry_map(spark, str(tmp_path / "map.json"))
+        assert df.rdd.getNumPartitions() > 4
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((k, x) for k, v in rows.items() for x in v)
+    assert sorted(tuple(r) for r in rd.read_entry_map(spark, str(tmp_path / "lines.json")).collect()) == [("X", "1"), ("Z", "2"), ("Z", "3")]
+
+
+@pytest.mark.parametrize("text", ['{"P1": ["1", "2"', '{"P1": "1"}', "no map", '{"P1": ["1"], "P2": [2, {]}'])
+def test_malformed_entry_map_raises(spark, tmp_path, text):
+    (tmp_path / "map.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        rd.read_entry_map(spark, str(tmp_path / "map.json")).collect()
+
+
+def test_partitioned_files_by_measured_size(spark, tmp_path):
+    rows = [("hot", i) for i in range(900)] + [("cold", 1), ("warm", 2), (None, 3)]
+    df = spark.createDataFrame(rows, "architecture string, v int").repartition(7)
+    path = tmp_path / "p"
+    write_partitioned(df, str(path), "architecture", rows_per_file=100)
+    files = {d.name: len(list(d.glob("part-*"))) for d in path.iterdir() if d.is_dir()}
+    assert files.pop("architecture=hot") > 3 and set(files.values()) == {1} and len(files) == 3
+    write_partitioned(spark.createDataFrame([("cold", 7)], "architecture string, v int"), str(path), "architecture")
+    back = spark.read.option("header", True).option("sep", "\t").csv(str(path))
+    assert back.count() == 903 and [r["v"] for r in back.where("architecture = 'cold'").collect()] == ["7"]
+
+
+def test_run_from_files_to_files(spark, fixtures, tmp_path):
+    """Committed target tables as one directory a group, a graph over their terms, one result directory a group."""
+    import glob
+    import json
+
+    from annospark.plans.run import enrichment_run
+    from annospark.sources.sinks import write_table
+    targets = rd.read_table(spark, os.path.join(fixtures, "golden", "go", "targets"), with_file=True)
+    targets = targets.select(F.regexp_replace("file_name", "_arch[.]csv$", "").alias("architecture"), F.col("entry_ac").alias("entry"),
+                             F.col("go_id").alias("term"))
+    write_table(targets.drop("architecture"), str(tmp_path / "background"))
+    write_partitioned(targets, str(tmp_path / "targets"), "architecture")
+    terms = sorted(r[0] for r in targets.select("term").distinct().collect())
+    nodes = [{"id": "x/GO_root", "lbl": "root"}, *({"id": f"x/GO_{t}", "lbl": f"term {t}"} for t in terms)]
+    edges = [{"sub": f"x/GO_{t}", "pred": "is_a", "obj": "x/GO_root"} for t in terms]
+    (tmp_path / "graph.json").write_text(json.dumps({"graphs": [{"nodes": nodes, "edges": edges}]}))
+    rows = enrichment_run(spark, str(tmp_path / "background"), str(tmp_path / "targets"), str(tmp_path / "graph.json"),
+                          str(tmp_path / "out"), bonferroni=False).collect()
+    written = {r["architecture"] for r in rows}
+    assert len(written) == 31 and len(glob.glob(str(tmp_path / "out" / "architecture=*"))) == 31
+    # a flat graph propagates nothing: odds ratios and p-values are those of the committed results without propagation
+    got = {(r["architecture"], r["term"]): r for r in rows}
+    first = got["PF00397;PF00632", "0042391"]
+    assert abs(first["odds_ratio"] - 9.111111111) < 1e-6 and abs(first["p_value"] - 0.041769477) < 1e-6
+    back = rd.read_table(spark, str(tmp_path / "out"), types={"p_value": "double"})
+    assert back.count() == len(rows) and back.where("p_value IS NULL").count() == 0
