@@ -184,31 +184,62 @@ def propagate_pvalue(res: DataFrame, desc_table: DataFrame, term: str = "term",
             .drop(*[f"_child_{c}" for c in ps]))
 
 
+#: Levels pushed in one plan; deeper graphs are checkpointed in between.
+LEVELS_AT_ONCE = 16
+
+
+def propagate_along_edges(res: DataFrame, levels: DataFrame, term: str = "term", group_cols: Sequence[str] = ()) -> DataFrame:
+    """G5 without a closure: the least p-value is pushed along the is_a edges, level by level.
+
+    ``levels(child, parent, level)`` comes from ``ontology.edge_levels``.  Every
+    value meets each edge above it once, so the rows moved are those of the
+    result for each level, not those of all its ancestors.  Terms without a row
+    of their own pass values on.
+    """
+    g = list(group_cols)
+    ps = [c for c in ("p_value", "log_p") if c in res.columns]
+    number = levels.agg(F.max("level")).first()[0]
+    state = res.select(*g, F.col(term).alias("_term"), *ps)
+    for level in range(0 if number is None else number + 1):
+        up = levels.where(F.col("level") == level).select(F.col("child").alias("_child"), F.col("parent").alias("_parent"))
+        # a row without an edge of this level stays, one with such edges stays and goes to each parent
+        moved = state.join(up, state["_term"] == up["_child"], "left").withColumn(
+            "_to", F.explode(F.when(F.col("_parent").isNull(), F.array("_term")).otherwise(F.array("_term", "_parent"))))
+        state = moved.groupBy(*g, F.col("_to").alias("_term")).agg(*[F.min(c).alias(c) for c in ps])
+        if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
+            state = cut_lineage(state)
+    best = state.select(*g, F.col("_term").alias(term), *[F.col(c).alias(f"_best_{c}") for c in ps])
+    return (res.join(best, on=[*g, term]).withColumns({c: F.col(f"_best_{c}") for c in ps})
+            .drop(*[f"_best_{c}" for c in ps]))
+
+
 def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None = None,
            term: str = "term", group_cols: Sequence[str] = (), propagate: bool = True,
-           closure: DataFrame | None = None, depth_table: DataFrame | None = None,
-           table: DataFrame | None = None) -> DataFrame:
+           levels: DataFrame | None = None, depth_table: DataFrame | None = None,
+           table: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
     """Fisher -> keep terms that are labelled and have depth > 0 (roots and
     terms without a path to a root are dropped) -> attach depth and label ->
-    propagate p-values (G5).
+    propagate p-values (G5) along the edges; no closure is computed.
 
-    ``closure`` (from ``ontology.closure_with_distance``) and ``depth_table``
-    may be passed in to reuse them across calls; ``table`` may be a ready
-    contingency table (e.g. from ``contingency_flagged``) instead of
-    target/background.
+    ``levels`` (from ``ontology.edge_levels``) and ``depth_table`` may be passed
+    in to reuse them across calls; ``table`` may be a ready contingency table
+    (e.g. from ``contingency_flagged``) instead of target/background.  With many
+    groups of few terms, most terms that a value passes have no row in its
+    group: then one join with a given ``closure`` moves fewer rows.
     """
-    if closure is None or depth_table is None:
-        if edges is None:
-            raise ValueError("edges are required when closure/depth are not given")
-        closure = closure if closure is not None else onto.closure_with_distance(edges)
-        depth_table = depth_table if depth_table is not None else onto.depth(nodes, edges, closure)
+    if edges is None and (depth_table is None or (propagate and levels is None and closure is None)):
+        raise ValueError("edges are required when levels or depths are not given")
+    depth_table = depth_table if depth_table is not None else onto.depth_from_roots(nodes, edges)
     known = (depth_table.where(F.col("depth") > 0)
              .join(nodes.select("term", "label"), "term")
              .withColumnRenamed("term", term))
     fis = fisher_columns(table) if table is not None else fisher_test(target, background, term, group_cols)
     res = fis.join(known, term)
-    if propagate:
+    if propagate and closure is not None:
         res = propagate_pvalue(cut_lineage(res), onto.descendants(nodes, closure), term, group_cols)
+    elif propagate:
+        levels = levels if levels is not None else onto.edge_levels(edges)
+        res = propagate_along_edges(cut_lineage(res), levels, term, group_cols)
     # term-sized result, read twice by the gate (group statistics + rows)
     return cut_lineage(res)
 
@@ -252,14 +283,14 @@ def enrich_filter(res: DataFrame, max_p: float = 0.05, max_depth: int = 5) -> Da
 
 def enrich_many(target: DataFrame, background: DataFrame | None, nodes: DataFrame, edges: DataFrame | None,
                 group_col: str, term: str = "term", max_p: float = 0.05, max_depth: int = 4,
-                bonferroni: bool = True, closure: DataFrame | None = None,
-                depth_table: DataFrame | None = None) -> DataFrame:
+                bonferroni: bool = True, levels: DataFrame | None = None,
+                depth_table: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
     """``enrich`` + gate for every target group against one background,
     as one job (the ontology is walked once).  ``background=None`` means the
     groups partition the background (the architecture case): counted in one
     pass by ``contingency_partitioned``."""
     table = contingency_partitioned(target, group_col, term) if background is None else None
-    res = enrich(target, background, nodes, edges, term, [group_col], True, closure, depth_table, table)
+    res = enrich(target, background, nodes, edges, term, [group_col], True, levels, depth_table, table, closure)
     return significance_gate(res, max_p, max_depth, bonferroni, [group_col])
 
 

@@ -2,9 +2,10 @@
 
 Graph model: ``nodes(term, label)`` holds the labelled, non-obsolete terms;
 ``edges(child, parent)`` holds the ``is_a`` relations (endpoints need not be
-labelled).  The transitive closure is computed by path doubling with minimum
-path length, so one loop of about log2(longest path) rounds yields both the
-ancestor/descendant table (F4/F5) and the depth (F6).
+labelled).  Ancestors and descendants (F4/F5) are the transitive closure,
+computed by path doubling with minimum path length.  What only moves values up
+the graph needs no closure: ``edge_levels`` peels it into topological levels,
+``depth_from_roots`` walks it down once.
 """
 
 from __future__ import annotations
@@ -129,6 +130,45 @@ def depth(nodes: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
     return at_root.unionByName(via_root)
 
 
+def edge_levels(edges: DataFrame) -> DataFrame:
+    """(child, parent, level): edges by the level of their child, the longest path from it down to a leaf.
+
+    Each round takes the terms that are nobody's parent any more, with their
+    edges; a value pushed along the levels in order has then met all of a
+    term's children before the term's own edges are used.
+    """
+    left = cut_lineage(edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct())
+    levels: list[DataFrame] = []
+    for level in itertools.count():
+        if left.isEmpty():
+            break
+        inner = left.select(F.col("parent").alias("child")).distinct()
+        levels.append(left.join(inner, "child", "left_anti").withColumn("level", F.lit(level)))
+        left = cut_lineage(left.join(inner, "child", "left_semi"))
+        levels[-1] = cut_lineage(levels[-1])
+        if levels[-1].isEmpty():
+            raise OntologyCycleError("is_a graph contains a cycle")
+    out = edges.select("child", "parent").limit(0).withColumn("level", F.lit(0))
+    for part in levels:
+        out = out.unionByName(part)
+    return cut_lineage(out)
+
+
+def depth_from_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """F6 without the closure: (term, depth), a walk down from the roots that uses every edge once."""
+    e = cut_lineage(edges.select(F.col("parent").alias("up"), F.col("child").alias("term"))
+                    .where(F.col("up").isNotNull() & F.col("term").isNotNull()).distinct())
+    layer = cut_lineage(roots(nodes, edges).select("term").distinct().withColumn("depth", F.lit(0)))
+    known = layer
+    for depth_ in itertools.count(1):
+        nxt = (e.join(layer.select(F.col("term").alias("up")), "up", "left_semi").select("term").distinct()
+               .join(known.select("term"), "term", "left_anti").withColumn("depth", F.lit(depth_)))
+        layer = cut_lineage(nxt)
+        if layer.isEmpty():
+            return cut_lineage(known.join(nodes.select("term"), "term", "left_semi"))
+        known = known.unionByName(layer)
+
+
 def ontology_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """term, label, parents joined by '; ' (null when the term has none)."""
     p = parents(edges).select(F.col("child").alias("term"), "parents")

@@ -55,16 +55,24 @@ _DAG_CACHE: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def dag(spark: SparkSession, sf_dir: str):
-    """(nodes, edges, closure, depth) of V_dag; the closure loop runs once per session."""
+    """(nodes, edges, levels, depth) of V_dag; the graph is walked once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     nodes = V.dag_nodes(spark, sf_dir)
     edges = V.dag_edges(spark, sf_dir)
     if key not in _DAG_CACHE:
-        closure = onto.closure_with_distance(edges)
-        depth = cut_lineage(onto.depth(nodes, edges, closure))
-        _DAG_CACHE[key] = (closure, depth)
-    closure, depth = _DAG_CACHE[key]
-    return nodes, edges, closure, depth
+        _DAG_CACHE[key] = (onto.edge_levels(edges), onto.depth_from_roots(nodes, edges))
+    return nodes, edges, *_DAG_CACHE[key]
+
+
+_CLOSURE_CACHE: dict[tuple[str, str], DataFrame] = {}
+
+
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitive closure of V_dag, for the queries that return it; computed once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CLOSURE_CACHE:
+        _CLOSURE_CACHE[key] = onto.closure_with_distance(V.dag_edges(spark, sf_dir))
+    return _CLOSURE_CACHE[key]
 
 
 # ------------------------------------------------------------------ G: enrichment
@@ -99,8 +107,8 @@ def ann_r_table(spark, sf_dir):
 @register("enrich", f"WITH RECURSIVE {V.SQL_DAG_CTES.strip()}, {enrich_ctes(V.SQL_ANN_TARGET, V.SQL_ANN).strip()} "
           f"SELECT {round_sql(ENR_COLS)} FROM res")
 def q_enrich(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+    nodes, edges, levels, depth = dag(spark, sf_dir)
+    res = enr.enrich(None, None, nodes, edges, "term", levels=levels, depth_table=depth,
                      table=ann_r_table(spark, sf_dir))
     return rounded(res.select(*ENR_COLS))
 
@@ -108,8 +116,8 @@ def q_enrich(spark, sf_dir):
 @register("enrich_gate", f"WITH RECURSIVE {V.SQL_DAG_CTES.strip()}, {enrich_ctes(V.SQL_ANN_TARGET, V.SQL_ANN).strip()} "
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, False)})")
 def q_enrich_gate(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+    nodes, edges, levels, depth = dag(spark, sf_dir)
+    res = enr.enrich(None, None, nodes, edges, "term", levels=levels, depth_table=depth,
                      table=ann_r_table(spark, sf_dir))
     return rounded(enr.significance_gate(res, 0.05, 4, False).select(*ENR_COLS, "score"))
 
@@ -117,8 +125,8 @@ def q_enrich_gate(spark, sf_dir):
 @register("enrich_bonferroni", f"WITH RECURSIVE {V.SQL_DAG_CTES.strip()}, {enrich_ctes(V.SQL_ANN_TARGET, V.SQL_ANN).strip()} "
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True)})")
 def q_enrich_bonferroni(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
-    res = enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+    nodes, edges, levels, depth = dag(spark, sf_dir)
+    res = enr.enrich(None, None, nodes, edges, "term", levels=levels, depth_table=depth,
                      table=ann_r_table(spark, sf_dir))
     return rounded(enr.significance_gate(res, 0.05, 4, True).select(*ENR_COLS, "score"))
 
@@ -127,9 +135,9 @@ def q_enrich_bonferroni(spark, sf_dir):
           f"{enrich_ctes(V.SQL_ANN_TARGET_BY_PRIORITY, V.SQL_ANN, 'grp').strip()} "
           f"SELECT {round_sql(['grp'] + ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True, 'grp')})")
 def q_enrich_many(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
+    nodes, edges, levels, depth = dag(spark, sf_dir)
     res = enr.enrich_many(V.ann_target_by_priority(spark, sf_dir), V.ann(spark, sf_dir), nodes, edges,
-                          "grp", "term", 0.05, 4, True, closure, depth)
+                          "grp", "term", 0.05, 4, True, levels, depth)
     return rounded(res.select("grp", *ENR_COLS, "score"))
 
 

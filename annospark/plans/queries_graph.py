@@ -9,7 +9,7 @@ from annospark.operators import networks as net
 from annospark.operators import ontology as onto
 from annospark.operators import reshape as rs
 from annospark.plans import bindings as V
-from annospark.plans.catalog import ENR_COLS, FIS_COLS, dag, register, round_sql, rounded
+from annospark.plans.catalog import ENR_COLS, FIS_COLS, closure, dag, register, round_sql, rounded
 from annospark.plans.oracle_sql import enrich_ctes, fisher_ctes, gate_sql
 
 DAG = f"WITH RECURSIVE {V.SQL_DAG_CTES.strip()}"
@@ -37,15 +37,13 @@ def q_roots(spark, sf_dir):
 @register("ontology_ancestors", f"{DAG} SELECT descendant AS term, ancestor FROM clo "
           "WHERE descendant IN (SELECT term FROM nodes)")
 def q_ancestors(spark, sf_dir):
-    nodes, _e, closure, _d = dag(spark, sf_dir)
-    return onto.ancestors(nodes, closure)
+    return onto.ancestors(V.dag_nodes(spark, sf_dir), closure(spark, sf_dir))
 
 
 @register("ontology_descendants", f"{DAG} SELECT ancestor AS term, count(*) AS n_descendants FROM clo "
           "WHERE descendant IN (SELECT term FROM nodes) GROUP BY ancestor")
 def q_descendants(spark, sf_dir):
-    nodes, _e, closure, _d = dag(spark, sf_dir)
-    return onto.descendants(nodes, closure).groupBy("term").agg(F.count(F.lit(1)).alias("n_descendants"))
+    return onto.descendants(V.dag_nodes(spark, sf_dir), closure(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n_descendants"))
 
 
 @register("ontology_depth", f"{DAG} SELECT term, depth FROM depth")
@@ -64,8 +62,8 @@ def q_ontology_table(spark, sf_dir):
 # ------------------------------------------------------------------ B7, G10-G12
 def _enriched(spark, sf_dir):
     from annospark.plans.catalog import ann_r_table
-    nodes, edges, closure, depth = dag(spark, sf_dir)
-    return enr.enrich(None, None, nodes, edges, "term", closure=closure, depth_table=depth,
+    nodes, edges, levels, depth = dag(spark, sf_dir)
+    return enr.enrich(None, None, nodes, edges, "term", levels=levels, depth_table=depth,
                       table=ann_r_table(spark, sf_dir))
 
 
@@ -94,10 +92,10 @@ _ACCEPTED_T = f"SELECT * FROM ({V.SQL_ANN}) WHERE entry IN (SELECT o_orderkey FR
 @register("enrich_original", f"{DAG}, {enrich_ctes(_ACCEPTED_T, V.SQL_ANN).strip()} "
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True)})")
 def q_enrich_original(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
+    nodes, edges, levels, depth = dag(spark, sf_dir)
     accepted = V.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("entry"))
     target, background = enr.target_background_original(V.ann(spark, sf_dir), accepted)
-    res = enr.enrich(target, background, nodes, edges, "term", closure=closure, depth_table=depth)
+    res = enr.enrich(target, background, nodes, edges, "term", levels=levels, depth_table=depth)
     return rounded(enr.significance_gate(res, 0.05, 4, True).select(*ENR_COLS, "score"))
 
 
@@ -142,9 +140,9 @@ _H4_T = f"SELECT * FROM ({_H4_B}) WHERE entry IN (WITH {_HOP} {_SHARED})"
 @register("structure_sets_enrich", f"{DAG}, {enrich_ctes(_H4_T, _H4_B).strip()} "
           f"SELECT {round_sql(ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, False)})")
 def q_structure_sets(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
+    nodes, edges, levels, depth = dag(spark, sf_dir)
     t, b = net.structure_sets(V.ann(spark, sf_dir), V.hop_seeds(spark, sf_dir), V.hop_map(spark, sf_dir))
-    res = enr.enrich(t, b, nodes, edges, "term", closure=closure, depth_table=depth)
+    res = enr.enrich(t, b, nodes, edges, "term", levels=levels, depth_table=depth)
     return rounded(enr.significance_gate(res, 0.05, 4, False).select(*ENR_COLS, "score"))
 
 
@@ -163,11 +161,11 @@ def _arch(spark, sf_dir):
 @register("enrich_by_architecture", f"{DAG}, {enrich_ctes(_H5_T, _H5_B, 'grp').strip()} "
           f"SELECT {round_sql(['grp'] + ENR_COLS + ['score'])} FROM ({gate_sql('res', 0.05, 4, True, 'grp')})")
 def q_enrich_by_architecture(spark, sf_dir):
-    nodes, edges, closure, depth = dag(spark, sf_dir)
+    nodes, edges, _levels, depth = dag(spark, sf_dir)
     keyed, _background = net.architecture_sets(V.ann(spark, sf_dir), _arch(spark, sf_dir))
     # every entry has exactly one architecture: the groups partition the background
     res = enr.enrich_many(keyed.withColumnRenamed("architecture", "grp"), None, nodes, edges, "grp", "term",
-                          0.05, 4, True, closure, depth)
+                          0.05, 4, True, None, depth, closure(spark, sf_dir))
     return rounded(res.select("grp", *ENR_COLS, "score"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annospark.operators import enrichment as enr
-from annospark.operators import ontology as onto
 from annospark.session import cut_lineage
 from annospark.sources import readers, sinks
 
@@ -23,9 +22,7 @@ def enrichment_run(spark: SparkSession, background: str, targets: str, graph: st
     target = readers.read_table(spark, targets).select(group, entry, term)
     nodes, edges = readers.read_obograph(spark, graph, graph_lines)
     nodes, edges = cut_lineage(nodes.distinct()), cut_lineage(edges.distinct())
-    closure = onto.closure_with_distance(edges)
-    depth = onto.depth(nodes, edges, closure)
-    result = cut_lineage(enr.enrich_many(target, ann, nodes, edges, group, term, max_p, max_depth, bonferroni, closure, depth))
+    result = cut_lineage(enr.enrich_many(target, ann, nodes, edges, group, term, max_p, max_depth, bonferroni))
     if out:
         sinks.write_partitioned(result, out, group)
     return result

@@ -278,3 +278,38 @@ def test_ensemble_of_nothing(spark):
     assert [tuple(r) for r in iv.ensemble([one]).collect()] == [("x", 3, 8)]
     with pytest.raises(ValueError):
         iv.ensemble([one], eps=1.2)
+
+
+def test_levels_and_depth_need_no_closure(spark):
+    rnd = random.Random(31)
+    # terms 0..80, parents always smaller; some terms have no label, some edges skip levels
+    rows = {(k, rnd.randrange(max(0, k - 12), k)) for k in range(4, 81) for _ in range(rnd.randint(0, 3))}
+    edges = spark.createDataFrame(sorted(rows), "child long, parent long")
+    nodes = spark.createDataFrame([(k, f"n{k}") for k in range(81) if k % 9], "term long, label string")
+    closure = onto.closure_with_distance(edges)
+    expected = {(r.term, r.depth) for r in onto.depth(nodes, edges, closure).collect()}
+    assert {(r.term, r.depth) for r in onto.depth_from_roots(nodes, edges).collect()} == expected
+    levels = onto.edge_levels(edges)
+    got = {(r.child, r.parent): r.level for r in levels.collect()}
+    assert set(got) == rows
+    for child, parent in rows:
+        below = [got[c, p] for c, p in rows if p == child]
+        assert got[child, parent] == (max(below) + 1 if below else 0)
+    res = spark.createDataFrame([(g, k, rnd.random(), -rnd.random()) for g in "ab" for k in range(81) if k % 9 and rnd.random() < 0.6],
+                                "grp string, term long, p_value double, log_p double")
+    pushed = enr.propagate_along_edges(res, levels, "term", ["grp"])
+    joined = enr.propagate_pvalue(res, onto.descendants(nodes, closure), "term", ["grp"])
+    cols = ["grp", "term", "p_value", "log_p"]
+    assert sorted(map(tuple, pushed.select(cols).collect())) == sorted(map(tuple, joined.select(cols).collect()))
+    assert enr.propagate_along_edges(res, onto.edge_levels(edges.limit(0)), "term", ["grp"]).count() == res.count()
+
+
+def test_levels_of_a_deep_chain_and_a_cycle(spark):
+    chain = spark.range(40).select((F.col("id") + 1).alias("child"), F.col("id").alias("parent"))
+    levels = onto.edge_levels(chain)
+    assert levels.agg(F.max("level")).first()[0] == 39
+    res = spark.createDataFrame([(k, 0.5 if k < 40 else 0.01) for k in range(0, 41, 5)], "term long, p_value double")
+    assert {r.p_value for r in enr.propagate_along_edges(res, levels).collect()} == {0.01}
+    for cycle in ([(1, 1)], [(1, 2), (2, 1)], [(3, 1), (1, 2), (2, 1)]):
+        with pytest.raises(onto.OntologyCycleError):
+            onto.edge_levels(spark.createDataFrame(cycle, "child long, parent long"))
