@@ -1,11 +1,13 @@
 """Licence scan by canonical digest lookup, with DataFrame functions only.
 
-A text is brought into a canonical form: lower case, copyright lines dropped,
-punctuation and white space turned into single spaces, equivalent spellings
-made equal.  The digests of whole documents, and of their lines taken as whole
-texts, are hash-joined to the digests of known licence texts and notices.  The
-catalogue goes through the same form; its size is fixed, so its side of the
-join is broadcast.
+A text is brought into a canonical form: copyright statements dropped, lines
+joined, lower case, punctuation and white space turned into single spaces,
+equivalent spellings made equal, so that the form does not depend on wrapping
+or comment signs.  The digests of whole documents, and of their lines taken as
+whole texts, are hash-joined to the digests of known licence texts and notices.
+The catalogue goes through the same form.  It is a fixed list, to which a table
+of further texts may be added; that side of the join is broadcast only if it is
+the fixed list.
 
 Defined results: null, empty and punctuation-only texts have no digest and no
 licence; rows that repeat get the same result each; an empty table gives no
@@ -67,9 +69,39 @@ redistribute it freely, subject to the following restrictions:
 this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
+# Notices that files carry, fixed values.
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."""
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as
+published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details.
+You should have received a copy of the GNU {1}General Public License along with this {0}{3}."""
+_END_3 = ". If not, see <{}://www.gnu.org/licenses/>"
+_END_2 = """; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+
+
+def _gnu_notices() -> list[tuple[str, str]]:
+    """The usual notices of the family, with the ends of either version."""
+    out = []
+    for key, family, thing, version in (("GPL-2.0", "", "program", "2"), ("GPL-3.0", "", "program", "3"),
+                                        ("LGPL-2.1", "Lesser ", "library", "2.1"), ("LGPL-3.0", "Lesser ", "library", "3"),
+                                        ("AGPL-3.0", "Affero ", "program", "3")):
+        for end in (_END_3.format("https"), _END_3.format("http"), _END_2):
+            out.append((key, _GNU.format(thing, family, version, end)))
+    return out
+
+
 TEXTS = [("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("ISC", _ISC),
          ("ISC", "ISC License\n" + _ISC), ("BSD-2-Clause", f"{_BSD_HEAD}\n{_BSD_TAIL}"),
-         ("BSD-3-Clause", f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB)]
+         ("BSD-3-Clause", f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB), ("Apache-2.0", _APACHE),
+         ("MPL-2.0", _MPL.format("http")), ("MPL-2.0", _MPL.format("https")), *_gnu_notices()]
 
 # Names that notices use, fixed values.
 NAMES = [
@@ -90,49 +122,57 @@ def catalogue() -> list[tuple[str, str]]:
     return TEXTS + [(key, phrase.format(name)) for key, name in NAMES for phrase in PHRASES]
 
 
-#: Copyright lines, in lower case (fixed pattern).
-COPYRIGHT = r"^[\x20\t]*(copyright|\(c\)|©|all rights reserved)"
+#: Copyright statements, in lower case (fixed pattern): after an optional comment sign, the word with a sign, year or
+#: "by" (or a year later in the line), the sign with a year, or the usual reservation alone on its line.
+COPYRIGHT = (r"^[\x20\t]*([#*;%!>]+|//+|/[*]+|--+|<!--)?[\x20\t]*("
+             r"copyright[\x20\t,:]*([(]c[)]|©|by[\x20\t]|(.*[^0-9a-z])?(19|20)[0-9][0-9])|"
+             r"©|[(]c[)][\x20\t]*(copyright|(19|20)[0-9][0-9])|all rights reserved[.]?[\x20\t]*([*]+/|-->)?[\x20\t\r]*$)")
 
 
-def canonical_line(line: Column) -> Column:
-    """Canonical form of one line, '' for copyright lines."""
-    low = F.lower(line)
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def canonical(text: Column) -> Column:
+    """Canonical form of joined lines."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS:
         words = F.replace(words, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(words))
+    return F.trim(words)
 
 
-def digest(canonical: Column) -> Column:
-    return F.when(canonical != "", F.sha2(canonical.cast("binary"), 256))
+def digest(form: Column) -> Column:
+    return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``whole`` (digest of the text) and ``lines`` (digests of its lines, null where empty)."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), canonical_line)
-    return (docs.withColumn("canonical", F.filter(lines, lambda x: x != ""))
-            .withColumn("whole", digest(F.array_join("canonical", " ")))
-            .withColumn("lines", F.transform("canonical", digest)).drop("canonical"))
+    kept = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: ~F.lower(x).rlike(COPYRIGHT))
+    return (docs.withColumn("kept", kept).withColumn("whole", digest(canonical(F.array_join("kept", " "))))
+            .withColumn("lines", F.transform("kept", lambda x: digest(canonical(x)))).drop("kept"))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """licence, digest of the catalogue."""
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """licence, digest of the catalogue and of ``more`` (licence, text)."""
     texts = spark.createDataFrame(catalogue(), "licence string, text string")
-    return units(texts).select("licence", F.col("whole").alias("digest")).distinct()
+    if more is not None:
+        texts = texts.unionByName(more.select("licence", "text"))
+    return units(texts).select("licence", F.col("whole").alias("digest")).where("digest IS NOT NULL").distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the whole text, its licence, licences of its lines, number of such lines."""
-    rows = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("sig"), "text")
-    rows = written(units(rows).drop("text"), "licence-units")
-    known = F.broadcast(known_digests(docs.sparkSession))
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest of the whole text, its licence, licences of its lines, number of such lines.
+
+    A text with the form of several licences gets the least of their names.
+    """
+    rows = written(units(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))).drop("text"), "licence-units")
+    known = known_digests(docs.sparkSession, more)
+    if more is None:
+        known = F.broadcast(known)
     # a document of one line is that line: it is reported as a whole
-    parts = rows.select("sig", F.explode(F.array_distinct("lines")).alias("digest"), "whole", "lines").where("digest <> whole")
-    found = (parts.withColumn("times", F.size(F.filter("lines", lambda x: x == F.col("digest")))).drop("lines", "whole")
-             .distinct().join(known, "digest").groupBy("sig")
-             .agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"), F.sum("times").alias("n_lines")))
-    whole = known.select(F.col("digest").alias("whole"), F.col("licence"))
-    return (rows.drop("lines").join(whole, "whole", "left").join(found, "sig", "left")
+    found = (rows.select("row", "whole", F.explode("lines").alias("digest")).where("digest <> whole").join(known, "digest")
+             .groupBy("row").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"),
+                                 F.count(F.lit(1)).alias("n_lines")))
+    whole = known.groupBy(F.col("digest").alias("whole")).agg(F.min("licence").alias("licence"))
+    if more is None:
+        whole = F.broadcast(whole)
+    return (rows.drop("lines").join(whole, "whole", "left").join(found, "row", "left")
             .select("doc_id", F.col("whole").alias("digest"), "licence",
                     F.coalesce("line_licences", F.lit("")).alias("line_licences"),
                     F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines")))
@@ -142,23 +182,24 @@ def oracle_sql() -> str:
     """The same scan for an SQL engine with list functions."""
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
-    form = "' ' || trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' '"
-    for old, new in SPELLINGS:
-        form = f"replace({form}, ' {old} ', ' {new} ')"
-    line = rf"CASE WHEN regexp_matches(lower(x), '{COPYRIGHT}') THEN '' ELSE trim({form}) END"
-    canonical = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}), lambda x: x <> '')"
+    def form(x: str) -> str:
+        out = f"' ' || trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+        for old, new in SPELLINGS:
+            out = f"replace({out}, ' {old} ', ' {new} ')"
+        return f"trim({out})"
+    kept = f"list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(lower(x), '{COPYRIGHT}'))"
     values = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in catalogue())
-    digests = "CASE WHEN len(c) > 0 THEN sha256(array_to_string(c, ' ')) END"
+    whole = f"nullif({form("array_to_string(kept, ' ')")}, '')"
+    lines = f"list_filter(list_transform(kept, lambda x: {form('x')}), lambda x: x <> '')"
     return f"""
 WITH known AS (
-  SELECT DISTINCT licence, {digests} AS digest
-  FROM (SELECT licence, {canonical} AS c FROM (VALUES {values}) AS t(licence, text))),
+  SELECT DISTINCT licence, sha256({whole}) AS digest FROM (SELECT licence, {kept} AS kept FROM (VALUES {values}) AS t(licence, text))),
 rows AS (
-  SELECT row_number() OVER () AS id, doc_id, c, {digests} AS digest FROM (SELECT doc_id, {canonical} AS c FROM documents)),
+  SELECT row_number() OVER () AS id, doc_id, {lines} AS c, sha256({whole}) AS digest FROM (SELECT doc_id, {kept} AS kept FROM documents)),
 parts AS (SELECT id, digest AS whole, sha256(unnest(c)) AS part FROM rows),
 found AS (
   SELECT id, string_agg(DISTINCT k.licence, ',' ORDER BY k.licence) AS line_licences, count(*)::BIGINT AS n_lines
   FROM parts p JOIN known k ON p.part = k.digest WHERE p.part <> p.whole GROUP BY id)
 SELECT r.doc_id, r.digest, k.licence, coalesce(f.line_licences, '') AS line_licences, coalesce(f.n_lines, 0) AS n_lines
-FROM rows r LEFT JOIN known k ON r.digest = k.digest LEFT JOIN found f ON r.id = f.id
+FROM rows r LEFT JOIN (SELECT digest, min(licence) AS licence FROM known GROUP BY digest) k ON r.digest = k.digest LEFT JOIN found f ON r.id = f.id
 """

@@ -335,3 +335,37 @@ def test_licence_scan(spark, docs, odd):
                    6: (None, "CC-BY-NC-4.0", 2)}
     assert licenses.scan(odd).count() == odd.count()
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_licences_under_any_wrapping(spark):
+    import textwrap
+
+    from annospark.llm import licenses
+    rows, expected = [], {}
+    for key, text in dict(licenses.TEXTS).items():
+        flat = " ".join(text.split())
+        forms = [flat, *["\n".join(textwrap.wrap(flat, width)) for width in (45, 63, 72)]]
+        forms.append("\n".join("// " + x for x in ["Copyright (c) 2019, 2021 Some Body", "All rights reserved.", *textwrap.wrap(flat, 70)]))
+        forms.append("# Copyright 2001 by Some Body\n" + "\n".join("#  " + x for x in textwrap.wrap(flat, 58)))
+        forms.append("/*\n" + "\n".join(" * " + x for x in ["Copyright Some Body, 2011", *textwrap.wrap(flat, 60)]) + "\n */")
+        forms.append("© Some Body\n" + "\n".join(textwrap.wrap(flat, 51)))
+        for form in forms:
+            expected[len(rows)] = key
+            rows.append((len(rows), form))
+    rows.append((len(rows), "(c) You must retain all notices.\ncopyright notice and this permission notice stay"))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["licence"] for i in expected} == expected
+    body = "c you must retain all notices copyright notice and this permission notice stay"
+    assert got[len(rows) - 1]["digest"] == hashlib.sha256(body.encode()).hexdigest()
+
+
+def test_licences_of_long_texts_repeats_and_more_texts(spark):
+    from annospark.llm import licenses
+    line = "Licensed under the MIT License.\n"
+    rows = [(1, "x y\n" * 60_000 + line * 40_000), (2, line + "a"), (2, line + "a"), (None, line + line)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS whole", "3 AS lines")
+    got = sorted(((r["doc_id"], r["line_licences"], r["n_lines"]) for r in licenses.scan(frame).collect()), key=str)
+    assert got == sorted([(1, "MIT", 40_000), (2, "MIT", 1), (2, "MIT", 1), (None, "MIT", 2)], key=str)
+    more = spark.createDataFrame([("Own-1.0", "You may do as you like."), ("None", None)], "licence string, text string")
+    text = spark.createDataFrame([(1, "you may do\nas you LIKE")], "doc_id long, text string")
+    assert [r["licence"] for r in licenses.scan(text, more).collect()] == ["Own-1.0"]
