@@ -14,10 +14,11 @@ of all scores cannot be lower), and of scores equal to the threshold only the
 k smallest ids (no other can win), so what a pair reports is bounded by k.
 
 Defined results: rows with a null id or vector, or with a null or non-finite
-component, take no part; nor do vectors whose length is not the most common one (ties: the
-longer).  Rows that repeat an id count each as a candidate, and as one query
-each if they differ; a query never meets rows of its own id.  Fewer than k
-candidates are all returned; an empty table gives no rows.
+component, take no part.  A shorter vector counts as if filled up with zeros,
+an empty one scores 0.  Components and scores beyond the range of a long are
+held at its ends; sums are exact before that.  Rows that repeat an id count
+each as a candidate and each as a query; a query never meets rows of its own
+id.  Fewer than k candidates are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,10 +45,12 @@ def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     clean = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"),
                               F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    clean = clean.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite & (F.size("x") > 0))
-    rows = clean.select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("q"))
-    usual = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("q") == (usual["n"] if usual else 0))
+    clean = clean.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite)
+
+    def held(v):
+        # 2^63 is a double; the largest double below it is a long
+        return F.when(v >= 2.0 ** 63, F.lit(2 ** 63 - 1)).when(v < -2.0 ** 63, F.lit(-2 ** 63)).otherwise(F.floor(v))
+    return clean.select("vec_id", F.transform("x", lambda v: held(v * scale)).alias("q"))
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
@@ -57,7 +60,10 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     dealt = placed.select("vec_id", "q", F.floor(F.col("place") / size).alias("block"))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        vectors = np.array(table.column("q").to_pylist(), np.int64)
+        lists = table.column("q").to_pylist()
+        vectors = np.zeros((len(lists), max(map(len, lists))), np.int64)
+        for i, x in enumerate(lists):
+            vectors[i, :len(x)] = x
         small = vectors.astype(np.int16)
         vectors = small if (small == vectors).all() else vectors
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()),
@@ -83,14 +89,19 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, others = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
     q = np.frombuffer(row["q_vectors"], f"i{row['q_width']}").reshape(len(ids), -1)
     c = np.frombuffer(row["c_vectors"], f"i{row['c_width']}").reshape(len(others), -1)
+    both = min(q.shape[1], c.shape[1])   # further components meet zeros
+    q, c = q[:, :both], c[:, :both]
     most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(c.astype(np.float64)).max(initial=0)) * q.shape[1]
     for kind, whole in ((np.float32, 2.0 ** 24), (np.float64, 2.0 ** 53)):  # up to there they add integers exactly
         if most < whole:
             return ids, others, (q.astype(kind) @ c.T.astype(kind)).astype(np.int64)
-    return ids, others, q.astype(np.int64) @ c.T.astype(np.int64)
+    if most < 2.0 ** 62:
+        return ids, others, q.astype(np.int64) @ c.T.astype(np.int64)
+    exact = q.astype(object) @ c.T.astype(object)   # whole numbers of any size
+    return ids, others, np.clip(exact, _OWN + 1, -_OWN - 1).astype(np.int64)
 
 
-_OWN = np.iinfo(np.int64).min
+_OWN = int(np.iinfo(np.int64).min)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -154,8 +165,10 @@ def _bins(pairs: DataFrame, k: int, bins: int) -> DataFrame:
             place, low, high = (np.frombuffer(row[c], np.int64) for c in ("place", "low", "high"))
             own = scores[place]
             r, c = np.nonzero((own >= np.maximum(low, _own_kth(own, k))[:, None]) & (own <= high[:, None]))
-            width = -(-(high - low + 1) // bins)
-            cell, n = np.unique(r * bins + (own[r, c] - low[r]) // width[r], return_counts=True)
+            # differences of longs need not be longs, but are unsigned ones
+            width = (high.view(np.uint64) - low.view(np.uint64)) // np.uint64(bins) + np.uint64(1)
+            place_in = (own[r, c].astype(np.uint64) - low[r].astype(np.uint64)) // width[r]
+            cell, n = np.unique(r * bins + place_in.astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(cell), row["q_block"]), place[cell // bins],
                                                                     cell % bins, n)], ["q_block", "place", "bin", "n"])
     return pairs.mapInArrow(run, "q_block long, place long, bin long, n long")
@@ -186,7 +199,7 @@ def exact_top_k(embeddings: DataFrame, k: int = K, step: int = STEP, scale: int
     """query_id, rank, vec_id, score: the k highest inner products of every query row
     (vec_id divisible by ``step``) among all rows of other ids, ties to the smaller vec_id."""
     vectors = written(integer_vectors(embeddings, scale), "topk-vectors")
-    queries = _blocks(vectors.where(F.col("vec_id") % step == 0).distinct(), QUERIES, "topk-queries")
+    queries = _blocks(vectors.where(F.col("vec_id") % step == 0), QUERIES, "topk-queries")
     pairs = _pairs(queries, _blocks(vectors, CANDIDATES, "topk-candidates"), "topk-pairs")
     one = ["q_block", "place"]
     state = written(_extremes(pairs).withColumn("need", F.least(F.lit(k).cast("long"), "n")).drop("n"), "topk-state")
@@ -196,9 +209,10 @@ def exact_top_k(embeddings: DataFrame, k: int = K, step: int = STEP, scale: int
         above = Window.partitionBy(*one).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
         reached = (counts.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
                    .join(wide, one).where("above < need AND above + n >= need"))
-        width = F.ceil((F.col("high") - F.col("low") + 1) / bins).cast("long")
-        start = F.col("low") + F.col("bin") * width
-        narrowed = reached.select(*one, start.alias("low"), F.least(start + width - 1, "high").alias("high"),
+        low, high = (F.col(c).cast("decimal(20,0)") for c in ("low", "high"))
+        width = (F.floor((high - low) / F.lit(bins).cast("decimal(9,0)")) + 1).cast("decimal(20,0)")
+        start = low + F.col("bin").cast("decimal(9,0)") * width
+        narrowed = reached.select(*one, start.cast("long").alias("low"), F.least(start + width - 1, high).cast("long").alias("high"),
                                   (F.col("need") - F.col("above")).alias("need"))
         state = written(state.where("low >= high").unionByName(narrowed), "topk-state")
     best = _winners(_with_state(pairs, state, ["low"]), k)
