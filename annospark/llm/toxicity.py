@@ -50,8 +50,8 @@ KEPT_WORDS = 300_000
 SAMPLE, BUCKETS, LEAST_DOCS = 20_000, 1 << 20, 5
 #: Least strength of a feature's association with the label, in standard errors.
 LEAST_Z = 4.0
-#: Least share of label 1 among its documents, in shares of all.
-LEAST_SHARE = 2
+#: Least odds of label 1 among its documents, in odds of all.
+LEAST_ODDS = 2
 #: L2 penalty of a weight, in documents.
 DECAY = 0.05
 PREFIXES = (4, 5, 6, 7)
@@ -275,7 +275,7 @@ def chosen_buckets(rows: DataFrame) -> np.ndarray:
     stands_out = (n1 - n * rate) / F.sqrt(n * rate * (1 - rate)) >= LEAST_Z
     counted = (rows.select("label", F.explode("found").alias("bucket")).groupBy("bucket")
                .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
-               .where((n >= LEAST_DOCS) & stands_out & ((n1 + rate) / (n + 1) > LEAST_SHARE * rate)))
+               .where((n >= LEAST_DOCS) & stands_out & ((n1 + rate) / (n - n1 + 1 - rate) > LEAST_ODDS * rate / (1 - rate))))
     return np.array(sorted(r["bucket"] for r in counted.select("bucket").collect()), np.int64)  # at most BUCKETS numbers
 
 
@@ -306,14 +306,20 @@ def held_out(doc_id: Column, modulus: int = MODULUS, remainder: int = HELD_OUT)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, sample: int) -> DataFrame:
-    """doc_id, text, label of at most ``sample`` labelled rows outside the held-out part, by least hash."""
+    """doc_id, text, label of at most ``sample`` different labelled rows outside the held-out part, by least hash.
+
+    Repeated rows count once; of an id with many texts only as many rows are taken as the sample has left.
+    """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     few = known.where(~out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the sample bounds the broadcast side
-    return rows.join(F.broadcast(few), "doc_id")
+    known_rows = rows.join(F.broadcast(few), "doc_id").withColumn("__key", F.xxhash64("doc_id", F.lit("fit"), "text"))
+    # the sample's last key; one row for each different row of the table is sorted, and only the first are kept
+    last = known_rows.select("__key").distinct().orderBy("__key").limit(sample).agg(F.max("__key")).scalar()
+    return known_rows.where(F.col("__key") <= last).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
