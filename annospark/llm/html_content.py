@@ -57,10 +57,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table tbody thead tfoot div article section main body nav aside header footer form blockquote".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)  # quotes count after = only
 #: Ends of raw elements, looked up in the page itself: lower case may be longer than the page.
 _ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 GOOD_NAMES = frozenset("article body content entry main post story text prose paragraph headline hentry page".split())
