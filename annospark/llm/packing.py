@@ -32,7 +32,7 @@ CAPACITY, END = 1024, 2
 #: Pieces of one length numbered in one group; more are numbered in several.
 NUMBERED = 2000
 
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -42,7 +42,7 @@ def tokenizer_paths() -> tuple[str, str]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, paths: tuple[str, str] | None = None,
            with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, unsigned 32-bit).
+    """doc_id, piece, start, length, ids_crc32, place (in its task) and, if asked for, ids (binary, unsigned 32-bit).
 
     Documents over ``capacity`` are cut into full pieces; the first takes the remainder.
     """
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, paths: tup
     tail = end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TextIds(*paths)
+        encode, place = TextIds(*paths), 0
         for batch in batches:
             rows: list[tuple] = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -60,11 +60,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, paths: tup
                 while at < n:
                     stop = at + ((n - 1) % capacity + 1 if piece == 0 else capacity)
                     own = ids[4 * at:4 * stop]
-                    rows.append((key, piece, at, stop - at, zlib.crc32(own), own if with_ids else None))
-                    at, piece = stop, piece + 1
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:6 if with_ids else 5]
+                    rows.append((key, piece, at, stop - at, zlib.crc32(own), place, own if with_ids else None))
+                    at, piece, place = stop, piece + 1, place + 1
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "place", "ids"][:7 if with_ids else 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k, _ in zip(columns, kinds, names, strict=False)], names)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
@@ -130,9 +130,14 @@ def places(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length",
-         order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32"), numbered: int = NUMBERED) -> DataFrame:
-    """``items`` with sequence_id and offset.  Lengths from 1 to ``capacity``."""
+         order: tuple[str, ...] = ("doc_id", "piece", "ids_crc32", "place"), numbered: int = NUMBERED) -> DataFrame:
+    """``items`` with sequence_id and offset.  Lengths from 1 to ``capacity``.
+
+    Rows that repeat in every column of ``order`` are numbered in one group;
+    ``place`` spreads them.
+    """
     spark = items.sparkSession
+    order = tuple(c for c in order if c in items.columns)
     counts = {r[0]: r[1] for r in items.groupBy(length).count().collect()}  # at most ``capacity`` rows
     if bad := [n for n in counts if n is None or not 1 <= n <= capacity]:
         raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
@@ -166,4 +171,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, paths: tuple[str, str] | None = None) -> DataFrame:
     """Pieces of all documents with their places, without the ids (kept apart by ``pieces``)."""
-    return pack(written(pieces(docs, capacity, paths=paths, with_ids=False), "pack-pieces"), capacity)
+    return pack(written(pieces(docs, capacity, paths=paths, with_ids=False), "pack-pieces"), capacity).drop("place")
