@@ -18,7 +18,7 @@ import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Parts in a generation of the table; two are kept (about 30 MB).
-PARTS = 100_000
+PARTS = 120_000
 
 _USUAL = regex.compile("[\x21-\x7e\xa1-ɏ]+")
 _END = b"\xff"   # no UTF-8 text holds it
@@ -63,31 +63,47 @@ def load(path: str):
     return whole, core.encode_single_piece, ids, regex.compile(pattern).findall
 
 
-class Parts(dict):
-    """part (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit numbers."""
+class Kept(dict):
+    """A table that makes missing values and keeps those of its last two generations."""
 
-    def __init__(self, path: str, limit: int = PARTS):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.whole, self.encode, self.ids, self.pieces = load(path)
-        self.limit, self.before = limit, {}
+        self.make, self.limit, self.before = make, limit, {}
 
-    def __missing__(self, part: bytes) -> bytes:
-        found = self.before.get(part)
+    def __missing__(self, key):
+        found = self.before.get(key)
         if found is None:
-            found = self.made(part.decode())
+            found = self.make(key)
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
-        self[part] = found
+        self[key] = found
         return found
 
-    def made(self, part: str) -> bytes:
-        if not _USUAL.fullmatch(part):
-            return array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes()
-        ids, encode, out = self.ids, self.encode, array("I")
-        for piece in self.pieces(unicodedata.normalize("NFC", part).lower()):
-            out.extend([ids[r] for r in encode(piece.encode() + _END)])
-        return out.tobytes()
+
+class Parts(Kept):
+    """part (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str, limit: int = PARTS):
+        super().__init__(self.made, limit)
+        self.whole, self.encode, self.ids, self.pieces = load(path)
+        #: A piece recurs with other signs around it and in other cases.
+        self.known = Kept(self.piece, limit)
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.ids
+        return array("I", [ids[r] for r in self.encode(piece.encode() + _END)]).tobytes()
+
+    def made(self, part: bytes) -> bytes:
+        text = part.decode()
+        if not _USUAL.fullmatch(text):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        text = text.lower()
+        if text.isalpha() and text.isascii():
+            return self.known[text]
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
 
 @lru_cache(maxsize=1)
