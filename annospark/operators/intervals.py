@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annospark.operators import islands
+from annospark.operators.matrix import BLOCK_ITEMS, pairs_blocked
 from annospark.session import cut_lineage
 
 OVERLAP_BUCKET = 256          # positions per bucket of the overlap join
@@ -215,12 +216,11 @@ def sweep_join(dom: DataFrame, struct: DataFrame, entry: str = "entry", rows: in
                         *ends, inter.cast(kinds["seq_start"]).alias("inter"))
 
 
-def pair_self_join(df: DataFrame, group: str, item: str, blocks: int = 8) -> DataFrame:
+def pair_self_join(df: DataFrame, group: str, item: str, block: int = BLOCK_ITEMS) -> DataFrame:
     """Unordered pairs (i < j) of items inside a group.
 
     The output is quadratic in the group size by definition; items are hashed
-    into ``blocks`` and each block pair is its own join key, so a large group
-    is paired by blocks*(blocks+1)/2 tasks instead of one.
+    into blocks of about ``block`` and each block pair is its own join key, so a
+    large group is paired by many tasks instead of one.
     """
-    from annospark.operators.matrix import pairs_blocked
-    return pairs_blocked(df.select(group, item, F.lit(0).alias("_v")), group, item, "_v", blocks).select(group, "i", "j")
+    return pairs_blocked(df.select(group, item, F.lit(0).alias("_v")), group, item, "_v", block).select(group, "i", "j")

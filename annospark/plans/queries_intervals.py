@@ -323,6 +323,15 @@ def q_distance_matrix(spark, sf_dir):
     return _r(mx.distance_matrix(e, "label", "vec_id", "v"), ["d"])
 
 
+@register("near_pairs", f"SELECT a.label, a.vec_id AS i, b.vec_id AS j, round({_DIST_SQL}, 6) AS d FROM embeddings a JOIN embeddings b "
+          f"ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DIST_SQL} <= 1.25")
+def q_near_pairs(spark, sf_dir):
+    """K1 with a bound: the pairs of a label within a distance."""
+    e = V.table(spark, sf_dir, "embeddings").select("label", "vec_id",
+                                                    F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return _r(mx.near_pairs(e, "label", "vec_id", "v", 1.25, block=64), ["d"])
+
+
 _TILE = 4
 
 
@@ -343,7 +352,7 @@ def q_centroid_matrix(spark, sf_dir):
     cent = (dims.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("kv"))
             .select("label", F.transform("kv", lambda s: s["x"]).alias("v")))
-    long = mx.distance_matrix(cent.withColumn("g", F.lit(0)), "g", "label", "v", blocks=4)
+    long = mx.distance_matrix(cent.withColumn("g", F.lit(0)), "g", "label", "v", block=4)
     tiles = mx.matrix_tiles(long.select("i", "j", "d"), _TILE)
     return _r(tiles.select("tile_row", "tile_col", F.posexplode("cells").alias("cell", "d")), ["d"])
 

@@ -142,7 +142,7 @@ _DICT = "SELECT unnest(regexp_split_to_array(text, '\\s+')) AS tok, item_id FROM
 def q_entity_link(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     bench = V.table(spark, sf_dir, "benchmark")
-    ann = (docs.select(F.col("doc_id").alias("article"), F.explode(F.split("text", r"\s+")).alias("text")).distinct())
+    ann = (docs.select(F.col("doc_id").alias("article"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text")))
     dic = (bench.select(F.col("item_id").alias("term"), F.explode(F.split("text", r"\s+")).alias("label"))
            .where("label <> ''"))
     art = docs.select(F.col("doc_id").alias("article"), F.col("doc_id").alias("entry"))

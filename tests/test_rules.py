@@ -199,3 +199,26 @@ def test_network_cells_with_several_ids(spark):
     target, background = net.interaction_sets(ann, entries, seeds, edges)
     assert sorted(r.entry for r in target.collect()) == [0, 3, 5]
     assert sorted(r.entry for r in background.collect()) == [0, 1, 3, 5]
+
+
+@pytest.mark.parametrize("radius, block", [(0.5, 4), (1.0, 1000), (1.0, 7), (9.0, 30)])
+def test_near_pairs(spark, radius, block):
+    from annospark.operators import matrix as mx
+    pick = np.random.default_rng(3)
+    # one group holds most items, on a lattice so that many distances equal the radius, with repeated vectors
+    rows = [("hot" if i % 4 else f"g{i % 5}", i, [float(x) / 2 for x in pick.integers(0, 4, 3)]) for i in range(160)]
+    rows += [("one", 500, [0.0, 0.0, 0.0]), ("null", 501, None), ("null", 502, [1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "label string, vec_id long, v array<double>").repartition(4)
+    got = {(r.label, r.i, r.j): r.d for r in mx.near_pairs(frame, "label", "vec_id", "v", radius, block=block).collect()}
+    expected = {(g, i, j): float(np.linalg.norm(np.array(a) - np.array(b))) for g, i, a in rows for h, j, b in rows
+                if g == h and i < j and a and b and np.linalg.norm(np.array(a) - np.array(b)) <= radius}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+
+
+def test_pair_self_join_blocks_follow_the_group(spark):
+    rows = [("hot", i) for i in range(60)] + [("a", 1), ("a", 2), ("b", 3)]
+    frame = spark.createDataFrame(rows, "g string, i long")
+    expected = {(g, i, j) for g, i in rows for h, j in rows if g == h and i < j}
+    for block in (5, 512):
+        pairs = iv.pair_self_join(frame, "g", "i", block).collect()
+        assert {(r.g, r.i, r.j) for r in pairs} == expected and len(pairs) == len(expected)
