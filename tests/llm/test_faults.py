@@ -114,3 +114,22 @@ def test_one_bucket_with_a_third_of_the_fingerprints(spark):
         near = values[i + 1:][np.bitwise_count(values[i + 1:] ^ x) <= 4]
         for y in near:
             assert find(int(x)) == find(int(y))
+
+
+# ---------------------------------------------------------------- quality rules
+def test_bands_reject_junk_that_the_base_rule_keeps(spark):
+    import base64
+
+    from annospark.llm import quality_rules
+    rnd = random.Random(1)
+    junk = [" ".join(base64.b64encode(rnd.randbytes(rnd.randint(6, 60))).decode() for _ in range(60)) for _ in range(30)]
+    junk += [" ".join("".join(rnd.choice("!@#$%^&*()_+{}|:<>?") for _ in range(6)) for _ in range(60)) for _ in range(30)]
+    letters = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10))) for _ in range(80)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(junk + letters)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(rows).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[i]["kept"] for i in range(len(junk)))
+    assert sum(not got[len(junk) + i]["kept"] for i in range(len(letters))) > 40
+    clean = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert clean.where("NOT base_failed AND NOT kept").count() == 0
+    assert clean.where("kept").count() == 919
