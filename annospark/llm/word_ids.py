@@ -22,6 +22,8 @@ PARTS = 120_000
 
 _USUAL = regex.compile("[\x21-\x7e\xa1-ɏ]+")
 _END = b"\xff"   # no UTF-8 text holds it
+#: Signs that are a piece of their own after a word.
+_SIGNS = frozenset(b"%c" % c for c in b".,;:!?)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,15 +97,16 @@ class Parts(Kept):
         return array("I", [ids[r] for r in self.encode(piece.encode() + _END)]).tobytes()
 
     def made(self, part: bytes) -> bytes:
+        if part.isalpha():   # of bytes: A-Z and a-z only
+            return self.known[part.lower().decode()]
+        if part[-1:] in _SIGNS and part[:-1].isalpha():
+            return self.known[part[:-1].lower().decode()] + self.known[part[-1:].decode()]
         text = part.decode()
         if not _USUAL.fullmatch(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        text = text.lower()
-        if text.isalpha() and text.isascii():
-            return self.known[text]
-        return b"".join(map(self.known.__getitem__, self.pieces(text)))
+        return b"".join(map(self.known.__getitem__, self.pieces(text.lower())))
 
 
 @lru_cache(maxsize=1)
