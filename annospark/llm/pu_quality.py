@@ -112,8 +112,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _newton(rows: DataFrame, prior: float | None, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Weights of standardised measures.  ``prior`` None: P against U, else the non-negative risk.
 
-    Newton steps on the convex unbiased risk; of some step lengths the one with
-    the least non-negative risk is taken, all of them judged in one pass.
+    Newton steps on the non-negative risk: where its part of the negatives is
+    below zero, slope and curvature are those of the positives alone.  Of some
+    step lengths the one with the least risk is taken, all judged in one pass.
     """
     k = len(centre)
     w = np.zeros(k)
@@ -123,13 +124,10 @@ def _newton(rows: DataFrame, prior: float | None, centre: np.ndarray, scale: np.
         x[:, 0] = 1.0
         p = _sigmoid(x @ w)
         heavy = p * (1 - p)
-        out = {"u": np.array([len(x)]), "gu": x.T @ p, "hu": (x * heavy[:, None]).T @ x, "n": np.array([positive.sum()]),
-               "sp": x[positive].sum(0)}
-        if prior is None:
-            xp, pp = x[positive], p[positive]
-            out["gp"] = xp.T @ (pp - 1)
-            out["hp"] = (xp * (pp * (1 - pp))[:, None]).T @ xp
-        return out
+        z, xp, pp = x @ w, x[positive], p[positive]
+        return {"u": np.array([len(x)]), "gu": x.T @ p, "hu": (x * heavy[:, None]).T @ x, "n": np.array([positive.sum()]),
+                "sp": xp.sum(0), "gp": xp.T @ (pp - 1), "hp": (xp * (pp * (1 - pp))[:, None]).T @ xp,
+                "lu": np.array([_softplus(z).sum()]), "ln": np.array([_softplus(z[positive]).sum()])}
 
     def risks(x: np.ndarray, positive: np.ndarray) -> dict[str, np.ndarray]:
         x = (x - centre) / scale
@@ -141,13 +139,14 @@ def _newton(rows: DataFrame, prior: float | None, centre: np.ndarray, scale: np.
     penalty = PENALTY * np.r_[0.0, np.ones(k - 1)]
     best = np.inf
     for _ in range(STEPS):
-        names = ["u", "gu", "hu", "n", "sp"] + (["gp", "hp"] if prior is None else [])
-        s = _sums(rows, slopes, names)
+        s = _sums(rows, slopes, ["u", "gu", "hu", "n", "sp", "gp", "hp", "lu", "ln"])
         n_u, n_p = s["u"][0], s["n"][0]
         if prior is None:
             grad, hess = s["gu"] / n_u + s["gp"] / n_p, s["hu"] / n_u + s["hp"] / n_p
-        else:
+        elif s["lu"][0] / n_u >= prior * s["ln"][0] / n_p:
             grad, hess = s["gu"] / n_u - prior * s["sp"] / n_p, s["hu"] / n_u
+        else:   # the part of the negatives counts as zero
+            grad, hess = prior * s["gp"] / n_p, prior * s["hp"] / n_p
         move = np.linalg.solve(hess.reshape(k, k) + np.diag(penalty + 1e-6), grad + penalty * w)
         lengths = np.array([1.0, 0.5, 0.25, 0.1, 0.02])
         tries = w - lengths[:, None] * move
