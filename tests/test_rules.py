@@ -222,3 +222,34 @@ def test_pair_self_join_blocks_follow_the_group(spark):
     for block in (5, 512):
         pairs = iv.pair_self_join(frame, "g", "i", block).collect()
         assert {(r.g, r.i, r.j) for r in pairs} == expected and len(pairs) == len(expected)
+
+
+def test_distance_matrix_scores_block_pairs_as_arrays(spark):
+    from annospark.operators import matrix as mx
+    pick = np.random.default_rng(5)
+    rows = [("hot" if i % 5 else None, f"n{i % 57}", [float(x) for x in pick.normal(size=3)]) for i in range(70)]
+    rows += [("hot", "short", [1.0]), ("hot", "hole", [1.0, None, 2.0]), ("hot", "none", None), ("hot", "zero", [0.0] * 3), ("one", "x", [2.0])]
+    frame = spark.createDataFrame(rows, "label string, name string, v array<double>")
+
+    def d(kind, a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return None
+        a, b = np.array(a), np.array(b)
+        norms = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.linalg.norm(a - b)), 9) if kind == "euclidean" else round(1 - float(a @ b) / norms, 9) if norms else None
+    for kind in ("euclidean", "cosine"):
+        expected = [(g, i, j, d(kind, a, b)) for g, i, a in rows for h, j, b in rows if g and g == h and i != j] + [(g, i, i, 0.0) for g, i, _ in rows]
+        for block in (7, 512):
+            out = mx.distance_matrix(frame, "label", "name", "v", kind, block)
+            assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString() and "zip_with" not in out._jdf.queryExecution().toString()
+            got = [(r.label, r.i, r.j, None if r.d is None else round(r.d, 9)) for r in out.collect()]
+            assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_near_pairs_deals_whole_blocks(spark):
+    from annospark.operators import matrix as mx
+    frame = spark.range(3000).select(F.lit("a").alias("label"), F.col("id").alias("vec_id"),
+                                     F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
+    out = mx.near_pairs(frame, "label", "vec_id", "v", 1.0)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
+    assert sorted((r.i, r.j, r.d) for r in out.collect()) == [(i, i + 1, 1.0) for i in range(2999)]
