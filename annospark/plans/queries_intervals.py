@@ -329,7 +329,7 @@ def q_near_pairs(spark, sf_dir):
     """K1 with a bound: the pairs of a label within a distance."""
     e = V.table(spark, sf_dir, "embeddings").select("label", "vec_id",
                                                     F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return _r(mx.near_pairs(e, "label", "vec_id", "v", 1.25, block=64), ["d"])
+    return _r(mx.near_pairs(e, "label", "vec_id", "v", 1.25), ["d"])
 
 
 _TILE = 4
