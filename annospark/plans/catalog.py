@@ -68,10 +68,10 @@ _CLOSURE_CACHE: dict[tuple[str, str], DataFrame] = {}
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transitive closure of V_dag, for the queries that return it; computed once per session."""
+    """The transitive closure of V_dag as lists, for the queries that return it; computed once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CLOSURE_CACHE:
-        _CLOSURE_CACHE[key] = onto.closure_with_distance(V.dag_edges(spark, sf_dir))
+        _CLOSURE_CACHE[key] = onto.closure_lists(V.dag_edges(spark, sf_dir))
     return _CLOSURE_CACHE[key]
 
 

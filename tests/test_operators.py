@@ -313,3 +313,37 @@ def test_levels_of_a_deep_chain_and_a_cycle(spark):
     for cycle in ([(1, 1)], [(1, 2), (2, 1)], [(3, 1), (1, 2), (2, 1)]):
         with pytest.raises(onto.OntologyCycleError):
             onto.edge_levels(spark.createDataFrame(cycle, "child long, parent long"))
+
+
+def test_closure_is_handed_down_as_lists(spark):
+    rows = [(7, 1), (9, 7), (9, 1), (12, 9), (12, 7), (3, None), (None, 1), (7, 1)]
+    edges = spark.createDataFrame(rows, "child long, parent long")
+    lists = {r.term: dict(zip(r.ancestors, r.dists)) for r in onto.closure_lists(edges).collect()}
+    assert lists == {7: {1: 1}, 9: {7: 1, 1: 1}, 12: {9: 1, 7: 1, 1: 2}}
+    nodes = spark.createDataFrame([(9, "n"), (12, "m"), (1, "r")], "term long, label string")
+    rows_of = onto.ancestors(nodes, onto.closure_lists(edges)).collect()
+    assert sorted((r.term, r.ancestor) for r in rows_of) == [(9, 1), (9, 7), (12, 1), (12, 7), (12, 9)]
+    assert onto.closure_lists(edges.limit(0)).count() == 0
+
+
+def test_swept_pairs_sweep_only_large_entries(spark):
+    rnd = random.Random(8)
+    dom = [(e, m, s, s + rnd.randint(-1, 12)) for e, n in ((1, 40), (2, 3), (None, 2)) for m in "ab" for s in (rnd.randint(0, 90) for _ in range(n))]
+    struct = [(e, f"s{i}", s, s + rnd.randint(0, 9)) for i, (e, s) in enumerate((rnd.choice([1, 1, 1, 2, 3, None]), rnd.randint(0, 90)) for _ in range(60))]
+    d = spark.createDataFrame(dom, "entry long, model string, seq_start int, seq_end int")
+    s = spark.createDataFrame(struct, "entry long, struct_id string, s_start int, s_end int")
+    cols = ["entry", "model", "struct_id", "seq_start", "seq_end", "s_start", "s_end", "inter"]
+    expected = sorted((e, m, i, a, b, x, y, min(b, y) - max(a, x)) for e, m, a, b in dom for f, i, x, y in struct
+                      if e == f and e and b > a and y > x and min(b, y) > max(a, x))
+    for plain in (1000, 10, 1):
+        assert sorted(map(tuple, iv.swept_pairs(d, s, plain=plain, rows=16).select(cols).collect())) == expected
+
+
+def test_position_confusion_computes_each_input_once(spark):
+    hits = spark.createDataFrame([("x", 1, 5, 20), ("x", 2, 9, 9), ("y", 3, 1, 4), (None, 1, 2, 6)], "model string, entry long, seq_start int, seq_end int")
+    truth = spark.createDataFrame([(1, 10, 30), (2, 3, 5)], "entry long, seq_start int, seq_end int")
+    ents = spark.createDataFrame([(1, 40), (2, 10)], "entry long, len int")
+    out = ev.position_confusion_intervals(hits, truth, ents, "entry", "len", ["model"])
+    got = {(r.model, r.entry): (r.tp, r.fp, r.tn, r.fn) for r in out.collect()}
+    assert got == {("x", 1): (10, 5, 14, 10), ("x", 2): (0, 0, 7, 2), ("y", 3): (0, 0, 0, 0), (None, 1): (0, 0, 0, 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 5   # keys are joined once, not four times
