@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annospark.operators.intervals import sweep_join
+from annospark.operators.intervals import swept_pairs
 from annospark.operators.reshape import coverage_filter, parse_ranges, to_positions
 from annospark.session import cut_lineage
 
@@ -185,33 +185,36 @@ def position_confusion_intervals(pred_hits: DataFrame, truth: DataFrame, entries
     """
     g = list(group)
     keys = pred_hits.select(*g, entry).distinct()
-    def ev_rows(df: DataFrame, s: str, e: str, kind: str) -> DataFrame:
-        d = {"P": (1, 0, 0), "T": (0, 1, 0), "L": (0, 0, 1)}[kind]
-        ok = df.where(F.col(e) > F.col(s))
-        cols = lambda sign, pos: [F.col(pos).alias("p"), *(F.lit(sign * v).alias(n) for v, n in zip(d, ("dp", "dt", "dl")))]
-        return ok.select(*g, entry, *cols(1, s)).unionByName(ok.select(*g, entry, *cols(-1, e)))
-    known = entries.select(entry, length).join(keys.select(entry).distinct(), entry, "left_semi")
-    t_keyed = keys.join(truth.join(known.select(entry), entry, "left_semi").select(entry, "seq_start", "seq_end"), entry)
-    l_keyed = keys.join(known.select(entry, F.lit(1).alias("_one"), F.col(length).alias("_len")), entry)
-    events = (ev_rows(pred_hits.select(*g, entry, "seq_start", "seq_end"), "seq_start", "seq_end", "P")
-              .unionByName(ev_rows(t_keyed, "seq_start", "seq_end", "T"))
-              .unionByName(ev_rows(l_keyed, "_one", "_len", "L"))
+
+    def ends(s: Column, e: Column, kind: str) -> Column:
+        at = ("P", "T", "L").index(kind)
+        event = lambda sign, pos: F.struct(pos.alias("p"), *[F.lit(sign * (i == at)).alias(n) for i, n in enumerate(("dp", "dt", "dl"))])
+        return F.when(e > s, F.array(event(1, s), event(-1, e)))
+    known = entries.select(entry, F.col(length).alias("_len")).join(keys.select(entry).distinct(), entry, "left_semi")
+    held = truth.join(known.select(entry), entry, "left_semi")
+    # the events of an entry, once for all of its groups
+    given = (held.select(entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "T")))
+             .unionByName(known.select(entry, F.inline(ends(F.lit(1), F.col("_len"), "L")))))
+    none = [F.lit(0).alias(n) for n in ("dp", "dt", "dl")]
+    # a key without a place keeps its row
+    events = (pred_hits.select(*g, entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "P")))
+              .unionByName(keys.join(given, entry).select(*g, entry, "p", "dp", "dt", "dl"))
+              .unionByName(keys.select(*g, entry, F.lit(None).cast("int").alias("p"), *none))
               .groupBy(*g, entry, "p").agg(F.sum("dp").alias("dp"), F.sum("dt").alias("dt"), F.sum("dl").alias("dl")))
     w = Window.partitionBy(*g, entry).orderBy("p")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     seg = (events.select(*g, entry, "p",
                          F.sum("dp").over(run).alias("cp"), F.sum("dt").over(run).alias("ct"),
                          F.sum("dl").over(run).alias("cl"), F.lead("p").over(w).alias("np"))
-           .where(F.col("np").isNotNull())
            .withColumn("len_", (F.col("np") - F.col("p")).cast("long")))
     in_p, in_t, in_l = F.col("cp") > 0, F.col("ct") > 0, F.col("cl") > 0
-    part = lambda c: F.sum(F.when(c, F.col("len_")).otherwise(F.lit(0).cast("long"))).cast("long")
+    named = F.lit(True)
+    for c in (*g, entry):   # keys that are null hold no positions
+        named = named & F.col(c).isNotNull()
+    part = lambda c: F.sum(F.when(named & c, F.col("len_")).otherwise(F.lit(0).cast("long"))).cast("long")
     conf = seg.groupBy(*g, entry).agg(part(in_p & in_t).alias("tp"), part(in_p & in_l & ~in_t).alias("fp"),
                                       part(in_l & ~in_t & ~in_p).alias("tn"), part(in_t & ~in_p).alias("fn"))
-    zero = F.lit(0).cast("long")
-    full = (keys.join(conf, [*g, entry], "left")
-            .select(*g, entry, *[F.coalesce(F.col(c), zero).alias(c) for c in ("tp", "fp", "tn", "fn")]))
-    return metrics(full)
+    return metrics(conf)
 
 
 def metric_distribution(per_entry: DataFrame, metric_cols: Sequence[str] = ("precision", "recall", "accuracy",
@@ -269,9 +272,9 @@ def structure_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, en
 
 
 def overlapping_coverage(dom: DataFrame, struct: DataFrame, lengths: DataFrame, entry: str = "entry") -> DataFrame:
-    """I7 for the pairs that share a position: all pairs with a recall above 0, by a distributed sweep, without the
-    product of an entry's domains and structures."""
-    return _pair_metrics(sweep_join(dom, struct, entry).drop("inter").join(lengths, entry), entry)
+    """I7 for the pairs that share a position: all pairs with a recall above 0, by a distributed sweep where an
+    entry has many, without the product of its domains and structures."""
+    return _pair_metrics(swept_pairs(dom, struct, entry).drop("inter").join(lengths, entry), entry)
 
 
 def _pair_metrics(pairs: DataFrame, entry: str) -> DataFrame:

@@ -30,6 +30,7 @@ from annospark.session import cut_lineage
 
 OVERLAP_BUCKET = 256          # positions per bucket of the overlap join
 SWEEP_ROWS = 8192             # intervals per range of the sweep join
+PLAIN_ROWS = 256              # intervals of an entry that are paired at once
 
 
 def stack_models(dfs: Sequence[DataFrame]) -> DataFrame:
@@ -94,9 +95,8 @@ def majority_vote(clustered: DataFrame) -> DataFrame:
     """
     key = ["entry", "cs", "ce"]
     size = clustered.groupBy(*key).agg(F.sum("w").alias("n"))
-    events = (clustered.select(*key, F.col("s").alias("p"), F.col("w").alias("dw"))
-              .unionByName(clustered.select(*key, F.col("e").alias("p"), (-F.col("w")).alias("dw")))
-              .groupBy(*key, "p").agg(F.sum("dw").alias("dw")))
+    ends = F.array(F.struct(F.col("s").alias("p"), F.col("w").alias("dw")), F.struct(F.col("e").alias("p"), (-F.col("w")).alias("dw")))
+    events = clustered.select(*key, F.inline(ends)).groupBy(*key, "p").agg(F.sum("dw").alias("dw"))
     w = Window.partitionBy(*key).orderBy("p")
     seg = (events.withColumn("cov", F.sum("dw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("next_p", F.lead("p").over(w))
@@ -124,19 +124,16 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "seq_start"
     """
     k = list(keys)
     nonempty = df.where(F.col(end) > F.col(start))
-    events = (nonempty.select(*k, F.col(start).alias("p"), F.lit(1).alias("d"))
-              .unionByName(nonempty.select(*k, F.col(end).alias("p"), F.lit(-1).alias("d")))
-              .groupBy(*k, "p").agg(F.sum("d").alias("d")))
+    # both events of an interval from one row, so that the input is computed once and keeps its partitions
+    ends = F.array(F.struct(F.col(start).alias("p"), F.lit(1).alias("d")), F.struct(F.col(end).alias("p"), F.lit(-1).alias("d")))
+    events = nonempty.select(*k, F.inline(ends)).groupBy(*k, "p").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*k).orderBy("p")
     cov = events.withColumn("cov", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cov = cov.withColumn("prev", F.coalesce(F.lag("cov").over(w), F.lit(0)))
-    opens = (F.col("prev") == 0) & (F.col("cov") > 0)
-    closes = (F.col("prev") > 0) & (F.col("cov") == 0)
-    marked = (cov.where(opens | closes)
-              .withColumn("_run", F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return (marked.groupBy(*k, "_run")
-            .agg(F.min(F.when(opens, F.col("p"))).alias("s"), F.max(F.when(closes, F.col("p"))).alias("e"))
-            .drop("_run"))
+    opens = (F.col("cov") > 0) & (F.col("cov") == F.col("d"))
+    closes = (F.col("cov") == 0) & (F.col("d") < 0)
+    # openings and closings alternate, so a run ends at the next row
+    return (cov.where(opens | closes).withColumn("e", F.lead("p").over(w)).where(opens)
+            .select(*k, F.col("p").alias("s"), "e"))
 
 
 def interval_overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], bucket: int = OVERLAP_BUCKET) -> DataFrame:
@@ -216,6 +213,27 @@ def sweep_join(dom: DataFrame, struct: DataFrame, entry: str = "entry", rows: in
                         *ends, inter.cast(kinds["seq_start"]).alias("inter"))
 
 
+def swept_pairs(dom: DataFrame, struct: DataFrame, entry: str = "entry", plain: int = PLAIN_ROWS, rows: int = SWEEP_ROWS) -> DataFrame:
+    """C9 as ``sweep_join`` gives it, where most entries have few intervals.
+
+    An entry with at most ``plain`` of them on either side is paired by one join
+    on the entry, so by at most that many comparisons for each interval; only the
+    others are dealt by range and swept.
+    """
+    def large(df: DataFrame) -> DataFrame:
+        return df.groupBy(entry).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > plain).select(entry)
+    many = cut_lineage(large(dom).join(large(struct), entry, "full").select(entry))
+    inter = F.least("seq_end", "s_end") - F.greatest("seq_start", "s_start")
+
+    def paired(d: DataFrame, s: DataFrame) -> DataFrame:
+        full = d.where("seq_end > seq_start").join(s.where("s_end > s_start"), entry).where(inter > 0)
+        return full.withColumn("inter", inter.cast(dict(dom.dtypes)["seq_start"]))
+    if many.isEmpty():
+        return paired(dom, struct)
+    few = paired(dom.join(many, entry, "left_anti"), struct.join(many, entry, "left_anti"))
+    return few.unionByName(sweep_join(dom.join(many, entry, "left_semi"), struct.join(many, entry, "left_semi"), entry, rows))
+
+
 def pair_self_join(df: DataFrame, group: str, item: str, block: int = BLOCK_ITEMS) -> DataFrame:
     """Unordered pairs (i < j) of items inside a group.
 
