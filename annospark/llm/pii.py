@@ -10,7 +10,8 @@ added.  Base spans always stay; an added span never overlaps a chosen one.
 Labels of the trees come from the table itself.  Every accepted base span is
 rewritten into the other ways of writing its kind (a positive example in its
 true context); digit and dot strings that fail the checks of their kind, with
-their contexts, are the negative examples.  The fit takes a bounded sample of them.
+their contexts, are the negative examples.  The fit and the thresholds take all of
+them: examples of equal features are one weighted row.
 
 Defined results: null and empty texts have no spans; rows that repeat are judged
 alike; an empty table gives no rows and needs no model; columns other than
@@ -64,8 +65,6 @@ CUES = {
 }
 AGAINST = r"(?i)version|isbn|issn|order|invoice|build|release|section|chapter|serial|part\sno|ticket|doi|rfc|page"
 
-#: Bound of the candidates that the trees are fitted to, of each label.
-SAMPLE = 4000
 ROUNDS, DEPTH = 12, 3
 #: Least precision on held-out candidates at the chosen threshold.
 PRECISION = 0.95
@@ -194,18 +193,16 @@ def rewritten(kind_no: Column, span: Column) -> Column:
                   KINDS, F.array().cast("array<string>"))
 
 
-def examples(candidates: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Labelled rewritten candidates: at most ``sample`` of either label, by least hash."""
+def examples(candidates: DataFrame) -> DataFrame:
+    """All labelled rewritten candidates: a row for each label, place and feature vector, ``weight`` the examples that have it."""
     base = candidates.select(F.explode(F.filter("candidates", lambda c: c["base"])).alias("c"))
     rows = base.select(F.col("c.ok").alias("ok"), F.col("c.kind_no").alias("kind_no"), F.col("c.before").alias("before"),
                        F.col("c.after").alias("after"), F.explode(rewritten(F.col("c.kind_no"), F.col("c.span"))).alias("span"))
     rows = rows.dropna(subset=["span"]).distinct()
-    order = F.xxhash64("kind_no", "span", "before", "after")
-    label = [rows.where(F.col("ok") == ok).orderBy(order, "kind_no", "span", "before", "after").limit(sample)
-             for ok in (True, False)]
-    rows = label[0].unionByName(label[1]).withColumn("place", F.pmod(order, F.lit(4)))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("kind_no", "span", "before", "after"), F.lit(4)))
     made = features(*[F.col(c) for c in ("kind_no", "span", "before", "after")])
-    return rows.select(F.col("ok").cast("double").alias("label"), "place", *[c.alias(k) for k, c in made.items()])
+    return (rows.select(F.col("ok").cast("double").alias("label"), "place", *[c.alias(k) for k, c in made.items()])
+            .groupBy("label", "place", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
 class Judge:
@@ -235,20 +232,20 @@ def _tree(node) -> tuple:
     return ("split", FEATURES[split.featureIndex()], split.threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def fit(candidates: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Judge:
+def fit(candidates: DataFrame, precision: float = PRECISION) -> Judge:
     """Fit on three quarters of the examples, calibrate thresholds on the rest.
 
     A kind's threshold is the least score at which held-out examples of that
     kind are right with ``precision``; a kind without positive held-out examples adds nothing.
     """
-    rows = written(examples(candidates, sample).coalesce(1), "pii-examples")
+    rows = written(examples(candidates), "pii-examples")
     if {r[0] for r in rows.where("place > 0").select("label").distinct().collect()} != {0.0, 1.0}:
         return Judge([], [], dict.fromkeys(KINDS, 2.0))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED).fit(vectors.where("place > 0"))
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, weightCol="weight").fit(vectors.where("place > 0"))
     held = model.transform(vectors.where("place = 0")).select(
-        "kind_no", "label", F.floor(vector_to_array("probability")[1] * 50).alias("step"))
-    steps = held.groupBy("kind_no", "step").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("all")).collect()
+        "kind_no", "label", "weight", F.floor(vector_to_array("probability")[1] * 50).alias("step"))
+    steps = held.groupBy("kind_no", "step").agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("all")).collect()
     thresholds = {}
     for no, kind in enumerate(KINDS):
         own = sorted(((r["step"], r["right"], r["all"]) for r in steps if r["kind_no"] == no), reverse=True)
@@ -283,14 +280,14 @@ def chosen(candidates: Column, judge: Judge) -> Column:
                        .otherwise(acc))
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame) -> DataFrame:
     """doc_id, spans: array of (kind_no, start, end, base, score), by kind, then start."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     candidates = written(with_candidates(rows).drop("text"), "pii-candidates")
-    return candidates.select("doc_id", F.array_sort(chosen(F.col("candidates"), fit(candidates, sample))).alias("spans"))
+    return candidates.select("doc_id", F.array_sort(chosen(F.col("candidates"), fit(candidates))).alias("spans"))
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; n_chars, if there, follows.
 
     The model is fitted to a first pass; the second proposes, judges and
@@ -298,7 +295,7 @@ def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     judge = fit(written(with_candidates(rows).select(F.filter("candidates", lambda c: c["base"]).alias("candidates")),
-                        "pii-candidates"), sample)
+                        "pii-candidates"))
     spans = F.transform(chosen(F.col("__candidates"), judge),
                         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind_no"].alias("kind_no")))
     df = with_candidates(docs, out="__candidates").withColumn("__spans", F.array_sort(spans))

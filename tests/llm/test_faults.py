@@ -133,3 +133,11 @@ def test_bands_reject_junk_that_the_base_rule_keeps(spark):
     clean = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert clean.where("NOT base_failed AND NOT kept").count() == 0
     assert clean.where("kept").count() == 919
+
+
+def test_personal_data_is_learned_from_all_examples(spark):
+    from annospark.llm import pii
+    texts = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to u"), F.col("id").cast("string"), F.lit("@host.org or 10.0.0.999")).alias("text"))
+    rows = pii.examples(pii.with_candidates(texts)).groupBy("label").agg(F.sum("weight").alias("n")).collect()
+    # an address is rewritten in three ways, a refused number in two, each in a context of its own
+    assert {r["label"]: r["n"] for r in rows} == {1.0: 18000.0, 0.0: 12000.0}
