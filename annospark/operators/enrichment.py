@@ -179,11 +179,38 @@ def propagate_pvalue(res: DataFrame, desc_table: DataFrame, term: str = "term",
                .join(desc_table.select(F.col("term").alias("ancestor"), "descendant"), "descendant")
                .groupBy(*g, F.col("ancestor").alias(term))
                .agg(*[F.min(f"_child_{c}").alias(f"_child_{c}") for c in ps]))
-    return (res.join(child_p, on=[*g, term], how="left")
+    return _with_child_values(res, child_p, [*g, term], ps)
+
+
+def _with_child_values(res: DataFrame, child_p: DataFrame, keys: list[str], ps: list[str]) -> DataFrame:
+    return (res.join(child_p, on=keys, how="left")
             .withColumns({c: F.least(F.col(c), F.coalesce(F.col(f"_child_{c}"), F.col(c))) for c in ps})
             .drop(*[f"_child_{c}" for c in ps]))
 
 
+def propagate_within_groups(res: DataFrame, blocks: DataFrame, term: str = "term", group_cols: Sequence[str] = ()) -> DataFrame:
+    """G5 as ``propagate_pvalue`` gives it, for many groups that hold few of the terms each.
+
+    ``blocks`` comes from ``ontology.blocked_lists``.  Most ancestors of a term
+    have no row in its group, so a value is not sent to all of them: a row is
+    told the blocks that have its term among their ancestors, meets there the
+    rows of its own group, and only these pairs are looked up in the lists.
+    """
+    g = list(group_cols)
+    ps = [c for c in ("p_value", "log_p") if c in res.columns]
+    # groups meet by their hash; another group's terms drop out in the last join, which compares the groups themselves
+    group = F.xxhash64(*[F.col(c) for c in g]) if g else F.lit(0).cast("long")
+    rows = res.select(*g, F.col(term).alias("_term"), *ps)
+    needs = blocks.select("block", F.explode("ancestors").alias("_above")).distinct()
+    above = rows.select(group.alias("_group"), F.col("_term").alias("_above")).distinct().join(needs, "_above")
+    below = rows.withColumn("_group", group).join(blocks.select("block", F.col("term").alias("_term")), "_term")
+    pairs = below.join(above, ["_group", "block"]).where(F.col("_term") != F.col("_above")).drop("_group", "block")
+    child_p = (pairs.join(blocks.select(F.col("term").alias("_term"), "ancestors"), "_term")
+               .where(F.array_contains("ancestors", F.col("_above")))
+               .groupBy(*g, F.col("_above").alias(term)).agg(*[F.min(c).alias(f"_child_{c}") for c in ps]))
+    return _with_child_values(res, child_p, [*g, term], ps)
+
+
 #: Levels pushed in one plan; deeper graphs are checkpointed in between.
 LEVELS_AT_ONCE = 16
 
@@ -225,7 +252,7 @@ def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFr
     in to reuse them across calls; ``table`` may be a ready contingency table
     (e.g. from ``contingency_flagged``) instead of target/background.  With many
     groups of few terms, most terms that a value passes have no row in its
-    group: then one join with a given ``closure`` moves fewer rows.
+    group: then a given ``closure`` moves fewer rows, as lists (``ontology.closure_lists``) the fewest.
     """
     if edges is None and (depth_table is None or (propagate and levels is None and closure is None)):
         raise ValueError("edges are required when levels or depths are not given")
@@ -235,7 +262,9 @@ def enrich(target: DataFrame | None, background: DataFrame | None, nodes: DataFr
              .withColumnRenamed("term", term))
     fis = fisher_columns(table) if table is not None else fisher_test(target, background, term, group_cols)
     res = fis.join(known, term)
-    if propagate and closure is not None:
+    if propagate and closure is not None and "ancestors" in closure.columns:
+        res = propagate_within_groups(cut_lineage(res), onto.blocked_lists(nodes, closure), term, group_cols)
+    elif propagate and closure is not None:
         res = propagate_pvalue(cut_lineage(res), onto.descendants(nodes, closure), term, group_cols)
     elif propagate:
         levels = levels if levels is not None else onto.edge_levels(edges)
