@@ -211,31 +211,36 @@ def propagate_within_groups(res: DataFrame, blocks: DataFrame, term: str = "term
     return _with_child_values(res, child_p, [*g, term], ps)
 
 
-#: Levels pushed in one plan; deeper graphs are checkpointed in between.
-LEVELS_AT_ONCE = 16
-
-
 def propagate_along_edges(res: DataFrame, levels: DataFrame, term: str = "term", group_cols: Sequence[str] = ()) -> DataFrame:
     """G5 without a closure: the least p-value is pushed along the is_a edges, level by level.
 
-    ``levels(child, parent, level)`` comes from ``ontology.edge_levels``.  Every
-    value meets each edge above it once, so the rows moved are those of the
-    result for each level, not those of all its ancestors.  Terms without a row
-    of their own pass values on.
+    ``levels(child, parent, level)`` comes from ``ontology.edge_levels``.  A
+    row waits for the level of its term, meets each edge above it once and is
+    then done, so a level moves the rows that wait, not the whole result.
+    Terms without a row of their own pass values on.
     """
     g = list(group_cols)
     ps = [c for c in ("p_value", "log_p") if c in res.columns]
+    own = levels.select(F.col("child").alias("_term"), F.col("level").alias("_level")).distinct()   # none for a term without parents
+    up = cut_lineage(levels.select(F.col("child").alias("_child"), F.col("parent").alias("_term"), "level")
+                     .join(own, "_term", "left").withColumnRenamed("_term", "_parent"))
     number = levels.agg(F.max("level")).first()[0]
-    state = res.select(*g, F.col(term).alias("_term"), *ps)
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*g, "_term", "_level").agg(*[F.min(c).alias(c) for c in ps])
+    waiting = cut_lineage(least(res.select(*g, F.col(term).alias("_term"), *ps).join(own, "_term", "left")))
+    done: list[DataFrame] = []
     for level in range(0 if number is None else number + 1):
-        up = levels.where(F.col("level") == level).select(F.col("child").alias("_child"), F.col("parent").alias("_parent"))
-        # a row without an edge of this level stays, one with such edges stays and goes to each parent
-        moved = state.join(up, state["_term"] == up["_child"], "left").withColumn(
-            "_to", F.explode(F.when(F.col("_parent").isNull(), F.array("_term")).otherwise(F.array("_term", "_parent"))))
-        state = moved.groupBy(*g, F.col("_to").alias("_term")).agg(*[F.min(c).alias(c) for c in ps])
-        if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
-            state = cut_lineage(state)
-    best = state.select(*g, F.col("_term").alias(term), *[F.col(c).alias(f"_best_{c}") for c in ps])
+        now = waiting.where(F.col("_level") == level)
+        done.append(now)
+        moved = (now.drop("_level").join(up.where(F.col("level") == level), F.col("_term") == F.col("_child"))
+                 .select(*g, F.col("_parent").alias("_term"), "_level", *ps))
+        later = waiting.where(F.col("_level").isNull() | (F.col("_level") > level)).select(*moved.columns)
+        waiting = cut_lineage(least(later.unionByName(moved)))
+    best = waiting
+    for part in done:
+        best = best.unionByName(part)
+    best = best.select(*g, F.col("_term").alias(term), *[F.col(c).alias(f"_best_{c}") for c in ps])
     return (res.join(best, on=[*g, term]).withColumns({c: F.col(f"_best_{c}") for c in ps})
             .drop(*[f"_best_{c}" for c in ps]))
 
