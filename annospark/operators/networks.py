@@ -53,9 +53,10 @@ def structure_map_from_lists(entries: DataFrame, entry: str = "entry", col: str
 def structure_sets(ann: DataFrame, seeds: DataFrame, mapping: DataFrame, entry: str = "entry",
                    struct: str = "struct_id") -> tuple[DataFrame, DataFrame]:
     """H4: background = annotations of entries having any structure; target =
-    background restricted to entries sharing a structure with a seed."""
+    background restricted to entries sharing a structure with a seed (which
+    all have one, so the target needs no join with the mapping)."""
     background = ann.join(mapping.select(entry), entry, "left_semi")
-    target = background.join(shared_structure(seeds, mapping, entry, struct), entry, "left_semi")
+    target = ann.join(shared_structure(seeds, mapping, entry, struct), entry, "left_semi")
     return target, background
 
 
