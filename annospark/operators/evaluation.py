@@ -173,47 +173,51 @@ def position_confusion_intervals(pred_hits: DataFrame, truth: DataFrame, entries
                                  length: str = "len", group: Sequence[str] = ()) -> DataFrame:
     """I4 without materialising positions (same result as ``position_confusion``).
 
-    One coverage sweep per (group, entry) over three kinds of +/- events:
-    predicted intervals P, truth intervals T and the sequence range
-    L = [1, len).  Between consecutive event positions the membership is
-    constant, so each segment adds its length to exactly one of
-    tp (P∩T), fp (P∩L−T), fn (T−P) or tn (L−T−P) — the reference's sets with
+    One coverage sweep per (group, entry) over two kinds of +/- events:
+    predicted intervals P and truth intervals T.  Between consecutive event
+    positions the membership is constant, so each segment adds its length to
+    tp (P∩T) or fn (T−P), and its part inside the sequence range L = [1, len)
+    to fp (P∩L−T); tn (L−T−P) is the rest of L — the reference's sets with
     U = L ∪ T.  Events are summed per position first, so the ordered window
     per key holds at most one row per distinct endpoint (bounded by the
-    sequence length, whatever the number of hits).  Entries unknown to
-    ``entries`` contribute no T/L events: zero counts, null metrics.
+    sequence length, whatever the number of hits), and one before them that
+    carries the length.  Entries unknown to ``entries`` contribute no T and no
+    L: zero counts, null metrics.
     """
     g = list(group)
     keys = pred_hits.select(*g, entry).distinct()
 
     def ends(s: Column, e: Column, kind: str) -> Column:
-        at = ("P", "T", "L").index(kind)
-        event = lambda sign, pos: F.struct(pos.alias("p"), *[F.lit(sign * (i == at)).alias(n) for i, n in enumerate(("dp", "dt", "dl"))])
+        event = lambda sign, pos: F.struct(pos.alias("p"), F.lit(sign if kind == "P" else 0).alias("dp"), F.lit(sign if kind == "T" else 0).alias("dt"))
         return F.when(e > s, F.array(event(1, s), event(-1, e)))
-    known = entries.select(entry, F.col(length).alias("_len")).join(keys.select(entry).distinct(), entry, "left_semi")
+    known = entries.select(entry, F.col(length).alias("_len"))
+    nothing = F.lit(None).cast(dict(entries.dtypes)[length]).alias("_len")
     held = truth.join(known.select(entry), entry, "left_semi")
-    # the events of an entry, once for all of its groups
-    given = (held.select(entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "T")))
-             .unionByName(known.select(entry, F.inline(ends(F.lit(1), F.col("_len"), "L")))))
-    none = [F.lit(0).alias(n) for n in ("dp", "dt", "dl")]
-    # a key without a place keeps its row
-    events = (pred_hits.select(*g, entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "P")))
-              .unionByName(keys.join(given, entry).select(*g, entry, "p", "dp", "dt", "dl"))
-              .unionByName(keys.select(*g, entry, F.lit(None).cast("int").alias("p"), *none))
-              .groupBy(*g, entry, "p").agg(F.sum("dp").alias("dp"), F.sum("dt").alias("dt"), F.sum("dl").alias("dl")))
+    # the truth and the length of an entry, once for all of its groups
+    given = (held.select(entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "T")), nothing)
+             .unionByName(known.select(entry, F.lit(None).cast("int").alias("p"), F.lit(0).alias("dp"), F.lit(0).alias("dt"), "_len")))
+    zero = F.lit(0)
+    # a key that is given nothing keeps its row
+    events = (pred_hits.select(*g, entry, F.inline(ends(F.col("seq_start"), F.col("seq_end"), "P")), nothing)
+              .unionByName(keys.join(given, entry, "left").select(*g, entry, "p", F.coalesce("dp", zero).alias("dp"),
+                                                                  F.coalesce("dt", zero).alias("dt"), "_len"))
+              .groupBy(*g, entry, "p").agg(F.sum("dp").alias("dp"), F.sum("dt").alias("dt"), F.max("_len").alias("_len")))
     w = Window.partitionBy(*g, entry).orderBy("p")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    seg = (events.select(*g, entry, "p",
-                         F.sum("dp").over(run).alias("cp"), F.sum("dt").over(run).alias("ct"),
-                         F.sum("dl").over(run).alias("cl"), F.lead("p").over(w).alias("np"))
-           .withColumn("len_", (F.col("np") - F.col("p")).cast("long")))
-    in_p, in_t, in_l = F.col("cp") > 0, F.col("ct") > 0, F.col("cl") > 0
+    # the row without a place comes first
+    seg = events.select(*g, entry, "p", F.sum("dp").over(run).alias("cp"), F.sum("dt").over(run).alias("ct"),
+                        F.first("_len").over(run).alias("_len"), F.lead("p").over(w).alias("np"))
     named = F.lit(True)
     for c in (*g, entry):   # keys that are null hold no positions
         named = named & F.col(c).isNotNull()
-    part = lambda c: F.sum(F.when(named & c, F.col("len_")).otherwise(F.lit(0).cast("long"))).cast("long")
-    conf = seg.groupBy(*g, entry).agg(part(in_p & in_t).alias("tp"), part(in_p & in_l & ~in_t).alias("fp"),
-                                      part(in_l & ~in_t & ~in_p).alias("tn"), part(in_t & ~in_p).alias("fn"))
+    in_p, in_t = F.col("cp") > 0, F.col("ct") > 0
+    whole = (F.col("np") - F.col("p")).cast("long")
+    inside = F.when(F.col("_len").isNotNull(), F.greatest(F.lit(0), F.least("np", "_len") - F.greatest(F.col("p"), F.lit(1)))).cast("long")
+    part = lambda c, size: F.coalesce(F.sum(F.when(named & c, size)), F.lit(0).cast("long"))
+    full = F.when(named, F.greatest(F.lit(0), F.col("_len") - 1).cast("long"))
+    conf = seg.groupBy(*g, entry).agg(part(in_p & in_t, whole).alias("tp"), part(in_p & ~in_t, inside).alias("fp"),
+                                      (F.coalesce(F.max(full), F.lit(0).cast("long")) - part(in_p | in_t, inside)).alias("tn"),
+                                      part(in_t & ~in_p, whole).alias("fn"))
     return metrics(conf)
 
 
