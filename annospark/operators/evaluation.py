@@ -75,11 +75,10 @@ def compare_models(universe: DataFrame, truth: DataFrame, preds: DataFrame, key:
                .select(key, F.coalesce("_pos", F.lit(0)).alias("_pos")))
     n_pos = t.select(F.count(F.lit(1))).scalar()
     n_neg = u.select(F.count(F.lit(1))).scalar() - n_pos
-    per_model = (preds.select(model, key).distinct().join(flagged, key)
-                 .groupBy(model).agg(F.sum("_pos").cast("long").alias("tp"),
-                                     F.sum(1 - F.col("_pos")).cast("long").alias("fp")))
-    # a model without a prediction inside the universe keeps its row
-    per_model = preds.select(model).distinct().join(per_model, model, "left").fillna(0, ["tp", "fp"])
+    # the predictions are read once: those outside the universe keep the row of their model and count nowhere
+    count = lambda c: F.coalesce(F.sum(F.when(F.col(model).isNotNull(), c)), F.lit(0)).cast("long")
+    per_model = (preds.select(model, key).distinct().join(flagged, key, "left")
+                 .groupBy(model).agg(count(F.col("_pos")).alias("tp"), count(1 - F.col("_pos")).alias("fp")))
     conf = per_model.select(model, "tp", "fp", (n_neg - F.col("fp")).alias("tn"),
                             (n_pos - F.col("tp")).alias("fn"))
     return metrics(conf)

@@ -91,16 +91,19 @@ def majority_vote(clustered: DataFrame) -> DataFrame:
     """E4 + D7: per cluster keep positions covered by at least half of its hits
     (2*votes >= n); output the min and max kept position per cluster.
 
-    Event sweep: +w at s, -w at e; coverage is constant on [p_i, p_{i+1}).
+    Event sweep: +w at s, -w at e; coverage is constant on [p_i, p_{i+1}).  The
+    weights that begin add up to n, so the clusters are read once.
     """
     key = ["entry", "cs", "ce"]
-    size = clustered.groupBy(*key).agg(F.sum("w").alias("n"))
-    ends = F.array(F.struct(F.col("s").alias("p"), F.col("w").alias("dw")), F.struct(F.col("e").alias("p"), (-F.col("w")).alias("dw")))
-    events = clustered.select(*key, F.inline(ends)).groupBy(*key, "p").agg(F.sum("dw").alias("dw"))
+    event = lambda pos, dw, begun: F.struct(F.col(pos).alias("p"), dw.alias("dw"), begun.alias("begun"))
+    weight = F.col("w")
+    ends = F.array(event("s", weight, weight), event("e", -weight, weight - weight))
+    events = (clustered.dropna(subset=key).select(*key, F.inline(ends))
+              .groupBy(*key, "p").agg(F.sum("dw").alias("dw"), F.sum("begun").alias("begun")))
     w = Window.partitionBy(*key).orderBy("p")
     seg = (events.withColumn("cov", F.sum("dw").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("next_p", F.lead("p").over(w))
-           .join(size, key))
+           .withColumn("n", F.sum("begun").over(Window.partitionBy(*key))))
     kept = seg.where((F.col("cov") > 0) & (2 * F.col("cov") >= F.col("n")) & F.col("next_p").isNotNull())
     return kept.groupBy(*key).agg(F.min("p").alias("seq_start"), F.max(F.col("next_p") - 1).alias("seq_end"))
 
