@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annospark.llm.common import components, written
+from annospark.llm.common import components, unsized, written
 
 SHINGLE, RADIUS = 4, 4
 #: Members of a bucket compared in one group; larger buckets are split into pairs of blocks.
@@ -130,7 +130,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(covering_masks(radius))])
     tables = fps.select("fp", F.explode(keys).alias("bucket"))
     # counted and joined, so that not even the members of one bucket meet in a task before they are cut
-    members = tables.join(tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket")
+    counts = tables.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = tables.join(unsized(counts), "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64(F.col("fp"), F.lit(7)), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

@@ -141,3 +141,10 @@ def test_personal_data_is_learned_from_all_examples(spark):
     rows = pii.examples(pii.with_candidates(texts)).groupBy("label").agg(F.sum("weight").alias("n")).collect()
     # an address is rewritten in three ways, a refused number in two, each in a context of its own
     assert {r["label"]: r["n"] for r in rows} == {1.0: 18000.0, 0.0: 12000.0}
+
+
+def test_near_duplicate_links_broadcast_no_exploded_buckets(spark):
+    from annospark.llm import simhash
+    frame = spark.range(50).withColumnRenamed("id", "fp")   # of known size
+    plan = simhash.links(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
