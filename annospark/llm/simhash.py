@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
                .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     classes = written(classes, "simhash-classes")
     lowest = classes.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = classes.join(lowest, "root").select("fp", "lowest")
-    return rows.join(named, "fp").select(
+    named = classes.join(unsized(lowest), "root").select("fp", "lowest")
+    return rows.join(unsized(named), "fp").select(
         "doc_id", "sig", "fp", F.col("lowest.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("sig") == F.col("lowest.sig"))).alias("keep"))
 
@@ -186,7 +186,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
             .groupBy(F.col("sig").alias("__sig")).agg(F.count(F.lit(1)).alias("__n")))
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("__row"), F.xxhash64("doc_id", "text").alias("__sig"))
-    rows = rows.join(kept, "__sig")
+    rows = rows.join(unsized(kept), "__sig")
     # only rows that repeat each other need a second look
     single = rows.where("__n = 1").select("__row")
     repeated = rows.where("__n > 1").dropDuplicates(["__sig"]).select("__row")

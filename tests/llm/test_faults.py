@@ -148,3 +148,11 @@ def test_near_duplicate_links_broadcast_no_exploded_buckets(spark):
     frame = spark.range(50).withColumnRenamed("id", "fp")   # of known size
     plan = simhash.links(frame)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_near_duplicate_documents_are_not_broadcast(spark):
+    from annospark.llm import simhash
+    docs = spark.createDataFrame([(i, f"text number {i} of some words", "en", "s", 1) for i in range(20)], DOCS)
+    for out in (simhash.near_duplicates(docs), simhash.drop_near_duplicates(docs)):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 20
