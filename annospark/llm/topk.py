@@ -1,8 +1,8 @@
 """Exact top-k search by distributed histogram selection.
 
 Queries and candidates are cut into blocks of bounded size; every pair of a
-query block and a candidate block is one row, dealt by its own key, and scores
-everything in it.  A query's k-th highest score is located by refining
+query block and a candidate block is one row, made where the candidate block
+lies, and scores everything in it.  A query's k-th highest score is located by refining
 histograms: each round splits the interval known to hold it into equal bins,
 every pair of blocks counts its scores by bin, Spark adds the counts up, and the bin in
 which the count from above reaches k is the next interval.  When the interval
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annospark.llm.common import prefix_sums, written
+from annospark.llm.common import prefix_sums, unsized, written
 
 K, STEP, SCALE = 20, 20, 64
 #: Rows of a block of queries, of candidates; bins of a round.
@@ -74,14 +74,16 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
 
 
 def _pairs(queries: tuple[DataFrame, int], candidates: tuple[DataFrame, int], name: str) -> DataFrame:
-    """Each query block with each candidate block, dealt by the pair: (q_block, q_ids, q_width, ..., c_vectors)."""
-    def side(blocks: DataFrame, tag: str, other: str, others: int) -> DataFrame:
-        return blocks.select(F.col("block").alias(f"{tag}_block"), *[F.col(c).alias(f"{tag}_{c}") for c in ("ids", "width", "vectors")],
-                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(f"{other}_block"))
-    (q, n_q), (c, n_c) = queries, candidates
-    if not n_q or not n_c:
-        n_q = n_c = 1  # no rows to explode
-    return written(side(q, "q", "c", n_c).join(side(c, "c", "q", n_q), ["q_block", "c_block"]), name)
+    """Each query block with each candidate block: (q_block, q_ids, q_width, ..., c_vectors).
+
+    A query block, the lesser of the two, goes to every candidate block; a candidate block moves once.
+    """
+    def side(blocks: DataFrame, tag: str) -> DataFrame:
+        return blocks.select(F.col("block").alias(f"{tag}_block"), *[F.col(c).alias(f"{tag}_{c}") for c in ("ids", "width", "vectors")])
+    (q, _), (c, n_c) = queries, candidates
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n_c, 1) - 1).cast("long")))   # without candidates, no row meets it
+    met = side(q, "q").select("*", each.alias("c_block"))
+    return written(met.join(unsized(side(c, "c")), "c_block"), name)
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -35,6 +35,18 @@ def test_top_k_of_large_components_lengths_and_repeats(spark):
     assert got == brute_top(rows, 6, 20)
 
 
+def test_top_k_broadcasts_no_exploded_blocks(spark, monkeypatch):
+    from annospark.llm import topk
+    vectors = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id")).alias("q"))
+    queries, candidates = topk._blocks(vectors, 10, "queries"), topk._blocks(vectors, 8, "candidates")
+    monkeypatch.setattr(topk, "written", lambda df, name: df)
+    pairs = topk._pairs(queries, candidates, "pairs")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted((r[0], r[1]) for r in pairs.select("q_block", "c_block").collect()) == [(q, c) for q in range(4) for c in range(5)]
+    assert topk._pairs((queries[0], 4), (candidates[0].limit(0), 0), "pairs").count() == 0
+
+
 # ---------------------------------------------------------------- toxicity
 def test_toxicity_where_most_rows_are_toxic(spark):
     from annospark.llm import toxicity
