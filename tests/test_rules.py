@@ -71,6 +71,23 @@ def test_closure_of_a_deep_chain(spark):
     assert closure.agg(F.max("dist")).first()[0] == 300
 
 
+def test_lists_of_ancestors_stay_off_the_driver(spark, monkeypatch):
+    from annospark.operators import ontology as onto
+    own = spark.range(8).select((F.col("id") + 8).alias("child"), F.col("id").alias("parent"))
+    known = spark.range(8).select(F.col("id").alias("parent"), F.array(F.col("id") + 100).alias("ancestors"), F.array(F.lit(1)).alias("dists"))
+    met = onto._handed_down(own, known, "bigint")
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(met.collect()) == [(i + 8, [i, i + 100], [1, 2]) for i in range(8)]
+    # what the ranges are dealt by is sampled into the driver
+    keys, dealt = [], type(own).repartitionByRange
+    monkeypatch.setattr(type(own), "repartitionByRange", lambda self, *by: keys.extend(self.select(*by).dtypes) or dealt(self, *by))
+    lists = spark.range(200).select(F.col("id").alias("term"), F.sequence(F.lit(0), F.col("id")).alias("ancestors"))
+    blocks = onto.blocked_lists(spark.range(150).select(F.col("id").alias("term")), lists)
+    assert keys and not [k for k in keys if "array" in k[1]]
+    assert sorted(r["term"] for r in blocks.collect()) == list(range(150))
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] <= onto.BLOCK_TERMS
+
+
 def test_fisher_counts_the_mirror_tail(spark):
     # symmetric tables 5 to 60 standard deviations off the mode: both tails weigh the same
     def log_pmf(k, n1, n2, r):
