@@ -391,3 +391,15 @@ def test_a_level_reads_only_rows_that_wait(spark, monkeypatch):
         below[k // 2] |= below[k]
     assert got == {k: min((d * 37 % 256) / 256 for d in below[k]) for k in range(256)}
     assert sizes[0] == 256 and sizes[-1] == 1 and sum(sizes) < 3 * 256
+
+
+def test_distance_matrix_blocks_do_not_grow_with_the_group(spark, monkeypatch):
+    from annospark.operators import matrix as mx
+    count = spark.createDataFrame([(1, ), (512, ), (2000, ), (60000, ), (600000, )], "c long")
+    got = [r[0] for r in count.select(mx._block_number(F.col("c"), 512)).collect()]
+    assert got == [1, 1, 4, 16, 74]   # not 118 and 1172
+    monkeypatch.setattr(mx, "CELLS", 7)   # tiles of a row each, written one by one
+    items = spark.createDataFrame([(i % 2, i, [float(i), float(i * i % 7)]) for i in range(50)], "g int, i long, v array<double>")
+    rows = {(r["g"], r["i"], r["j"]): r["d"] for r in mx.distance_matrix(items, "g", "i", "v", block=3).collect()}
+    assert len(rows) == 2 * 25 * 25
+    assert all(d == pytest.approx(math.hypot(i - j, i * i % 7 - j * j % 7)) and g == i % 2 == j % 2 for (g, i, j), d in rows.items())
